@@ -4,21 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meridian.llm.decontaminate import decontaminate
+from meridian.llm.mixing import mix_rows
 from meridian.llm.near_dedup import near_dedup
+from meridian.llm.sharding import shard_rows
+from meridian.llm.toxicity import drop_toxic
 from meridian.plans.materialize import materialize
 
 
+def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup(docs)
 
 
-STAGES = [("near_dedup", drop_near_copies)]
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_rows(docs)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shard_rows(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic_documents),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix_sources),
+    ("sharding", assign_shards),
+]
 
-#: Karmarkar-Karp differencing and the searches have no SQL form.
+#: SQL can't express the nearest-neighbour search, MinHash or differencing; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage: the columns of documents and the shard."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -6,16 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meridian.llm import mixing
+from meridian.llm.decontaminate import contamination
+from meridian.llm.mixing import mix
 from meridian.llm.near_dedup import near_pairs
+from meridian.llm.sharding import shard_ids
+from meridian.llm.toxicity import toxicity
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_ids(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_near_dedup": op1_near_dedup}
+    every = (op1_near_dedup, op4_decontaminate, op5_mixing, op6_toxicity, op10_sharding)
+    return {query.__name__: query for query in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.ORACLE_SQL}
