@@ -95,16 +95,32 @@ def stratum(length: int) -> int:
     return max((x for x in LENGTHS if x <= length), default=LENGTHS[0])
 
 
-def simulate(pairs: np.ndarray, seed: int = 1) -> dict[str, dict[int, np.ndarray]]:
-    """Sorted joint p-values of natural strings by encoding and length, from counts (26 x 26) of letter pairs."""
-    rng = np.random.default_rng(seed)
-    counts = pairs + 0.01
+def _natural(pairs: np.ndarray, allowed: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Strings of the allowed letters by the chain of letter pairs: SIMULATED rows of the greatest length."""
+    counts = pairs[np.ix_(allowed, allowed)] + 0.01
     start, step = np.cumsum(counts.sum(axis=1) / counts.sum()), np.cumsum(counts / counts.sum(axis=1, keepdims=True), axis=1)
-    letters = np.empty((SIMULATED, LENGTHS[-1]), np.int64)
-    letters[:, 0] = np.minimum(np.searchsorted(start, rng.random(SIMULATED)), 25)
+    last, letters = allowed.size - 1, np.empty((SIMULATED, LENGTHS[-1]), np.int64)
+    letters[:, 0] = np.minimum(np.searchsorted(start, rng.random(SIMULATED)), last)
     for k in range(1, LENGTHS[-1]):
-        letters[:, k] = np.minimum((step[letters[:, k - 1]] < rng.random(SIMULATED)[:, None]).sum(axis=1), 25)
-    return {name: {n: np.sort(battery(letters[:, :n] % len(alphabet) if len(alphabet) < 26 else _PLACE[name][np.frombuffer((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" if name == "base32" else b"abcdefghijklmnopqrstuvwxyz"), np.uint8)][letters[:, :n]], len(alphabet))[3]) for n in LENGTHS} for name, alphabet in ALPHABETS.items()}
+        letters[:, k] = np.minimum((step[letters[:, k - 1]] < rng.random(SIMULATED)[:, None]).sum(axis=1), last)
+    return allowed[letters]
+
+
+def simulate(pairs: np.ndarray, seed: int = 1) -> dict[str, dict[int, np.ndarray]]:
+    """Sorted joint p-values of natural strings by encoding and length, from counts (26 x 26) of letter pairs.
+
+    The natural strings of an alphabet are those of the letters that it has.
+    """
+    rng, out = np.random.default_rng(seed), {}
+    for name, alphabet in ALPHABETS.items():
+        case = 65 if name == "base32" else 97
+        allowed = np.array([k for k in range(26) if bytes([case + k]) in alphabet], np.int64)
+        if allowed.size:
+            symbols = _PLACE[name][_natural(pairs, allowed, rng) + case]
+            out[name] = {n: np.sort(battery(symbols[:, :n], len(alphabet))[3]) for n in LENGTHS}
+        else:
+            out[name] = {n: np.ones(SIMULATED) for n in LENGTHS}
+    return out
 
 
 def candidates(text: str | None) -> Iterator[tuple[int, bytes, str, bytes]]:
