@@ -139,7 +139,8 @@ def _count(docs: DataFrame, items) -> np.ndarray:
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, ngram: int, containment: float, broadcast_shingles: int):
     """A broadcast of Items with prefixes, or None if the benchmark is too large for one."""
-    size = benchmark.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    # a word and what parts it from the next take two bytes at least, in any script
+    size = benchmark.agg(F.sum(F.ceil(F.octet_length("text") / 2))).first()[0] or 0
     if size > broadcast_shingles:
         return None
     context = docs.sparkSession.sparkContext
