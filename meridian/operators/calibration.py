@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridian.plans.numbering import numbered
+
 #: USD for a million tokens, tried in this order.
 PRICES = [("text-embedding-ada-002", 0.10), ("text-embedding-3-small", 0.02), ("text-embedding-3-large", 0.13), ("voyage-3", 0.06)]
 DEFAULT_PRICE = 0.05
@@ -23,15 +25,14 @@ def sample(df: DataFrame, k: int, seed: int = 0, id_col: str = "id") -> DataFram
         raise ValueError("nothing to sample from")
     if k <= n:
         return df.orderBy(seeded(id_col, seed), id_col).limit(k)
-    numbered = df.withColumn("position", F.row_number().over(Window.orderBy(id_col)) - 1)
     draws = df.sparkSession.range(k).select(F.col("id").alias("draw")).withColumn("position", F.pmod(F.conv(F.substring(seeded("draw", seed), 1, 8), 16, 10).cast("long"), F.lit(n)))
-    return draws.join(numbered, "position").drop("position")
+    return draws.join(numbered(df, id_col), "position").drop("position")
 
 
 def rotated(df: DataFrame, k: int, seed: int = 0, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(position, text): k texts from a fixed list, from place ``seed`` on; past its end they carry a number."""
     n = df.count()
-    listed = df.select(F.col(text_col).alias("t"), (F.row_number().over(Window.orderBy(id_col)) - 1).alias("at"))
+    listed = numbered(df.select(id_col, F.col(text_col).alias("t")), id_col, name="at").select("t", "at")
     places = df.sparkSession.range(k).select(F.col("id").alias("position"), F.pmod(F.col("id") + seed, F.lit(n)).alias("at"))
     return places.join(listed, "at").select("position", F.when(F.col("position") < n, F.col("t")).otherwise(F.concat("t", F.lit(" ["), F.col("position").cast("string"), F.lit("]"))).alias("text"))
 
@@ -40,7 +41,7 @@ def holdout(df: DataFrame, fraction: float = 0.1, seed: int = 0, id_col: str = "
     """``df`` with is_holdout: ceil(fraction * n) rows by hash."""
     n = df.count()
     test = -(-int(round(fraction * n * 1e9)) // 10**9)
-    return df.withColumn("is_holdout", F.row_number().over(Window.orderBy(seeded(id_col, seed), id_col)) <= test)
+    return numbered(df, seeded(id_col, seed), id_col, name="place").withColumn("is_holdout", F.col("place") < test).drop("place")
 
 
 def disjoint(df: DataFrame, used: DataFrame, id_col: str = "id") -> DataFrame:
@@ -64,8 +65,8 @@ def table_checksum(df: DataFrame, *columns: str) -> DataFrame:
 
 def batches(df: DataFrame, size: int, id_col: str = "id") -> DataFrame:
     """(batch, start, n, first_id, last_id) of rows in id order."""
-    numbered = df.select(id_col, F.expr(f"(row_number() over (order by {id_col}) - 1) div {size}").alias("batch"))
-    return numbered.groupBy("batch").agg((F.col("batch") * size).alias("start"), F.count("*").alias("n"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))
+    listed = numbered(df.select(id_col), id_col).withColumn("batch", F.expr(f"position div {size}"))
+    return listed.groupBy("batch").agg((F.col("batch") * size).alias("start"), F.count("*").alias("n"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))
 
 
 def recommend_k(min_dim: Column, corpus: Column) -> Column:

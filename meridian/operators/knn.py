@@ -9,29 +9,35 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.functions import vec
 from meridian.operators.blocks import BROADCAST_BYTES, all_pairs
 
 
+def _best(sims: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> list[np.ndarray]:
+    """(row id, column id, value) of each row's k highest values, ties by column id; -inf counts for none."""
+    order = np.argsort(j, kind="stable")
+    sims, j = sims[:, order], j[order]
+    n = min(k, j.size)
+    if n < j.size:  # all that tie with the n-th stay in play, so that ids decide
+        edge = -np.partition(-sims, n - 1, axis=1)[:, n - 1]
+        rows, cols = np.nonzero(sims >= edge[:, None])
+    else:
+        rows, cols = np.nonzero(sims > -np.inf)
+    values = sims[rows, cols]
+    ranked = np.lexsort((j[cols], -values, rows))
+    rows, cols, values = rows[ranked], cols[ranked], values[ranked]
+    first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if rows.size else np.zeros(0, int)
+    place = np.arange(rows.size) - np.repeat(first, np.diff(np.r_[first, rows.size]))
+    kept = (place < n) & (values > -np.inf)
+    return [i[rows[kept]], j[cols[kept]], values[kept]]
+
+
 def _top(k: int, exclude_self: bool):
     def kernel(i, a, j, b):
         sims = np.round(a @ b.T, 9)
         if exclude_self:
             sims[i[:, None] == j[None, :]] = -np.inf
-        order = np.argsort(j, kind="stable")
-        sims, j = sims[:, order], j[order]
-        n = min(k, j.size)
-        if n < j.size:  # all that tie with the n-th stay in play, so that ids decide
-            edge = -np.partition(-sims, n - 1, axis=1)[:, n - 1]
-            rows, cols = np.nonzero(sims >= edge[:, None])
-        else:
-            rows, cols = np.nonzero(sims > -np.inf)
-        values = sims[rows, cols]
-        ranked = np.lexsort((j[cols], -values, rows))
-        rows, cols, values = rows[ranked], cols[ranked], values[ranked]
-        first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if rows.size else np.zeros(0, int)
-        place = np.arange(rows.size) - np.repeat(first, np.diff(np.r_[first, rows.size]))
-        kept = (place < n) & (values > -np.inf)
-        return [i[rows[kept]], j[cols[kept]], values[kept]]
+        return _best(sims, i, j, k)
 
     return kernel
 
@@ -66,8 +72,6 @@ def similarities(queries: DataFrame, corpus: DataFrame, query_cols: tuple[str, s
 def self_ranks(pairs: DataFrame, query_col: str, corpus_col: str, id_col: str = "id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, rank) of each row's own vector among all: one more than the number of better ones, so nothing is sorted."""
 
-    from meridian.functions import vec
-
     q, c = vec.doubles(query_col), vec.doubles(corpus_col)
     own = F.round(vec.dot(vec.l2_normalize(q), vec.l2_normalize(c)), 9)
     queries = pairs.select(F.col(id_col).alias("id"), F.concat(vec.l2_normalize(q), F.array(own)).alias("vec"))
@@ -87,18 +91,27 @@ def self_ranks(pairs: DataFrame, query_col: str, corpus_col: str, id_col: str =
 def csls(queries: DataFrame, corpus: DataFrame, k: int = 10, top: int = 10, symmetric: bool = False, query_cols: tuple[str, str] = ("id", "vec"), corpus_cols: tuple[str, str] = ("id", "vec")) -> DataFrame:
     """(query_id, rank, id, score): 2 cos less each candidate's mean cosine to its k nearest queries.
 
-    symmetric also subtracts the query's mean to its k nearest candidates.
+    The penalty travels with the candidate's vector, so only ``top`` rows a
+    query and block leave the workers.  symmetric also subtracts the query's
+    mean to its k nearest candidates, which doesn't change a query's order.
     """
     near = topk(corpus, queries, k, corpus_cols, query_cols).groupBy(F.col("query_id").alias("id")).agg(F.avg("sim").alias("penalty"))
-    sims = similarities(queries, corpus, query_cols, corpus_cols).select(F.col("q").alias("query_id"), F.col("d").alias("id"), "sim")
-    score = 2 * F.col("sim") - F.col("penalty")
-    scored = sims.join(near, "id")
-    if symmetric:
-        own = topk(queries, corpus, k, query_cols, corpus_cols).groupBy("query_id").agg(F.avg("sim").alias("own"))
-        scored, score = scored.join(own, "query_id"), score - F.col("own")
-    scored = scored.withColumn("score", F.round(score, 9))
+    own_id, own_vec = corpus_cols
+    unit = vec.l2_normalize(vec.doubles(own_vec))
+    carried = corpus.select(F.col(own_id).cast("long").alias("id"), unit.alias("unit")).join(near, "id").select("id", F.concat("unit", F.array("penalty")).alias("vec"))
+
+    def kernel(j, b, i, a):
+        length = np.maximum(np.sqrt((b[:, :-1] ** 2).sum(axis=1, keepdims=True)), 1e-300)
+        penalty, b = b[:, -1] / length[:, 0], b[:, :-1] / length
+        return _best(np.round(2 * np.round(a @ b.T, 9) - penalty[None, :], 9), i, j, top)
+
+    parts = all_pairs(carried, queries, kernel, "query_id long, id long, score double", ("id", "vec"), query_cols)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "id", "score")
+    best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "id", "score")
+    if not symmetric:
+        return best
+    own = topk(queries, corpus, k, query_cols, corpus_cols).groupBy("query_id").agg(F.avg("sim").alias("own"))
+    return best.join(own, "query_id").select("query_id", "rank", "id", F.round(F.col("score") - F.col("own"), 9).alias("score"))
 
 
 def merge_hits(legacy: DataFrame, native: DataFrame, legacy_weight: float = 1.0, native_weight: float = 1.0, k: int | None = None, migrated: DataFrame | None = None) -> DataFrame:

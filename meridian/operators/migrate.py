@@ -9,6 +9,7 @@ from meridian.operators import gate
 from meridian.operators.knn import topk
 from meridian.operators.mapping import Mapping
 from meridian.operators.metrics import neighbor_overlap
+from meridian.plans.numbering import numbered
 
 
 class MigrationError(RuntimeError):
@@ -75,8 +76,8 @@ def shadow(spark: SparkSession, source: DataFrame, root: str, mapping: Mapping,
 
 def integrity(df: DataFrame, size: int, id_col: str = "id") -> DataFrame:
     """(batch, n, hash): XOR of row hashes for each batch of ids in order; equal tables give equal hashes."""
-    numbered = df.select(id_col, "vec", F.expr(f"(row_number() over (order by {id_col}) - 1) div {size}").alias("batch"))
-    return numbered.groupBy("batch").agg(F.count("*").alias("n"), F.hex(F.bit_xor(F.xxhash64(id_col, "vec"))).alias("hash"))
+    listed = numbered(df.select(id_col, "vec"), id_col).withColumn("batch", F.expr(f"position div {size}"))
+    return listed.groupBy("batch").agg(F.count("*").alias("n"), F.hex(F.bit_xor(F.xxhash64(id_col, "vec"))).alias("hash"))
 
 
 def sampled_overlap(source: DataFrame, target: DataFrame, n: int = 50, k: int = 10) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions import vec
 from meridian.operators.knn import topk
+from meridian.plans.numbering import numbered
 
 LEAST_PAIRS = 10
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9)
@@ -32,10 +33,10 @@ def score_pairs(pairs: DataFrame, mapped: str, target: str, n_random: int = 2000
     """(q, d, mapped, ceiling): hash-drawn random pairs, and each query's top candidates in the mapped space; duplicates stay."""
     keyed = pairs.select(F.col(id_col).alias("id"), F.col(mapped).cast("array<double>").alias("m"), F.col(target).cast("array<double>").alias("t"))
     n = keyed.count()
-    numbered = keyed.withColumn("k", F.row_number().over(Window.orderBy("id")) - 1).select("id", "m", "t", "k")
+    listed = numbered(keyed, "id", name="k")
     draw = lambda s: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{s}:"), F.col("r").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(max(1, n)))
     random = pairs.sparkSession.range(n_random).select(F.col("id").alias("r")).select(draw("q").alias("kq"), draw("d").alias("kd"))
-    a, b = numbered.alias("a"), numbered.alias("b")
+    a, b = listed.alias("a"), listed.alias("b")
     near = topk(keyed.select("id", F.col("m").alias("vec")), keyed.select("id", F.col("t").alias("vec")), per_query).select(F.col("query_id").alias("q"), F.col("id").alias("d"))
     chosen = random.join(a, F.col("kq") == F.col("a.k")).join(b, F.col("kd") == F.col("b.k")).select(F.col("a.id").alias("q"), F.col("b.id").alias("d")).unionByName(near)
     x, y = keyed.alias("x"), keyed.alias("y")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions import providers, vec
 from meridian.operators import analysis, calibration, gate, knn, mapping, metrics, migrate, monitor, protocol, recalibration
-from meridian.operators.linalg import gram_sql
+from meridian.operators.linalg import gram, gram_sql
 from meridian.plans.fixtures import CORPUS, DIMS, EMB, PAIR, QUERY, embeddings, fixed_map, pairs, sims_sql, split, table
 from meridian.plans.materialize import materialize
 from meridian.sources import stores
@@ -78,7 +78,7 @@ def _hits(df: DataFrame, score: str = "sim") -> DataFrame:
     return df.select("query_id", F.col("rank").cast("int").alias("rank"), "id", r6(score))
 
 
-@query(_KNN.format("a.id % 10 = 0 and b.id % 10 <> 0", 10))
+@query(_KNN.format("true", 10))
 def knn_top10(spark, sf):
     q, c = split(embeddings(spark, sf))
     return _hits(knn.topk(q, c, 10, ("id", "x"), ("id", "x")))
@@ -90,14 +90,14 @@ def knn_self_top10(spark, sf):
     return _hits(knn.topk(e, e, 10, ("id", "x"), ("id", "x"), exclude_self=True))
 
 
-@query(_KNN.format("a.id % 10 = 0 and b.id % 10 <> 0", 10), name="knn_top10_blocked")
+@query(_KNN.format("true", 10), name="knn_top10_blocked")
 def _knn_blocked(spark, sf):
     """The same without a broadcast: the way taken beyond its limit."""
     q, c = split(embeddings(spark, sf))
     return _hits(knn.topk(q, c, 10, ("id", "x"), ("id", "x"), broadcast_bytes=0))
 
 
-@query(_KNN.format("a.id % 10 = 0 and b.id % 10 <> 0 and b.label = 3", 10))
+@query(_KNN.format("b.label = 3", 10))
 def knn_filtered_label(spark, sf):
     q, c = split(embeddings(spark, sf))
     return _hits(knn.topk(q, c.where("label = 3"), 10, ("id", "x"), ("id", "x")))
@@ -192,7 +192,7 @@ def evaluate_macro(spark, sf):
     return e.select(r6("ndcg_10"), r6("recall_10"), r6("recall_100"), "n_eval")
 
 
-@query(f"""with {PAIR}, {sims_sql('mt', 'm', 't', QUERY, CORPUS)}, qrels as (select a.id as q, b.id as d from pair a join pair b on a.label = b.label where a.id % 10 = 0 and b.id % 10 <> 0),
+@query(f"""with {PAIR}, {sims_sql('mt', 'm', 't', QUERY, CORPUS)}, qrels as (select a.id as q, b.id as d from pair a join pair b on a.label = b.label),
 hits as (select g.q, count(*) as n_rel, sum((coalesce(r.rank, 1000) <= 10)::INT) as found from qrels g left join mt r on r.q = g.q and r.d = g.d group by g.q)
 select {_r('avg(found / n_rel::DOUBLE)')} as recall_10, count(*) as n_eval from hits""")
 def evaluate_label_qrels(spark, sf):
@@ -218,7 +218,7 @@ def floor_metrics(spark, sf):
     return metrics.floor_metrics(q.withColumn("x", F.slice("x", 1, 48)), c, _teacher(spark, sf), ("id", "x"), ("id", "t")).drop("note")
 
 
-@query(_EVAL + f", a as (select avg(ndcg_10) as x from ({_per('mt')})), sx as (select q, d, sim, row_number() over (partition by q order by sim desc, d) as rank from (select a.id as q, b.id as d, round(list_dot_product(list_transform(range(64), lambda i: (case when (19 * (i + 59)) % 64 % 2 = 0 then 1 else -1 end)::DOUBLE * a.t[(19 * (i + 59)) % 64 + 1]), b.x), 9) as sim from pair a, pair b where a.id % 10 = 0 and b.id % 10 <> 0)), b as (select avg(ndcg_10) as s from ({_per('sx')})) select {_r('s')} as serve, {_r('s / x')} as serve_ratio from a, b")
+@query(_EVAL + f", a as (select avg(ndcg_10) as x from ({_per('mt')})), sx as (select q, d, sim, row_number() over (partition by q order by sim desc, d) as rank from (select a.id as q, b.id as d, round(list_dot_product(list_transform(range(64), lambda i: (case when (19 * (i + 59)) % 64 % 2 = 0 then 1 else -1 end)::DOUBLE * a.t[(19 * (i + 59)) % 64 + 1]), b.x), 9) as sim from pair a, pair b)), b as (select avg(ndcg_10) as s from ({_per('sx')})) select {_r('s')} as serve, {_r('s / x')} as serve_ratio from a, b")
 def serve_direction(spark, sf):
     """New-space queries taken back by the inverse map, against the old corpus: 27 * 19 = 1 mod 64."""
     q, c = split(pairs(spark, sf))
@@ -251,14 +251,18 @@ def csls_top10(spark, sf):
     return _hits(knn.csls(q, c, 10, 10, query_cols=("id", "m"), corpus_cols=("id", "t")), "score")
 
 
-@query(f"with {PAIR}, {sims_sql('a', 'm', 't', QUERY, '% 2 = 1 or b.id % 5 = 0 and b.id % 10 <> 0')}, {sims_sql('b', 't', 't', QUERY, '% 2 = 0 or b.id % 5 = 0')}, u as (select q, d, 0.9::DOUBLE * sim as s from a where rank <= 10 union all select q, d, sim from b where rank <= 10), m as (select q, d, greatest(0.0::DOUBLE, max(s)) as score from u group by q, d), k as (select *, row_number() over (partition by q order by score desc, d) as rank from m) select q as query_id, rank::INT as rank, d as id, {_r('score')} as score from k where rank <= 10".replace("b.id % 2 = 1 or b.id % 5 = 0 and b.id % 10 <> 0", "(b.id % 2 = 1 or b.id % 5 = 0)").replace("a.id % 10 = 0 and b.id % 2 = 0 or b.id % 5 = 0", "a.id % 10 = 0 and (b.id % 2 = 0 or b.id % 5 = 0)").replace("b.id (b.id", "(b.id"))
+_ODD, _EVEN = ("in (select id from pair where id % 2 = 1 or id % 5 = 0)", "in (select id from pair where id % 2 = 0 or id % 5 = 0)")
+
+
+@query(f"with {PAIR}, {sims_sql('a', 'm', 't', QUERY, _ODD)}, {sims_sql('b', 't', 't', QUERY, _EVEN)}, u as (select q, d, 0.5::DOUBLE * sim as s from a where rank <= 10 union all select q, d, sim from b where rank <= 10), m as (select q, d, greatest(0.0::DOUBLE, max(s)) as score from u group by q, d), k as (select *, row_number() over (partition by q order by score desc, d) as rank from m) select q as query_id, rank::INT as rank, d as id, {_r('score')} as score from k where rank <= 10")
 def merge_results(spark, sf):
+    """Hits of a store half migrated: the old part, the new part, and a fifth in both."""
     p = pairs(spark, sf)
     q, _ = split(p)
     legacy = knn.topk(q, p.where("id % 2 = 1 or id % 5 = 0"), 10, ("id", "m"), ("id", "t"))
     native = knn.topk(q, p.where("id % 2 = 0 or id % 5 = 0"), 10, ("id", "t"), ("id", "t"))
     score = lambda df: df.withColumnRenamed("sim", "score")
-    return _hits(knn.merge_hits(score(legacy), score(native), 0.9, 1.0, 10), "score")
+    return _hits(knn.merge_hits(score(legacy), score(native), 0.5, 1.0, 10), "score")
 
 
 @query(f"with {PAIR}, {sims_sql('mt', 'm', 't', QUERY, CORPUS)}, {sims_sql('tt', 't', 't', QUERY, CORPUS)} select a.q as query_id, {_r('count(b.d) / 10.0::DOUBLE')} as overlap from (select * from mt where rank <= 10) a left join (select * from tt where rank <= 10) b on a.q = b.q and a.d = b.d group by a.q")
@@ -360,7 +364,7 @@ def transform_dense(spark, sf):
     return out.select("id", F.posexplode("mapped").alias("j", "v")).select("id", "j", r6("v", "value"))
 
 
-@query(f"with {EMB} select id, {_text_sql('x')} as vec from emb")
+@query(f"with {EMB} select id, {_text_sql('list_transform(x, lambda e: e / greatest(sqrt(list_dot_product(x, x)), 1e-12::DOUBLE))')} as vec from emb")
 def inverse_fixed(spark, sf):
     m = _fixed(spark)
     there = m.transform(embeddings(spark, sf).select("id", "x"), "x", "there")
@@ -383,18 +387,25 @@ def _gram_sql(a: str, b: str, n: int) -> str:
     return f"with {PAIR}, c as (select id, unnest(range({n})) as i, unnest({a}[1:{n}]) as u from pair), e as (select id, unnest(range({n})) as j, unnest({b}[1:{n}]) as v from pair) select i::INT as i, j::INT as j, {_r('sum(u * v)')} as value from c join e using (id) group by i, j"
 
 
-@query(_gram_sql("x", "x", 8))
+def _cells(spark, block) -> DataFrame:
+    cells = [(i, j, float(v)) for i, row in enumerate(block) for j, v in enumerate(row)]
+    return spark.createDataFrame(cells, "i int, j int, value double").select("i", "j", r6("value"))
+
+
+@query(_gram_sql("x", "x", DIMS))
 def gram_matrix(spark, sf):
-    return gram_sql(pairs(spark, sf), "x", 8).select("i", "j", r6("value"))
+    return _cells(spark, gram(pairs(spark, sf), ["x"])[0])
 
 
-@query(_gram_sql("x", "y", 8))
+@query(_gram_sql("x", "y", DIMS))
 def cross_gram(spark, sf):
-    from meridian.operators.linalg import gram
+    return _cells(spark, gram(pairs(spark, sf), ["x", "y"])[0][:DIMS, DIMS:])
 
-    g, _ = gram(pairs(spark, sf).select(F.slice("x", 1, 8).alias("x"), F.slice("y", 1, 8).alias("y")), ["x", "y"])
-    cells = [(i, j, float(g[i, 8 + j])) for i in range(8) for j in range(8)]
-    return spark.createDataFrame(cells, "i int, j int, value double").select("i", "j", r6("value"))
+
+@query(_gram_sql("x", "x", 4))
+def gram_declared(spark, sf):
+    """The Gram matrix of four dimensions by sums of products alone."""
+    return gram_sql(pairs(spark, sf), "x", 4).select("i", "j", r6("value"))
 
 
 @query(f"with {EMB}, c as (select unnest(range({DIMS})) as j, unnest(x) as v from emb) select j::INT as j, {_r('avg(v)')} as mean, {_r('stddev_pop(v)')} as spread from c group by j")
@@ -402,10 +413,10 @@ def column_means(spark, sf):
     return embeddings(spark, sf).select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(r6(F.avg("v"), "mean"), r6(F.stddev_pop("v"), "spread"))
 
 
-@query(f"with {EMB}, c as (select id, unnest(range(4)) as j, unnest(x[1:4]) as v from emb), s as (select j, avg(v) as m, stddev_pop(v) as s from c group by j) select id, j::INT as j, {_r('(v - m) / greatest(s, 1e-12)')} as value from c join s using (j)")
+@query(f"with {EMB}, c as (select id, unnest(range({DIMS})) as j, unnest(x) as v from emb), s as (select j, avg(v) as m, stddev_pop(v) as s from c group by j) select id, j::INT as j, {_r('(v - m) / greatest(s, 1e-12)')} as value from c join s using (j)")
 def whiten_center(spark, sf):
     w = mapping.standardize(embeddings(spark, sf), "x", DIMS, whiten=True)
-    return w.select("id", F.posexplode(F.slice("vec", 1, 4)).alias("j", "v")).select("id", "j", r6("v", "value"))
+    return w.select("id", F.posexplode("vec").alias("j", "v")).select("id", "j", r6("v", "value"))
 
 
 @query(f"with {PAIR}, g as (select sum(x[1] * x[1]) + 0.5 as a, sum(x[1] * x[2]) as b, sum(x[2] * x[2]) + 0.5 as d, sum(x[1] * y[1]) as p, sum(x[2] * y[1]) as q, sum(x[1] * y[2]) as r, sum(x[2] * y[2]) as s from pair) select {_r('(d * p - b * q) / (a * d - b * b)')} as w00, {_r('(d * r - b * s) / (a * d - b * b)')} as w01, {_r('(a * q - b * p) / (a * d - b * b)')} as w10, {_r('(a * s - b * r) / (a * d - b * b)')} as w11 from g")
@@ -418,9 +429,9 @@ def _fit_query(name: str, kind: str, **options) -> None:
     @query(name=name)
     def run(spark, sf):
         """Fit on two thirds of the pairs and measure on the rest."""
-        p = pairs(spark, sf)
-        m = mapping.fit(kind, p.where("id % 3 <> 0"), **options)
-        mapped = m.transform(p.where("id % 3 = 0").select("id", "x", "t"), "x", "w")
+        p = calibration.holdout(pairs(spark, sf), 1 / 3, 1)
+        m = mapping.fit(kind, p.where("not is_holdout").select("id", "x", "y"), **options)
+        mapped = m.transform(p.where("is_holdout").select("id", "x", "t"), "x", "w")
         return metrics.retention_report(mapped, "w", "t").withColumn("alpha", F.lit(m.alpha)).withColumn("checksum", F.lit(m.checksum))
 
 

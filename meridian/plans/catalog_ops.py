@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions import providers
@@ -13,6 +13,7 @@ from meridian.operators import analysis, calibration, mapping, migrate, monitor,
 from meridian.plans.catalog import _fixed, _r, _text, _text_sql, query, r6
 from meridian.plans.fixtures import EMB, PAIR, embeddings, pairs, table
 from meridian.plans.materialize import shared_dir
+from meridian.plans.numbering import numbered
 from meridian.sources import stores
 from meridian.streaming import pipelines
 
@@ -391,8 +392,8 @@ def fallback_messages(spark, sf):
 
 @query()
 def protocol_calibrate(spark, sf):
-    p = pairs(spark, sf).select("id", "x", "y")
-    models, _ = protocol.calibrate(spark, p.where("id % 5 <> 0"), p.where("id % 5 = 0"), "a", "b", 0.5)
+    p = calibration.holdout(pairs(spark, sf).select("id", "x", "y"), 0.2, 1)
+    models, _ = protocol.calibrate(spark, p.where("not is_holdout"), p.where("is_holdout"), "a", "b", 0.5)
     return models.select("source", "target", "training", "quality", "worst", F.size("weights").alias("d_src"), F.size(F.col("weights")[0]).alias("d_tgt"), (F.col("valid_until") > F.col("created")).alias("valid"))
 
 
@@ -401,11 +402,11 @@ def vocabulary_expand(spark, sf):
     return protocol.vocabulary(spark, ["map", "rank", "query", "vector"], ["re", "un"], ["s", "ed", "ing"], 30)
 
 
-@query(f"with {PAIR}, s as (select a.id as q, b.id as d, round(list_dot_product(a.m, b.t), 9) as sim from pair a, pair b where a.id % 10 = 0 and b.id % 10 <> 0), k as (select *, row_number() over (partition by q order by sim desc, d) as r from s) select q as message_id, 'key ' || d::VARCHAR as key, {_r('sim')} as sim from k where r = 1")
+@query(f"with {PAIR}, s as (select a.id as q, b.id as d, round(list_dot_product(a.m, b.t), 9) as sim from pair a, pair b), k as (select *, row_number() over (partition by q order by sim desc, d) as r from s) select q as message_id, 'key ' || d::VARCHAR as key, {_r('sim')} as sim from k where r = 1")
 def knowledge_lookup(spark, sf):
     p = pairs(spark, sf)
-    base = p.where("id % 10 <> 0").select(F.concat(F.lit("key "), F.col("id").cast("string")).alias("key"), "id", F.col("t").alias("vec"))
-    return protocol.knowledge_lookup(p.where("id % 10 = 0").select(F.col("id").alias("message_id"), F.col("m").alias("vec")), base).select("message_id", "key", r6("sim"))
+    base = p.select(F.concat(F.lit("key "), F.col("id").cast("string")).alias("key"), "id", F.col("t").alias("vec"))
+    return protocol.knowledge_lookup(p.select(F.col("id").alias("message_id"), F.col("m").alias("vec")), base).select("message_id", "key", r6("sim"))
 
 
 # --- studies -----------------------------------------------------------------
@@ -470,7 +471,9 @@ def kmeans_transferred(spark, sf):
 
 @query(f"with {EMB}, f as (select id, ntile(2) over (order by id) as h from emb) select h as half, count(*) as n from f group by h")
 def table_halves(spark, sf):
-    return embeddings(spark, sf).select(F.ntile(2).over(Window.orderBy("id")).alias("half")).groupBy("half").agg(F.count("*").alias("n"))
+    e = embeddings(spark, sf).select("id")
+    halves = numbered(e, "id").crossJoin(F.broadcast(e.agg(F.count("*").alias("total"))))
+    return halves.groupBy(F.expr("1 + int(2 * position >= total)").alias("half")).agg(F.count("*").alias("n"))
 
 
 # --- relational smoke --------------------------------------------------------
