@@ -1,9 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The examples are a bounded sample of labelled documents.  The vector space is
-spanned by the words whose share of documents differs between the classes
-(chi-squared over the examples); document frequencies come from the whole
-corpus.  Postings lie by (term, block of examples), with the highest weight of
+spanned by the words, and the beginnings of words, whose share of documents
+differs between the classes (chi-squared over the examples), and by one term
+for all other words together, so that a stray match weighs little in an
+otherwise plain text.  Document frequencies come from the whole corpus.
+Postings lie by (term, block of examples), with the highest weight of
 each term in each block.  For a query these give an upper bound for every
 block; the two best blocks are scored first, and of the others only those whose
 bound reaches the k-th best score so far.  The k nearest are therefore exact.
@@ -15,25 +17,67 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.text import texts_of, words
+from meridian.llm.text import CACHE_ENTRIES, texts_of, words
 from meridian.plans.materialize import materialize
 
 #: Labelled examples of each class in the index, at most: the bound of the fitted sample.
 EXAMPLES = 2048
 NEIGHBOURS = 9
 BLOCK = 32
-#: Words of a lower chi-squared between the classes are left out of the vector space.
-ASSOCIATION = 20.0
+#: Terms of a lower chi-squared between the classes are left out of the vector space.
+ASSOCIATION = 30.0
+#: Characters of the beginnings of words that are terms.
+BEGINNINGS = (4, 5, 6, 7)
 CUTOFF = 0.5
 
 
+def terms_of(word: bytes) -> list[bytes]:
+    """The terms that a word stands for: itself, and its beginnings, marked by a star."""
+    text = word.decode("utf-8", "replace")
+    return [word, *(text[:n].encode() + b"*" for n in BEGINNINGS if n < len(text))]
+
+
+def strongest(shares: dict[bytes, float]) -> list[bytes]:
+    """Terms sorted, without those that extend, or begin, a term more strongly tied to a class; of equal ones the longest stays."""
+    stems = sorted((t.removesuffix(b"*"), t) for t in shares)
+    rank = {t: (shares[t], len(stem), t == stem) for stem, t in stems}
+    out = set()
+    for k, (stem, t) in enumerate(stems):
+        for stem2, t2 in stems[k + 1 :]:
+            if not stem2.startswith(stem):
+                break
+            out.add(min(t, t2, key=rank.__getitem__))
+    return sorted(set(shares) - out)
+
+
+class WordTerms(dict):
+    """Word to the ids of its terms, remembered within a worker; other words have the id after the last."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        super().__init__()
+        self.vocabulary, self.other = vocabulary, (len(vocabulary),)
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        ids = self[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary) or self.other
+        return ids
+
+    def count(self, text: str | None) -> dict[int, int]:
+        """How often each term occurs in a text."""
+        total: dict[int, int] = {}
+        for word, n in Counter(words(text)).items():
+            for t in self[word]:
+                total[t] = total.get(t, 0) + n
+        return total
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Breakpoints of the non-decreasing least-squares fit: pool adjacent violators."""
     order = np.argsort(x, kind="stable")
@@ -61,12 +105,13 @@ class Index:
         self.toxic = np.array([toxic[k] for k in order], np.int8)
         self.bags = [bags[k] for k in order]
         self.blocks = max(1, -(-len(ids) // BLOCK))
+        self.plain: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of the text's words that the vocabulary has."""
-        found = words(text)
-        known = np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int32, len(found))
-        return np.unique(known[known >= 0], return_counts=True)
+    def vector(self, text: str | None, known: WordTerms) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a text, of unit length; none for a text without words."""
+        bag = known.count(text)
+        terms = np.array(sorted(bag), np.int64)
+        return terms, self.weigh(terms, np.array([bag[t] for t in terms.tolist()], float)) if terms.size else np.zeros(0)
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = (1 + np.log(counts)) * self.idf[terms]
@@ -74,8 +119,8 @@ class Index:
 
     def build(self, documents: int, having: np.ndarray) -> None:
         """Weigh the postings, given the number of documents and of those that have each term."""
-        self.idf = np.log((1 + documents) / (1 + having))
-        size, rows = len(self.vocabulary), []
+        self.idf = np.log((1 + documents) / (1 + having)) + 1
+        size, rows = len(self.vocabulary) + 1, []
         self.vectors = []
         for k, (terms, counts) in enumerate(self.bags):
             weight = self.weigh(terms, counts) if terms.size else np.zeros(0)
@@ -110,8 +155,19 @@ class Index:
         """
         k = min(k, self.ids.size)
         best, value = np.full((len(vectors), k), -1), np.zeros((len(vectors), k))
-        filled = [i for i, (t, _) in enumerate(vectors) if t.size]
-        if filled and k:
+        if not k:
+            return best, value
+        other = len(self.vocabulary)
+        plain = [i for i, (t, _) in enumerate(vectors) if t.size == 1 and t[0] == other]
+        for i in plain:  # all alike, but for their ids
+            if k not in self.plain:
+                found = self._nearest([vectors[i]], np.array([-1]), min(k + 1, self.ids.size))
+                self.plain[k] = (found[0][0], found[1][0])
+            near, sims = self.plain[k]
+            kept = np.flatnonzero((near < 0) | (self.ids[near] != own[i]))[:k]
+            best[i, : kept.size], value[i, : kept.size] = near[kept], sims[kept]
+        filled = [i for i, (t, _) in enumerate(vectors) if t.size and not (t.size == 1 and t[0] == other)]
+        if filled:
             best[filled], value[filled] = self._nearest([vectors[i] for i in filled], own[filled], k)
         return best, value
 
@@ -166,58 +222,63 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [Counter(words(t)) for t in texts_of(batch.column(2))]
-            arrays = [batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "words", "n"])
+            of = [sorted({t for w in c for t in terms_of(w)}) for c in found]
+            arrays = [batch.column(0), batch.column(1), pa.array(of, pa.list_(pa.binary())), pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "terms", "words", "n"])
 
     # chosen has 2 * examples rows at most
-    bags = materialize(named.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text").mapInArrow(bag, "doc_id long, toxic int, words array<binary>, n array<int>"), "examples")
+    bags = materialize(named.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text").mapInArrow(bag, "doc_id long, toxic int, terms array<binary>, words array<binary>, n array<int>"), "examples")
     n1, n0 = (bags.where(f"toxic = {c}").count() for c in (1, 0))
     ones, zeros = F.count_if(F.expr("toxic = 1")).cast("double"), F.count_if(F.expr("toxic = 0")).cast("double")
-    rates = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(ones.alias("a"), zeros.alias("b"))
+    rates = bags.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(ones.alias("a"), zeros.alias("b"))
     share = F.expr(f"{n1 + n0}D * pow(a * ({n0} - b) - b * ({n1} - a), 2) / nullif({n1}D * {n0}D * (a + b) * ({n1 + n0} - a - b), 0)")
-    vocabulary = sorted(bytes(r["word"]) for r in rates.where(share >= association).select("word").collect())
+    vocabulary = strongest({bytes(r["term"]): round(r["share"], 6) for r in rates.withColumn("share", share).where(F.col("share") >= association).select("term", "share").collect()})
     place = {w: k for k, w in enumerate(vocabulary)}
 
     def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordTerms(place)
         for batch in batches:
-            pairs = [sorted((place[w], n) for w, n in zip(*r) if w in place) for r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            pairs = []
+            for found, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                total = Counter()
+                for w, k in zip(found, n):
+                    for t in known[w]:
+                        total[t] += k
+                pairs.append(sorted(total.items()))
             lists = [pa.array([[p[c] for p in row] for row in pairs], pa.list_(pa.int32())) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "toxic", "terms", "n"])
 
-    rows = bags.mapInArrow(restrict, "doc_id long, toxic int, terms array<int>, n array<int>").collect()
+    rows = bags.select("doc_id", "toxic", "words", "n").mapInArrow(restrict, "doc_id long, toxic int, terms array<int>, n array<int>").collect()
     unique = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["terms"], r["n"]))}.values()
     index = Index(vocabulary, [r["doc_id"] for r in unique], [r["toxic"] for r in unique], [(np.array(r["terms"], int), np.array(r["n"], float)) for r in unique])
     shared = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, size, documents = shared.value.get, len(shared.value), 0
-        having = np.zeros(size + 1, np.int64)
+        known, documents = WordTerms(shared.value), 0
+        having = np.zeros(len(shared.value) + 2, np.int64)
         for batch in batches:
             for text in texts_of(batch.column(0)):
-                found = words(text)
                 documents += 1
-                having[np.unique(np.fromiter(map(get, found, repeat(size)), np.int64, len(found)))] += 1
-        having[size] = documents
+                having[list({t for w in set(words(text)) for t in known[w]})] += 1
+        having[-1] = documents
         some = np.flatnonzero(having)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(having[some])], ["term", "n"])
 
     counts = named.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    having = np.zeros(len(index.vocabulary) + 1, np.int64)
+    having = np.zeros(len(index.vocabulary) + 2, np.int64)
     having[counts["term"].to_numpy()] = counts["n"].to_numpy()
     index.build(int(having[-1]), having[:-1])
     index.calibrate(total.get(1, 0) / max(1, sum(total.values())), neighbours)
     return index
 
 
-def _judged(index: Index, ids: list, texts: list, neighbours: int):
-    """Neighbours, similarities and calibrated scores of some texts."""
-    vectors = []
-    for text in texts:
-        terms, counts = index.terms(text)
-        vectors.append((terms.astype(np.int64), index.weigh(terms, counts) if terms.size else np.zeros(0)))
+def _judged(index: Index, known: WordTerms, ids: list, texts: list, neighbours: int):
+    """Neighbours, similarities and calibrated scores of some texts; 0 for a text without words."""
+    vectors = [index.vector(text, known) for text in texts]
     own = np.array([-1 if i is None else i for i in ids], np.int64)
     best, value = index.nearest(vectors, own, neighbours)
-    return best, value, index.score(index.votes(best, value)) if index.ids.size else np.zeros(len(ids))
+    score = index.score(index.votes(best, value)) if index.ids.size else np.zeros(len(ids))
+    return best, value, np.where([t.size > 0 for t, _ in vectors], score, 0.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, association: float = ASSOCIATION, cutoff: float = CUTOFF, seed: int = 1) -> DataFrame:
@@ -227,9 +288,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     evidence the ids of the nearest examples and similarity their cosines, best
     first.  An example is never evidence for its own id.
 
-    Nulls: labels with a null id or label are ignored; a null, empty or foreign
-    text (no word of the vocabulary) has score 0, no evidence, and isn't toxic; a
-    null id is kept.  Very long texts are read whole.  Ties in similarity go by
+    Nulls: labels with a null id or label are ignored; a null or empty text, or
+    one without words, has score 0, no evidence, and isn't toxic; a null id is
+    kept.  Very long texts are read whole.  Ties in similarity go by
     the order of the index.  Repeated rows are scored alike; contradictory labels
     count as toxic.  Without labels every score is 0; an empty table gives no
     rows.  Other columns are not read.
@@ -237,10 +298,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_id_col, label_col, examples, neighbours, association, seed))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordTerms(index.value.vocabulary)
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                best, value, score = _judged(index.value, part.column(0).to_pylist(), part.column(1).to_pylist(), neighbours)
+                best, value, score = _judged(index.value, known, part.column(0).to_pylist(), part.column(1).to_pylist(), neighbours)
                 ids = [index.value.ids[b[b >= 0]].tolist() for b in best]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(score), pa.array(score >= cutoff), pa.array(ids, pa.list_(pa.int64())), pa.array([v[b >= 0].tolist() for b, v in zip(best, value)], pa.list_(pa.float64()))],
@@ -256,10 +318,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordTerms(index.value.vocabulary)
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                score = _judged(index.value, part.column(at_id).to_pylist(), part.column(at_text).to_pylist(), neighbours)[2]
+                score = _judged(index.value, known, part.column(at_id).to_pylist(), part.column(at_text).to_pylist(), neighbours)[2]
                 yield part.filter(pa.array(score < cutoff))
 
     return docs.mapInArrow(keep, docs.schema)
