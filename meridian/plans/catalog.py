@@ -31,8 +31,12 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def r6(c: str | Column, name: str | None = None) -> Column:
-    """Rounded to six digits, the precision that two engines agree on; never a negative zero."""
-    return (F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)).alias(name or (c if isinstance(c, str) else ""))
+    """Rounded to six digits, the precision that two engines agree on; never a negative zero.
+
+    Engines part ways on halves, and values of nine digits have many: all are
+    moved off them, by less than those digits tell apart.
+    """
+    return (F.round((F.col(c) if isinstance(c, str) else c) + F.lit(1e-10), 6) + F.lit(0.0)).alias(name or (c if isinstance(c, str) else ""))
 
 
 def _text(v: Column) -> Column:
@@ -45,7 +49,7 @@ def _text_sql(v: str) -> str:
 
 
 def _r(expr: str) -> str:
-    return f"(round({expr}, 6) + 0.0::DOUBLE)"
+    return f"(round(({expr}) + 1e-10::DOUBLE, 6) + 0.0::DOUBLE)"
 
 
 # --- vectors -----------------------------------------------------------------

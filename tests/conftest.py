@@ -63,9 +63,9 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
         if isinstance(v, float) or type(v).__name__.startswith("float"):
-            return f"{float(v):.6g}" if abs(v) > 1e-9 else "0"
+            return repr(round(float(v), 6) + 0.0)
         if type(v).__name__.startswith(("int", "uint")):
-            return f"{float(v):.6g}" if abs(int(v)) < 10**6 else str(int(v))
+            return repr(float(v)) if abs(int(v)) < 2**53 else str(int(v))
         return str(v)
 
     columns = sorted(frame.columns)
