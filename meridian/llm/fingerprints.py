@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +150,57 @@ def _peeled(pairs: DataFrame, m: int) -> DataFrame:
     return pairs.mapInArrow(peel, "doc_id long, text_hash long, previous_id long, previous_hash long, done boolean, added array<long>, removed array<long>")
 
 
+def _chained(table: DataFrame, m: int) -> DataFrame:
+    """Each row of ``table`` against the one before it in its chain: (identity, done, added, removed).
+
+    The rows are range-partitioned by chain and place, so that a chain of any
+    length is cut over tasks; each task sketches and compares its rows in order.
+    What it can't see is the predecessor of its first row: the ends of all
+    partitions, two small rows each, are compared apart.
+    """
+    order = [F.col("first"), F.col("last"), F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
+    names = ["doc_id", "text_hash", "previous_id", "previous_hash", "done", "added", "removed", "part", "place", "first", "last", "sketch"]
+    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    shape = "doc_id long, text_hash long, previous_id long, previous_hash long, done boolean, added array<long>, removed array<long>, part int, place int, first long, last long, sketch binary"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), None
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                own = batch.slice(at, 1000)
+                ids, hashes, first, last, sets = (own.column(c).to_pylist() for c in ("doc_id", "text_hash", "first", "last", "digests"))
+                n, fresh = len(ids), sketch_sets(sets, m)
+                sketches = fresh.to_rows()
+                rows = list(zip(ids, hashes, first, last, sketches))
+                older = [before, *rows[:-1]]
+                fresh.subtract(Sketches.from_rows([p[4] if p and p[2:4] == r[2:4] else None for p, r in zip(older, rows)], m))
+                found, keys, signs, done = fresh.peel()
+                sides = [([], []) for _ in range(n)]
+                for r, k, sign in zip(found.tolist(), keys.tolist(), signs.tolist()):
+                    sides[r][sign < 0].append(k)
+                result = []
+                for k, (p, r) in enumerate(zip(older, rows)):
+                    if p is None:
+                        result.append((r[0], r[1], None, None, None, None, None, part, 0, r[2], r[3], r[4]))
+                    else:
+                        same = p[2:4] == r[2:4]
+                        result.append((r[0], r[1], p[0] if same else None, p[1] if same else None, bool(done[k]), sorted(sides[k][0]), sorted(sides[k][1]), None, None, None, None, None))
+                yield out(result)
+                before = rows[-1]
+        if before is not None:
+            yield out([(before[0], before[1], None, None, None, None, None, part, 1, *before[2:5])])
+
+    ranged = table.where("first is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    compared = materialize(ranged.mapInArrow(compare, shape), "compared")
+    ends = Window.orderBy("part", "place")  # two rows of a partition
+    same = (F.lag("first").over(ends) == F.col("first")) & (F.lag("last").over(ends) == F.col("last"))
+    older = [F.when(same, F.lag(c).over(ends)).alias(n) for c, n in (("doc_id", "previous_id"), ("text_hash", "previous_hash"), ("sketch", "previous"))]
+    heads = compared.where("place is not null").select("doc_id", "text_hash", *older[:2], "sketch", older[2], "place").where("place = 0").drop("place")
+    results = ["doc_id", "text_hash", "previous_id", "previous_hash", "done", "added", "removed"]
+    return compared.where("place is null").select(*results).unionByName(materialize(_peeled(heads, m), "heads"))
+
+
 def paragraph_changes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
     """(doc_id, previous_id, added, removed), one row for each row of ``docs``.
 
@@ -165,11 +217,8 @@ def paragraph_changes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if cells < 3 or cells % 3:
         raise ValueError("cells must be a multiple of 3")
     table = materialize(_digests(docs, id_col, text_col), "digests")
-    chain = Window.partitionBy("first", "last").orderBy(F.col("doc_id").asc_nulls_first(), "text_hash")
-    sketched = _sketched(table, cells)
     identity = ["doc_id", "text_hash", "previous_id", "previous_hash"]
-    paired = sketched.where("first is not null").select("doc_id", "text_hash", *[F.lag(c).over(chain).alias(n) for c, n in (("doc_id", "previous_id"), ("text_hash", "previous_hash"))], "sketch", F.lag("sketch").over(chain).alias("previous"))
-    level, m, results = materialize(_peeled(paired, cells), "peeled"), cells, []
+    level, m, results = _chained(table, cells), cells, []
     by_id = table.select("doc_id", "text_hash", "digests")
     while True:
         results.append(level.where("done").select("doc_id", "previous_id", "added", "removed"))
