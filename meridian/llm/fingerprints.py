@@ -231,8 +231,11 @@ def paragraph_changes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         same = lambda a, b, i, h: F.col(f"{a}.{i}").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.{h}") == F.col(f"{b}.text_hash"))
         own = by_id.alias("t").join(ids.alias("i"), same("i", "t", "doc_id", "text_hash"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
         larger = materialize(_sketched(own, m), "sketches")
-        again = needed.alias("n").join(larger.alias("s"), same("n", "s", "doc_id", "text_hash")).join(larger.alias("p"), same("n", "p", "previous_id", "previous_hash"), "left")
-        level = materialize(_peeled(again.select(*[f"n.{c}" for c in identity], F.col("s.sketch"), F.col("p.sketch").alias("previous")), m), "peeled")
+        own = needed.alias("n").join(larger.alias("s"), same("n", "s", "doc_id", "text_hash")).select(*[f"n.{c}" for c in identity], "s.sketch")
+        # rows without a predecessor stay out of the second join, where they would all have one key
+        first = own.where("previous_hash is null").withColumn("previous", F.lit(None).cast("binary"))
+        later = own.where("previous_hash is not null").alias("n").join(larger.alias("p"), same("n", "p", "previous_id", "previous_hash")).select("n.*", F.col("p.sketch").alias("previous"))
+        level = materialize(_peeled(first.unionByName(later), m), "peeled")
     without = table.where("first is null").select("doc_id", F.lit(None).cast("long").alias("previous_id"), F.array().cast("array<long>").alias("added"), F.array().cast("array<long>").alias("removed"))
     out = without
     for result in results:
