@@ -1,7 +1,8 @@
 """Secret scans: a battery of randomness tests with false-discovery control.
 
 Candidates are runs of 16 or more characters of the alphabets that keys are
-written in.  Each is decoded by its inferred encoding to symbols, and tested for
+written in; "=" ends one, as between a name and its value, and belongs to it only
+as padding at the end.  Each is decoded by its inferred encoding to symbols, and tested for
 a uniform alphabet (chi-squared), for runs above and below the median, and for
 serial correlation; Fisher's method joins the three to one score of randomness.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128)
 FALSE_DISCOVERIES = 0.01
 #: Simulated natural strings for each encoding and length.
 SIMULATED = 5_000
-_RUN = re.compile(rb"[A-Za-z0-9+/=_\-]{%d,}" % SHORTEST)
+_RUN = re.compile(rb"[A-Za-z0-9+/_\-]{%d,}(?:=++(?![A-Za-z0-9+/_\-]))?" % SHORTEST)
 _HEX, _ALNUM = b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 ALPHABETS = {"decimal": b"0123456789", "hex": _HEX, "base32": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": b"abcdefghijklmnopqrstuvwxyz", "lower36": b"abcdefghijklmnopqrstuvwxyz0123456789", "alnum": _ALNUM, "base64": _ALNUM + b"+/", "base64url": _ALNUM + b"-_"}
 ENCODINGS = tuple(ALPHABETS)
@@ -123,12 +125,30 @@ def simulate(pairs: np.ndarray, seed: int = 1) -> dict[str, dict[int, np.ndarray
     return out
 
 
+def _continues(char: str) -> bool:
+    """Whether a character beyond ASCII, beside a run, belongs to the same word: a Latin letter, a digit, or a mark on the run's letter."""
+    kind = unicodedata.category(char)
+    name = unicodedata.name(char, "")
+    return (kind[0] == "L" and "LATIN" in name) or kind == "Nd" or (kind == "Mn" and "VARIATION SELECTOR" not in name)
+
+
+def _in_word(raw: bytes, low: int, high: int) -> bool:
+    """Whether the run is part of a longer word; marks, quotes, ideographs and other scripts don't continue it."""
+    if high < len(raw) and raw[high] >= 128 and _continues(raw[high : high + 4].decode("utf-8", "ignore")[0]):
+        return True
+    if not low or raw[low - 1] < 128:
+        return False
+    before = raw[max(0, low - 32) : low].decode("utf-8", "ignore")
+    base = before.rstrip("".join(c for c in set(before) if unicodedata.category(c) == "Mn"))  # a mark belongs to the letter before it
+    return base[-1:].isascii() and base[-1:].isalnum() or (base[-1:] > "\x7f" and _continues(base[-1]))
+
+
 def candidates(text: str | None) -> Iterator[tuple[int, bytes, str, bytes]]:
     """(byte offset, run, encoding, body) of the candidates in a text; parts of words in other letters are none."""
     raw = (text or "").encode("utf-8", "replace")
     for match in _RUN.finditer(raw):
         low, high = match.span()
-        if (low and raw[low - 1] >= 128) or (high < len(raw) and raw[high] >= 128):
+        if _in_word(raw, low, high):
             continue
         found = infer(match[0])
         if found:

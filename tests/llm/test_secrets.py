@@ -61,6 +61,24 @@ def test_planted_secrets_are_found_and_natural_runs_left(docs_of, rows):
     assert (got[got.encoding == "decimal"].secret == False).all()  # noqa: E712
 
 
+@pytest.mark.parametrize("name", list(PLANTED))
+def test_values_after_equals_signs_are_candidates(name):
+    run = PLANTED[name][0].encode()
+    for text in (b"API_KEY=%s", b"password=%s\n", b"https://a.example/x?token=%s&y=1", b"AWS_SECRET_ACCESS_KEY=%s", b"a=b==%s", b"=%s", b"%s=next"):
+        found = {r: start for start, r, *_ in sc.candidates((text % run).decode())}
+        assert found[run] == (text % run).index(run), text
+    padded = base64.b64encode(bytes(range(40)))
+    assert padded.endswith(b"==") and [r for _, r, *_ in sc.candidates("key=" + padded.decode())] == [padded]
+
+
+def test_only_letters_of_the_word_hide_a_run():
+    run = PLANTED["hex"][0]
+    for left, right in ("：；", "“”", "‘’", "—–", "«»", "钥匙", "はで", "는를", "\ufeff\u00a0", "🔑🔑", "№²"):
+        assert [r for _, r, *_ in sc.candidates(f"{left}{run}{right}")] == [run.encode()], left
+    for text in ("é" + run, run + "ß", "e\u0301" + run, run + "\u0301", "٣" + run, run + "ｱ"):
+        assert bool(list(sc.candidates(text))) == text.endswith("ｱ"), text
+
+
 def test_offsets_and_digests(docs_of):
     import hashlib
 
