@@ -9,7 +9,10 @@ serial correlation; Fisher's method joins the three to one score of randomness.
 How random natural text looks by the same battery depends on length and
 alphabet.  It is simulated from the letter pairs of the whole corpus, for each
 encoding and length.  A candidate's p-value is the share of such strings that
-look at least as random; Benjamini-Hochberg within each stratum of encoding and
+look at least as random.  Below the lowest twentieth of them a power of Fisher's
+statistic, fitted to it, carries the share on, so that it can be as small as a
+corpus needs.  The same is fitted to the corpus's own candidates that don't look
+random, and the larger share of the two counts.  Benjamini-Hochberg within each stratum of encoding and
 length controls the share of false discoveries.  Short candidates of natural
 shape can't reach it.
 """
@@ -33,6 +36,12 @@ LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128)
 FALSE_DISCOVERIES = 0.01
 #: Simulated natural strings for each encoding and length.
 SIMULATED = 5_000
+#: Share of the strings that the tail is fitted to, and the steepest power that is carried on.
+TAIL, STEEPEST = 0.05, 30.0
+#: Of Fisher's statistic of random strings (chi-squared, 6 degrees): the median, below which nothing is more of a secret, and what one in a thousand exceeds.
+MEDIAN, RARE = 5.3481, 22.4577
+#: Width of the corpus's histogram of the statistic, and levels of p-values for each factor of ten.
+WIDTH, LEVELS = 0.25, 200
 _RUN = re.compile(rb"[A-Za-z0-9+/_\-]{%d,}(?:=++(?![A-Za-z0-9+/_\-]))?" % SHORTEST)
 _HEX, _ALNUM = b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 ALPHABETS = {"decimal": b"0123456789", "hex": _HEX, "base32": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": b"abcdefghijklmnopqrstuvwxyz", "lower36": b"abcdefghijklmnopqrstuvwxyz0123456789", "alnum": _ALNUM, "base64": _ALNUM + b"+/", "base64url": _ALNUM + b"-_"}
@@ -108,8 +117,58 @@ def _natural(pairs: np.ndarray, allowed: np.ndarray, rng: np.random.Generator) -
     return allowed[letters]
 
 
+def fisher(uniform: np.ndarray, run: np.ndarray, serial: np.ndarray) -> np.ndarray:
+    """Fisher's statistic of the three p-values; the smaller, the more random."""
+    return -2 * sum(np.log(np.maximum(p, 1e-16)) for p in (uniform, run, serial))
+
+
+def _power(u: float, c: float, logs: np.ndarray, weights: np.ndarray) -> float:
+    """The power a of a share (x / u) ** a, from the logarithms of u / x of what lies between c and u."""
+    mean, span = float((logs * weights).sum() / weights.sum()), np.log(u / c) if c else np.inf
+    low, high = 1e-3, STEEPEST
+    for _ in range(60):
+        a = (low + high) / 2
+        low, high = (a, high) if 1 / a - (span / np.expm1(min(a * span, 700)) if c else 0) > mean else (low, a)
+    return (low + high) / 2
+
+
+class Shares:
+    """The share of natural strings that look at least as random as a statistic x: of simulated ones, or of the corpus's if that is larger."""
+
+    def __init__(self, simulated: np.ndarray):
+        self.own = np.sort(simulated)
+        k = int(TAIL * self.own.size)
+        low = np.maximum(self.own[:k], 1e-9)
+        self.below = [(float(low[-1]), k / (1 + self.own.size), _power(low[-1], 0, np.log(low[-1] / low), np.ones(k)))]
+
+    def learn(self, counts: np.ndarray) -> None:
+        """From the corpus's counts by WIDTH; the candidates that look random are taken out by their known distribution."""
+        edges = np.arange(counts.size + 1) * WIDTH
+        above = np.exp(-edges / 2) * (1 + edges / 2 + edges**2 / 8)
+        random = 2 * counts[: int(MEDIAN / WIDTH)].sum()
+        rest = np.where(edges[:-1] > RARE, np.maximum(counts - 1.5 * random * (above[:-1] - above[1:]), 0), 0)
+        total = rest.sum()
+        last = int(np.searchsorted(np.cumsum(rest), max(20, TAIL * total)))
+        if total < 100 or last >= counts.size:
+            return
+        c, u, some = float(edges[int(RARE / WIDTH) + 1]), float(edges[last + 1]), rest[: last + 1]
+        if u - c < 2 * WIDTH:
+            u, some = c + 2 * WIDTH, rest[: int(RARE / WIDTH) + 3]
+        if not some.sum():
+            return
+        a = _power(u, c, np.log(u / np.maximum(edges[: some.size] + WIDTH / 2, WIDTH / 2)), some)
+        self.below.append((u, float(min(1, some.sum() / total / -np.expm1(-a * np.log(u / c)))), a))
+
+    def __call__(self, x: float) -> float:
+        x = max(x, MEDIAN)
+        (u, share, a), *corpus = self.below
+        p = share * (x / u) ** a if x < u else float(np.searchsorted(self.own, x, "right") + 1) / (1 + self.own.size)
+        p = max([p, *(share * min(1, x / u) ** a for u, share, a in corpus)])
+        return float(min(1, 10 ** (np.ceil(LEVELS * np.log10(max(p, 1e-30))) / LEVELS)))
+
+
 def simulate(pairs: np.ndarray, seed: int = 1) -> dict[str, dict[int, np.ndarray]]:
-    """Sorted joint p-values of natural strings by encoding and length, from counts (26 x 26) of letter pairs.
+    """Fisher's statistics of natural strings by encoding and length, from counts (26 x 26) of letter pairs.
 
     The natural strings of an alphabet are those of the letters that it has.
     """
@@ -119,9 +178,9 @@ def simulate(pairs: np.ndarray, seed: int = 1) -> dict[str, dict[int, np.ndarray
         allowed = np.array([k for k in range(26) if bytes([case + k]) in alphabet], np.int64)
         if allowed.size:
             symbols = _PLACE[name][_natural(pairs, allowed, rng) + case]
-            out[name] = {n: np.sort(battery(symbols[:, :n], len(alphabet))[3]) for n in LENGTHS}
+            out[name] = {n: fisher(*battery(symbols[:, :n], len(alphabet))[:3]) for n in LENGTHS}
         else:
-            out[name] = {n: np.ones(SIMULATED) for n in LENGTHS}
+            out[name] = {n: np.zeros(SIMULATED) for n in LENGTHS}
     return out
 
 
@@ -196,16 +255,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_
     pairs = np.zeros(27 * 27, np.int64)
     for r in both.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[r["pair"]] = r["n"]
-    null = docs.sparkSession.sparkContext.broadcast(simulate(pairs.reshape(27, 27)[:26, :26], seed))  # of fixed size
+    shares = {name: {n: Shares(x) for n, x in by.items()} for name, by in simulate(pairs.reshape(27, 27)[:26, :26], seed).items()}
+    statistic = sum((F.log(F.greatest(F.col(c), F.lit(1e-16))) * -2 for c in ("uniform", "runs", "serial")), F.lit(0.0))
+    bins = int(-6 * np.log(1e-16) / WIDTH) + 1
+    seen: dict[tuple[str, int], np.ndarray] = {}
+    # at most bins rows for each encoding and length
+    for r in both.where("pair is null").groupBy("encoding", "stratum", F.least(F.floor(statistic / WIDTH), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n")).collect():
+        seen.setdefault((r["encoding"], r["stratum"]), np.zeros(bins, np.int64))[r["bin"]] = r["n"]
+    for (name, n), counts in seen.items():
+        shares[name][n].learn(counts)
+    null = docs.sparkSession.sparkContext.broadcast(shares)  # of fixed size
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            joint = batch.column("joint").to_numpy()
-            natural = np.ones(len(joint))
-            for k, (name, n) in enumerate(zip(batch.column("encoding").to_pylist(), batch.column("stratum").to_pylist())):
-                own = null.value[name][n]
-                natural[k] = (1 + own.size - np.searchsorted(own, joint[k])) / (1 + own.size)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(natural)], [*batch.schema.names, "natural"])
+            x = fisher(*(batch.column(c).to_numpy() for c in ("uniform", "runs", "serial")))
+            natural = np.array([null.value[name][n](v) for name, n, v in zip(batch.column("encoding").to_pylist(), batch.column("stratum").to_pylist(), x)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(natural, pa.float64())], [*batch.schema.names, "natural"])
 
     kept = both.where("pair is null").drop("pair", "n")
     compared = kept.mapInArrow(compare, shape.removesuffix(", pair int, n long") + ", natural double")

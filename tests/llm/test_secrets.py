@@ -98,6 +98,42 @@ def test_control_equals_benjamini_hochberg(docs_of, rows):
         assert ((g.natural <= limit) == g.secret).all(), name
 
 
+def _runs(n, seed):
+    g = random.Random(seed)
+    return ["".join(g.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(48)) for _ in range(n)]
+
+
+def _slugs(n):
+    return ["".join(prose(i, 12).split()).capitalize()[:48] for i in range(n)]
+
+
+def test_rare_secrets_are_found_however_many_natural_runs_there_are(docs_of):
+    natural, keys = _slugs(20_000), _runs(20, 3)
+    lines = [" ".join(natural[i : i + 20]) for i in range(0, 20_000, 20)]
+    got = sc.scan(docs_of([*enumerate(lines), *((5000 + i, f"{k} end") for i, k in enumerate(keys))])).toPandas()
+    got = got[got.encoding == "alnum"]
+    assert len(got) > 19_000
+    found = got[got.secret].doc_id
+    assert (found >= 5000).sum() >= 18 and (found < 5000).sum() <= 1
+
+
+def test_share_of_natural_strings_learns_from_the_corpus():
+    g = np.random.default_rng(5)
+    far = sc.Shares(g.normal(120, 10, 5000))
+    bins = 900
+    count = lambda x: np.bincount((x / sc.WIDTH).astype(int), minlength=bins)[:bins]
+    assert far(6.0) < 1e-12 and far(0.0) == far(sc.MEDIAN)
+    only_keys = sc.Shares(g.normal(120, 10, 5000))
+    only_keys.learn(count(g.chisquare(6, 100_000)))
+    assert only_keys(6.0) < 1e-12
+    mixed = sc.Shares(g.normal(120, 10, 5000))
+    mixed.learn(count(np.r_[g.chisquare(6, 100_000), g.normal(90, 12, 2000).clip(30)]))
+    assert mixed(6.0) < 1e-5
+    near = sc.Shares(g.normal(120, 10, 5000))  # the corpus's natural runs look more random than the simulated ones
+    near.learn(count(g.gamma(4, 8, 100_000)))
+    assert near(6.0) > 1e-3 and near(6.0) > 1e3 * far(6.0)
+
+
 def test_awkward_rows(docs_of, awkward):
     long = "x" * 50 + " " + PLANTED["hex"][1] + " " + "ab" * 40_000
     rows = [*awkward, (30, long), (None, PLANTED["hex"][2]), (31, PLANTED["hex"][3]), (31, PLANTED["hex"][3]), (32, "é" + PLANTED["hex"][4])]
