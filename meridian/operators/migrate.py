@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.operators import gate
-from meridian.operators.knn import topk
+from meridian.operators.blocks import matrix, normalized
 from meridian.operators.mapping import Mapping
-from meridian.operators.metrics import neighbor_overlap
 from meridian.plans.numbering import numbered
 
 
@@ -80,13 +81,23 @@ def integrity(df: DataFrame, size: int, id_col: str = "id") -> DataFrame:
     return listed.groupBy("batch").agg(F.count("*").alias("n"), F.hex(F.bit_xor(F.xxhash64(id_col, "vec"))).alias("hash"))
 
 
-def sampled_overlap(source: DataFrame, target: DataFrame, n: int = 50, k: int = 10) -> DataFrame:
-    """(overlap): mean share of common neighbours within a hash sample of ids, before and after."""
-    few = source.orderBy(F.md5(F.col("id").cast("string"))).limit(n).select("id", "vec")
-    numbered = few.select("id", "vec", F.xxhash64("id").alias("n"))
-    after = target.join(few.select("id"), "id", "left_semi").select("id", "vec", F.xxhash64("id").alias("n"))
-    lists = [topk(t, t, k, ("n", "vec"), ("n", "vec")) for t in (numbered, after)]
-    return neighbor_overlap(*lists, k=k).agg(F.avg("overlap").alias("overlap"))
+def sampled_overlap(source: DataFrame, target: DataFrame, n: int = 50, k: int = 10, size: int = 1000, every: int = 10) -> DataFrame:
+    """(overlap): mean share of common neighbours, before and after, among the first n rows of every tenth batch of ids in order, and of the last."""
+    listed = numbered(source.select("id", "vec"), "id")
+    last = max(0, source.count() - 1) // size
+    listed = listed.withColumn("batch", F.expr(f"position div {size}")).where(F.expr(f"position % {size} < {n}") & (F.expr(f"(batch + 1) % {every} = 0") | (F.col("batch") == last)))
+    both = listed.join(target.select("id", F.col("vec").cast("array<double>").alias("after")), "id").select("batch", "position", F.col("vec").cast("array<double>").alias("vec"), "after")
+
+    def shared(table: pa.Table) -> pa.Table:
+        table = table.sort_by("position").combine_chunks()
+        near = []
+        for c in ("vec", "after"):
+            m = normalized(matrix(table.column(c).combine_chunks()))
+            near.append(np.argsort(-np.round(m @ m.T, 9), axis=1, kind="stable")[:, :k])
+        common = [np.intersect1d(a, b).size / a.size for a, b in zip(*near)]
+        return pa.table({"overlap": pa.array(common, pa.float64())})
+
+    return both.groupBy("batch").applyInArrow(shared, "overlap double").agg(F.avg("overlap").alias("overlap"))
 
 
 def preflight(pairs: DataFrame, mapped: str, target: str, **options) -> DataFrame:

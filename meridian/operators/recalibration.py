@@ -29,10 +29,14 @@ def recalibrated(score: Column, points: tuple[list[float], list[float]] | None)
     return vec.interpolate(score, *points) if points else score
 
 
-def score_pairs(pairs: DataFrame, mapped: str, target: str, n_random: int = 2000, per_query: int = 20, seed: int = 0, id_col: str = "id") -> DataFrame:
-    """(q, d, mapped, ceiling): hash-drawn random pairs, and each query's top candidates in the mapped space; duplicates stay."""
+def score_pairs(pairs: DataFrame, mapped: str, target: str, n_random: int | None = None, per_query: int = 20, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """(q, d, mapped, ceiling): hash-drawn random pairs, and each query's top candidates in the mapped space; duplicates stay.
+
+    By default min(50,000, n * n) pairs are drawn of n rows.
+    """
     keyed = pairs.select(F.col(id_col).alias("id"), F.col(mapped).cast("array<double>").alias("m"), F.col(target).cast("array<double>").alias("t"))
     n = keyed.count()
+    n_random = min(50_000, n * n) if n_random is None else n_random
     listed = numbered(keyed, "id", name="k")
     draw = lambda s: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{s}:"), F.col("r").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(max(1, n)))
     random = pairs.sparkSession.range(n_random).select(F.col("id").alias("r")).select(draw("q").alias("kq"), draw("d").alias("kd"))

@@ -316,6 +316,11 @@ _DRAW = "(('0x' || substr(md5('0:{0}:' || r::VARCHAR), 1, 8))::BIGINT % (select
 
 @query(f"with {PAIR}, num as (select *, row_number() over (order by id) - 1 as k from pair), dr as (select {_DRAW.format('a')} as ka, {_DRAW.format('b')} as kb from range(2000) t(r)), c as (select list_dot_product(a.t, b.t) as c from dr join num a on a.k = ka join num b on b.k = kb), v as (select var_pop(list_dot_product(m, t)) as v from pair) select {_r('max(v.v) / var_pop(c.c)')} as compression from c, v")
 def margin_compression(spark, sf):
+    return gate.margin_compression(pairs(spark, sf), "m", "t", 2000).select(r6("compression"))
+
+
+@query()
+def margin_compression_full(spark, sf):
     return gate.margin_compression(pairs(spark, sf), "m", "t").select(r6("compression"))
 
 
@@ -503,8 +508,16 @@ def gate_verdict_grid(spark, sf):
     return _predicted(spark).select("i", "k", gate.verdict(F.col("lo"), F.col("hi")).alias("verdict"))
 
 
-def _scores(spark, sf) -> DataFrame:
-    return materialize(recalibration.score_pairs(pairs(spark, sf), "m", "t"), "scores")
+def _scores(spark, sf, n_random: int | None = None) -> DataFrame:
+    return materialize(recalibration.score_pairs(pairs(spark, sf), "m", "t", n_random), "scores")
+
+
+def _score_means(scores: DataFrame) -> DataFrame:
+    return scores.agg(F.count("*").alias("n"), r6(F.avg("mapped"), "mean_mapped"), r6(F.avg("ceiling"), "mean_ceiling"), r6(F.corr("mapped", "ceiling"), "correlation"))
+
+
+def _agreement(scores: DataFrame) -> DataFrame:
+    return recalibration.threshold_agreement(scores, F.round("mapped", 9), F.round("ceiling", 9)).select("threshold", r6("agreement"))
 
 
 _SCORES = f"""with {PAIR}, num as (select *, row_number() over (order by id) - 1 as k from pair), {sims_sql('near', 'm', 't')},
@@ -515,16 +528,31 @@ scores as (select c.q, c.d, list_dot_product(a.m, b.t) as mapped, list_dot_produ
 
 @query(_SCORES + f" select count(*) as n, {_r('avg(mapped)')} as mean_mapped, {_r('avg(ceiling)')} as mean_ceiling, {_r('corr(mapped, ceiling)')} as correlation from scores")
 def score_pairs(spark, sf):
-    return _scores(spark, sf).agg(F.count("*").alias("n"), r6(F.avg("mapped"), "mean_mapped"), r6(F.avg("ceiling"), "mean_ceiling"), r6(F.corr("mapped", "ceiling"), "correlation"))
+    return _score_means(_scores(spark, sf, 2000))
+
+
+@query()
+def score_pairs_full(spark, sf):
+    return _score_means(_scores(spark, sf))
 
 
 @query(_SCORES + f", tau as (select unnest([0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) as threshold) select threshold, {_r('avg(((round(mapped, 9) >= threshold) = (round(ceiling, 9) >= threshold))::INT::DOUBLE)')} as agreement from scores, tau group by threshold")
 def threshold_agreement(spark, sf):
-    return recalibration.threshold_agreement(_scores(spark, sf), F.round("mapped", 9), F.round("ceiling", 9)).select("threshold", r6("agreement"))
+    return _agreement(_scores(spark, sf, 2000))
+
+
+@query()
+def threshold_agreement_full(spark, sf):
+    return _agreement(_scores(spark, sf))
 
 
 @query(_SCORES + f", top as (select mapped as s from scores order by mapped desc limit 20), d as (select s, s - lag(s) over (order by s) as gap from top) select {_r('avg(gap)')} as gap from d")
 def top20_margin(spark, sf):
+    return recalibration.top_gap(_scores(spark, sf, 2000), F.col("mapped")).select(r6("gap"))
+
+
+@query()
+def top20_margin_full(spark, sf):
     return recalibration.top_gap(_scores(spark, sf), F.col("mapped")).select(r6("gap"))
 
 
@@ -552,3 +580,9 @@ _CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101184
 def bootstrap_ci(spark, sf):
     ranks = knn.self_ranks(pairs(spark, sf), "m", "t")
     return gate.bootstrap(ranks, 50).select("metric", r6("low"), r6("high"))
+
+
+@query()
+def bootstrap_ci_full(spark, sf):
+    ranks = knn.self_ranks(pairs(spark, sf), "m", "t")
+    return gate.bootstrap(ranks).select("metric", r6("low"), r6("high"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.operators import analysis, gate, recalibration, reports
+from meridian.operators import analysis, gate, migrate, recalibration, reports
 
 
 def pairs(spark, noise, scale=None, n=200, d=16, seed=0):
@@ -55,6 +55,31 @@ def test_compression_is_null_without_reference_variance(spark):
     assert gate.margin_compression(df, "m", "t").first()["compression"] is None
 
 
+def test_compression_draws_a_reference_pair_for_each_row(spark):
+    df = pairs(spark, 0.3, n=2500)
+    got = [gate.margin_compression(df, "m", "t", *n).first()["compression"] for n in ((), (2500,), (2000,))]
+    assert got[0] == got[1] != got[2]
+
+
+@pytest.mark.parametrize(("n", "want"), [(60, 3600), (240, 50_000)])
+def test_score_pairs_draws_as_many_as_the_reference(spark, n, want):
+    assert recalibration.score_pairs(pairs(spark, 0.3, n=n), "m", "t").count() == want + 20 * n
+
+
+def test_overlap_is_sampled_from_every_tenth_batch_and_the_last(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(450, 8))
+    b = np.where(np.arange(450)[:, None] >= 440, rng.normal(size=(450, 8)), a)
+    table = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = migrate.sampled_overlap(table(a), table(b), n=12, k=3, size=20).first()["overlap"]
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = []
+    for at in (180, 380, 440):
+        near = [np.argsort(-unit(x[at : min(at + 12, 450)]) @ unit(x[at : min(at + 12, 450)]).T, axis=1)[:, :3] for x in (a, b)]
+        want += [len(set(p) & set(q)) / 3 for p, q in zip(*near)]
+    assert got == pytest.approx(np.mean(want)) and got < 1
+
+
 def test_bootstrap_brackets_the_measure(spark):
     ranks = spark.createDataFrame([(i, 1 if i % 4 else 20) for i in range(200)], "id long, rank long")
     got = {r["metric"]: (r["low"], r["high"]) for r in gate.bootstrap(ranks, 100).collect()}
