@@ -21,10 +21,11 @@ from pyspark.sql.types import ArrayType, DoubleType
 from meridian.functions import vec
 from meridian.operators.blocks import matrix, normalized
 from meridian.operators.linalg import gram, least_squares, protocol_solve, truncated
+from meridian.plans.materialize import materialize
 
 ALPHAS = np.logspace(-3, 3, 25)
-#: Most calibration pairs that a network is fitted on, on the driver.
-MLP_ROWS = 20_000
+#: Bytes of pairs up to which a network is trained on the driver; beyond them each epoch is a pass over the pairs on the executors.
+MLP_BYTES = 64 << 20
 
 
 class MappingError(ValueError):
@@ -227,35 +228,91 @@ def _network(layers: list[np.ndarray], m: np.ndarray) -> np.ndarray:
     return out + m if m.shape[1] == out.shape[1] else out
 
 
-def _train(x: np.ndarray, y: np.ndarray, hidden: int, rate: float, epochs: int, seed: int) -> list[np.ndarray]:
-    rng = np.random.default_rng(seed)
-    skip = x.shape[1] == y.shape[1]
-    uniform = lambda a, b: rng.uniform(-1, 1, (a, b)) / math.sqrt(a)
-    layers = [uniform(x.shape[1], hidden), np.zeros(hidden), np.zeros((hidden, y.shape[1])) if skip else uniform(hidden, y.shape[1]), np.zeros(y.shape[1])]
-    first, second = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers]
-    for t in range(1, epochs + 1):
-        z = x @ layers[0] + layers[1]
-        phi = 0.5 * (1 + _ERF(z / math.sqrt(2)))
-        h = z * phi
-        error = 2 * (h @ layers[2] + layers[3] + (x if skip else 0) - y) / y.size
-        dz = (error @ layers[2].T) * (phi + z * np.exp(-z * z / 2) / math.sqrt(2 * math.pi))
-        for p, m, v, g in zip(layers, first, second, (x.T @ dz, dz.sum(axis=0), h.T @ error, error.sum(axis=0))):
+class _Net:
+    """Linear, GELU, linear, with a skip connection if square, and the state of Adam."""
+
+    def __init__(self, p: int, q: int, hidden: int, seed: int):
+        rng = np.random.default_rng(seed)
+        uniform = lambda a, b: rng.uniform(-1, 1, (a, b)) / math.sqrt(a)
+        self.layers = [uniform(p, hidden), np.zeros(hidden), np.zeros((hidden, q)) if p == q else uniform(hidden, q), np.zeros(q)]
+        self.first, self.second, self.t = [np.zeros_like(w) for w in self.layers], [np.zeros_like(w) for w in self.layers], 0
+
+    def step(self, gradients: list[np.ndarray], rate: float) -> None:
+        self.t += 1
+        for p, m, v, g in zip(self.layers, self.first, self.second, gradients):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return layers
+            p -= rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+
+
+def _gradients(layers: list[np.ndarray], x: np.ndarray, y: np.ndarray, total: int) -> list[np.ndarray]:
+    """What the rows add to the gradient of the mean squared error over ``total`` values."""
+    skip = x.shape[1] == y.shape[1]
+    z = x @ layers[0] + layers[1]
+    phi = 0.5 * (1 + _ERF(z / math.sqrt(2)))
+    h = z * phi
+    error = 2 * (h @ layers[2] + layers[3] + (x if skip else 0) - y) / total
+    dz = (error @ layers[2].T) * (phi + z * np.exp(-z * z / 2) / math.sqrt(2 * math.pi))
+    return [x.T @ dz, dz.sum(axis=0), h.T @ error, error.sum(axis=0)]
+
+
+def _epoch(rows: DataFrame, nets: list[list[np.ndarray]], totals: list[int]) -> list[list[np.ndarray]]:
+    """The gradients of both nets over all rows: partitions sum their part, executors add the parts, piece by piece."""
+    shared = rows.sparkSession.sparkContext.broadcast(nets)  # of the networks' size
+    width = 4096
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x, y = (matrix(c) for c in batch.slice(at, 4096).columns)
+                flat = np.concatenate([g.ravel() for layers, a, b, n in zip(shared.value, (x, y), (y, x), totals) for g in _gradients(layers, a, b, n)])
+                total = flat if total is None else total + flat
+        if total is not None:
+            pieces = [total[k : k + width].tobytes() for k in range(0, total.size, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces))), pa.array(pieces, pa.binary())], ["i", "piece"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[i] = sums.get(i, 0) + np.frombuffer(piece)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["i", "piece"])
+
+    shape = "i long, piece binary"
+    pieces = {r["i"]: np.frombuffer(r["piece"]) for r in rows.mapInArrow(partial, shape).repartition("i").mapInArrow(added, shape).collect()}
+    shared.destroy()
+    flat, out, at = np.concatenate([pieces[i] for i in range(len(pieces))]), [], 0
+    for layers in nets:
+        out.append([])
+        for w in layers:
+            out[-1].append(flat[at : at + w.size].reshape(w.shape))
+            at += w.size
+    return out
 
 
 def fit_mlp(pairs: DataFrame, x: str = "x", y: str = "y", hidden: int | None = None, rate: float = 1e-3, epochs: int = 200, seed: int = 0, id_col: str = "id") -> Mapping:
-    """Experimental: linear, GELU, linear with a skip connection if square, full-batch Adam; one net each way.
+    """Experimental: linear, GELU, linear with a skip connection if square, full-batch Adam over all pairs; one net each way.
 
-    It is trained on the driver over at most ``MLP_ROWS`` pairs, chosen by hash of the id.
+    Up to ``MLP_BYTES`` of pairs are trained on by the driver; beyond, the
+    gradients of each epoch are summed over the partitions.
     """
     n, p, q = validate(pairs, x, y)
-    rows = pairs.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))).alias("h")).orderBy("h").limit(MLP_ROWS).toArrow()
-    a, b = (matrix(rows.column(c).combine_chunks()) for c in ("x", "y"))
     size = hidden or min(256, p)
-    return Mapping("mlp", np.zeros((p, q)), None, layers={"forward": _train(a, b, size, rate, epochs, seed), "inverse": _train(b, a, size, rate, epochs, seed + 1)})
+    forward, inverse = _Net(p, q, size, seed), _Net(q, p, size, seed + 1)
+    both = pairs.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))).alias("h"))
+    if n * (p + q) * 8 <= MLP_BYTES:
+        rows = both.orderBy("h").toArrow()
+        a, b = (matrix(rows.column(c).combine_chunks()) for c in ("x", "y"))
+        for net, u, v in ((forward, a, b), (inverse, b, a)):
+            for _ in range(epochs):
+                net.step(_gradients(net.layers, u, v, v.size), rate)
+    else:
+        rows = materialize(both.select("x", "y"), "training")  # read once for each epoch
+        for _ in range(epochs):
+            for net, g in zip((forward, inverse), _epoch(rows, [forward.layers, inverse.layers], [n * q, n * p])):
+                net.step(g, rate)
+    return Mapping("mlp", np.zeros((p, q)), None, layers={"forward": forward.layers, "inverse": inverse.layers})
 
 
 FITTERS = {"ridge": fit_ridge, "procrustes": fit_procrustes, "procrustes_diag": fit_procrustes_diag, "lowrank": fit_lowrank, "mlp": fit_mlp, "protocol": fit_protocol}

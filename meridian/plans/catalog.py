@@ -446,7 +446,7 @@ def _fit_query(name: str, kind: str, **options) -> None:
 
 for _name, _kind, _options in (
     ("ridge_fit", "ridge", {"alpha": 0.5}), ("ridge_auto_alpha", "ridge", {}), ("procrustes_fit", "procrustes", {}), ("procrustes_diag_fit", "procrustes_diag", {}),
-    ("lowrank_fit", "lowrank", {"rank": 32, "alpha": 0.5}), ("lstsq_protocol", "protocol", {}), ("mlp_fit", "mlp", {"epochs": 100, "hidden": 32}),
+    ("lowrank_fit", "lowrank", {"rank": 32, "alpha": 0.5}), ("lstsq_protocol", "protocol", {}), ("mlp_fit", "mlp", {}),
 ):
     _fit_query(_name, _kind, **_options)
 

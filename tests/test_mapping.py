@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meridian.operators import analysis, linalg, mapping
 from meridian.sources import models
@@ -106,6 +107,29 @@ def test_mlp_learns(spark):
     assert (unit(got) * unit(y)).sum(axis=1).mean() > 0.8
 
 
+def test_mlp_counts_every_pair(spark):
+    """More than 20,000 pairs: the last ones, of another map, move the network."""
+    x, y, _ = gaussian(24_000, 4, 4, orthogonal=True)
+    df = frame(spark, x, y)
+    rows = df.select(F.md5(F.concat(F.lit("0:"), F.col("id").cast("string"))).alias("h"), "id").orderBy("h").collect()
+    late = np.array([r["id"] for r in rows[20_000:]])
+    z = y.copy()
+    z[late] = -y[late]
+    a, b = (mapping.fit_mlp(d, hidden=4, epochs=5, rate=1e-2).layers["forward"] for d in (df, frame(spark, x, z)))
+    assert not np.allclose(a[3], b[3]) and not np.allclose(a[2], b[2])
+
+
+@pytest.mark.parametrize(("p", "q"), [(6, 6), (7, 3)])
+def test_mlp_on_the_executors_equals_that_on_the_driver(spark, monkeypatch, p, q):
+    x, y, _ = gaussian(300, p, q, orthogonal=p == q)
+    df = frame(spark, x, y).repartition(5)
+    local = mapping.fit_mlp(df, hidden=8, epochs=4, rate=1e-2)
+    monkeypatch.setattr(mapping, "MLP_BYTES", 0)
+    spread = mapping.fit_mlp(df, hidden=8, epochs=4, rate=1e-2)
+    for way in ("forward", "inverse"):
+        assert all(np.allclose(u, v, atol=1e-9) for u, v in zip(local.layers[way], spread.layers[way]))
+
+
 def test_transform_equals_apply_and_is_unit(rectangular):
     x, _, df = rectangular
     m = mapping.fit_ridge(df, alpha=0.5)
