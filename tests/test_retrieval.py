@@ -140,3 +140,10 @@ def test_interpolation_equals_numpy(spark, x):
     got = spark.range(1).select(vec.interpolate(F.lit(x), xs, ys).alias("y")).first()["y"]
     want = 0.6 if x == 0.5 else float(np.interp(x, xs, ys))
     assert got == pytest.approx(want) or x == 0.5 and got in (0.3, 0.6)
+
+
+def test_retrieval_corpus_over_all_documents(spark, sf):
+    from meridian.plans.catalog_all import QUERIES
+
+    ids = {r["id"] for r in QUERIES["retrieval_corpus_full"](spark, sf).collect()}
+    assert ids == {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()} and len(ids) > 150
