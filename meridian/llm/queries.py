@@ -11,7 +11,7 @@ from meridian.llm.chat import format_chats
 from meridian.llm.decontaminate import contamination
 from meridian.llm.fingerprints import paragraph_changes
 from meridian.llm.mixing import mix
-from meridian.llm.near_dedup import near_pairs
+from meridian.llm.near_dedup import near_classes
 from meridian.llm.quality import quality
 from meridian.llm.secrets import scan
 from meridian.llm.sharding import shard_ids
@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(_table(spark, sf_dir, "documents"))
+    return near_classes(_table(spark, sf_dir, "documents"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

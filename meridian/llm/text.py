@@ -69,3 +69,8 @@ def texts_of(column) -> Iterable[str | None]:
     """Texts of an Arrow column, a slice at a time, so that few are Python objects at once."""
     for start in range(0, len(column), 256):
         yield from column.slice(start, 256).to_pylist()
+
+
+def type_of(df, column: str) -> str:
+    """The type of a column, as DDL."""
+    return df.schema[column].dataType.simpleString()

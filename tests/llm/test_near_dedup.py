@@ -16,18 +16,30 @@ def signature(text):
     return nd.minhash(shingles(WordHashes().of(found), nd.NGRAM), *nd.coefficients(1)) if found else None
 
 
+def documents(rows):
+    """Signatures by (id, text) of the rows that can have copies."""
+    return {(i, t): signature(t) for i, t in rows if i is not None and signature(t) is not None}
+
+
 def brute(rows, threshold=nd.THRESHOLD):
-    """All pairs of ids whose signatures agree often enough."""
-    need, sigs = math.ceil(threshold * nd.COORDS - 1e-9), {}
-    for i, t in rows:
-        if i is not None and (s := signature(t)) is not None:
-            sigs.setdefault(i, []).append(s)
-    out = {}
-    for a, b in combinations(sorted(sigs), 2):
-        best = max(int((x == y).sum()) for x in sigs[a] for y in sigs[b])
-        if best >= need:
-            out[a, b] = best
-    return out
+    """All pairs of documents whose signatures agree often enough."""
+    need, sigs = math.ceil(threshold * nd.COORDS - 1e-9), documents(rows)
+    return {(a, b): n for a, b in combinations(sorted(sigs), 2) if (n := int((sigs[a] == sigs[b]).sum())) >= need}
+
+
+def brute_classes(rows, threshold=nd.THRESHOLD):
+    """(id, class, links) of each row, from all pairs."""
+    pairs = brute(rows, threshold)
+    root = groups(pairs)
+    links = {}
+    for pair in pairs:
+        for x in pair:
+            links[x] = links.get(x, 0) + 1
+    return sorted(str((i, root.get((i, t), (i,))[0], links.get((i, t), 0))) for i, t in rows)
+
+
+def classes(df, **options):
+    return sorted(str(tuple(r)) for r in nd.near_classes(df, **options).collect())
 
 
 def corpus():
@@ -37,14 +49,6 @@ def corpus():
     return rows + [(200 + k, prose(3, 33)) for k in range(5)]
 
 
-def listed(rows, want):
-    """Those pairs of brute() that are listed: of equal signatures only the least id is paired with others."""
-    full, first = {i: signature(t).tobytes() for i, t in rows}, {}
-    for i in sorted(full):
-        first.setdefault(full[i], i)
-    return {(a, b): n for (a, b), n in want.items() if first[full[a]] == a and (first[full[b]] == b or full[a] == full[b])}
-
-
 def groups(edges):
     root = {}
 
@@ -58,25 +62,46 @@ def groups(edges):
     return {x: find(x) for x in root}
 
 
-def test_pairs_are_those_of_all_pairs(docs_of):
+def test_classes_are_those_of_all_pairs(docs_of):
     rows = corpus()
-    want = brute(rows)
-    got = {(r["doc_id_a"], r["doc_id_b"]): r["matches"] for r in nd.near_pairs(docs_of(rows)).collect()}
-    assert got == listed(rows, want) and groups(got) == groups(want)
+    assert classes(docs_of(rows)) == brute_classes(rows)
 
 
-def test_one_hot_list_is_cut_into_chunks(docs_of, monkeypatch):
+def test_pairs_of_classes_are_all_pairs(docs_of):
+    """Every pair of different signatures is listed under the least ids of both."""
+    rows = corpus()
+    least = {}
+    for (i, _), s in sorted(documents(rows).items()):
+        least.setdefault(s.tobytes(), i)
+    sigs = documents(rows)
+    want = {tuple(sorted((least[sigs[a].tobytes()], least[sigs[b].tobytes()]))): n for (a, b), n in brute(rows).items() if n < nd.COORDS}
+    assert {(r["doc_id_a"], r["doc_id_b"]): r["matches"] for r in nd.near_pairs(docs_of(rows)).collect()} == want
+
+
+@pytest.mark.parametrize("hot", [1, nd.HOT])
+def test_one_hot_list_is_cut_into_chunks(docs_of, monkeypatch, hot):
+    """Counts are right whether or not an element's count is broadcast."""
     monkeypatch.setattr(nd, "CHUNK", 4)
-    rows = [(i, edited(prose(1, 80), i, 1)) for i in range(40)]
-    got = {(r["doc_id_a"], r["doc_id_b"]): r["matches"] for r in nd.near_pairs(docs_of(rows)).collect()}
-    assert got == listed(rows, brute(rows)) and len(got) > 300
+    monkeypatch.setattr(nd, "HOT", hot)
+    rows = [(i, edited(prose(1, 80), i, 1)) for i in range(40)] + [(50 + i, prose(1, 80)) for i in range(3)]
+    got = classes(docs_of(rows))
+    assert got == brute_classes(rows) and str((40 - 1, 0, 42)) in got
 
 
 @pytest.mark.parametrize("threshold", [0.02, 0.5, 0.9, 1.0])
 def test_thresholds(docs_of, threshold):
     rows = [(i, edited(prose(i % 3, 40), i, i % 7)) for i in range(25)]
-    got = {(r["doc_id_a"], r["doc_id_b"]) for r in nd.near_pairs(docs_of(rows), threshold=threshold).collect()}
-    assert groups(got) == groups(brute(rows, threshold))
+    assert classes(docs_of(rows), threshold=threshold) == brute_classes(rows, threshold)
+
+
+def test_ids_of_any_type(docs_of):
+    from pyspark.sql import functions as F
+
+    rows = corpus()
+    named = docs_of(rows).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    want = brute_classes([(f"d{i:04}", t) for i, t in rows])
+    assert classes(named) == want
+    assert sorted(r["doc_id"] for r in nd.near_dedup(named).collect()) == sorted({w.split("'")[3] for w in want})
 
 
 def test_bad_threshold(docs_of):
@@ -88,7 +113,7 @@ def test_dedup_keeps_the_least_id_of_each_group(docs_of):
     rows = corpus()
     root = groups(brute(rows))
     kept = {r["doc_id"] for r in nd.near_dedup(docs_of(rows)).collect()}
-    assert kept == {i for i, _ in rows if root.get(i, i) == i}
+    assert kept == {i for i, t in rows if root.get((i, t), (i, t)) == (i, t)}
 
 
 def test_components_of_a_long_chain(spark):
@@ -103,19 +128,19 @@ def test_components_of_no_edges(spark):
 
 def test_awkward_rows(docs_of, awkward):
     df = docs_of(awkward, **CLASHING)
-    got = {(r["doc_id_a"], r["doc_id_b"]) for r in nd.near_pairs(df).collect()}
-    assert got == {(4, 11), (9, 10)}
+    assert classes(df) == brute_classes(awkward)
+    assert nd.near_pairs(df).count() == 0
     kept = nd.near_dedup(df)
     assert kept.columns == df.columns
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
     ids = [i for i, _ in rows]
-    assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7, 8, 9] and ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 6, 7, 8, 9] and ids.count(None) == 2
     assert all(r["key"] == 1 and r["gone"] == "x" for r in kept.select("key", "gone").collect())
 
 
 def test_empty_table(docs_of):
     df = docs_of([(1, "a")]).where("false")
-    assert nd.near_pairs(df).count() == 0 and nd.near_dedup(df).count() == 0
+    assert nd.near_classes(df).count() == 0 and nd.near_dedup(df).count() == 0
 
 
 def test_planted_copies_are_found(docs_of):
