@@ -1,16 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The examples are a bounded sample of labelled documents.  The vector space is
-spanned by the words, and the beginnings of words, whose share of documents
-differs between the classes (chi-squared over the examples), and by one term
-for all other words together, so that a stray match weighs little in an
-otherwise plain text.  Document frequencies come from the whole corpus.
-Postings lie by (term, block of examples), with the highest weight of
-each term in each block.  For a query these give an upper bound for every
-block; the two best blocks are scored first, and of the others only those whose
-bound reaches the k-th best score so far.  The k nearest are therefore exact.
-Their votes, weighted by similarity, pass through an isotonic map fitted on the
-examples (each judged by the others) at the labels' own toxic rate.
+The examples are a bounded sample of labelled documents, and the space is that
+of all their words.  A word weighs (1 + ln tf) * idf * rf^2: document
+frequencies come from the whole corpus, and rf = log2(2 + a / max(1, c)), the
+relevance frequency of supervised term weighting, from the a toxic and c clean
+examples that have the word.  No word is left out; without rf, a long text's
+nearest examples are those that share its common words.
+
+Examples lie in blocks of similar ones, and postings by (word, block) with the
+highest weight of the word in the block.  For a query these give an upper bound
+for every block.  The blocks of the highest bounds are scored first, and of the
+others only those whose bound reaches the k-th best score so far, in a few
+waves.  The k nearest are therefore exact.  Their votes, weighted by squared
+similarity, pass through an isotonic map fitted on the examples (each judged by
+the others) at the labels' own toxic rate.
 """
 
 from __future__ import annotations
@@ -23,61 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.text import CACHE_ENTRIES, texts_of, words
+from meridian.llm.text import texts_of, type_of, words
 from meridian.plans.materialize import materialize
 
 #: Labelled examples of each class in the index, at most: the bound of the fitted sample.
 EXAMPLES = 2048
+#: Bytes of the examples' texts of each class, at most, and of one example's text.
+EXAMPLE_BYTES, LONGEST_EXAMPLE = 16 << 20, 1 << 20
 NEIGHBOURS = 9
 BLOCK = 32
-#: Terms of a lower chi-squared between the classes are left out of the vector space.
-ASSOCIATION = 30.0
-#: Characters of the beginnings of words that are terms.
-BEGINNINGS = (4, 5, 6, 7)
+#: Blocks that are scored before the k-th best score is looked at again.
+WAVES = (2, 6, 24)
+#: Postings of the queries that are searched at once.
+WORK = 400_000
 CUTOFF = 0.5
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """The terms that a word stands for: itself, and its beginnings, marked by a star."""
-    text = word.decode("utf-8", "replace")
-    return [word, *(text[:n].encode() + b"*" for n in BEGINNINGS if n < len(text))]
-
-
-def strongest(shares: dict[bytes, float]) -> list[bytes]:
-    """Terms sorted, without those that extend, or begin, a term more strongly tied to a class; of equal ones the longest stays."""
-    stems = sorted((t.removesuffix(b"*"), t) for t in shares)
-    rank = {t: (shares[t], len(stem), t == stem) for stem, t in stems}
-    out = set()
-    for k, (stem, t) in enumerate(stems):
-        for stem2, t2 in stems[k + 1 :]:
-            if not stem2.startswith(stem):
-                break
-            out.add(min(t, t2, key=rank.__getitem__))
-    return sorted(set(shares) - out)
-
-
-class WordTerms(dict):
-    """Word to the ids of its terms, remembered within a worker; other words have the id after the last."""
-
-    def __init__(self, vocabulary: dict[bytes, int]):
-        super().__init__()
-        self.vocabulary, self.other = vocabulary, (len(vocabulary),)
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = self[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary) or self.other
-        return ids
-
-    def count(self, text: str | None) -> dict[int, int]:
-        """How often each term occurs in a text."""
-        total: dict[int, int] = {}
-        for word, n in Counter(words(text)).items():
-            for t in self[word]:
-                total[t] = total.get(t, 0) + n
-        return total
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Breakpoints of the non-decreasing least-squares fit: pool adjacent violators."""
     order = np.argsort(x, kind="stable")
@@ -95,114 +59,138 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p for low, high, _, _ in pools for p in (low, high)]), np.array([v for _, _, v, _ in pools for _ in "ab"])
 
 
+def _expanded(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run of n, one run after the other."""
+    return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+
+def similar_order(vectors: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """An order in which similar vectors are near: halved again and again along the direction of their largest spread."""
+    rng = np.random.default_rng(1)
+    signs = rng.choice([-1.0, 1.0], (size, 64))
+    sketch = np.stack([w @ signs[t] if t.size else np.zeros(64) for t, w in vectors]) if vectors else np.zeros((0, 64))
+
+    def halve(rows: np.ndarray) -> list[np.ndarray]:
+        if rows.size <= BLOCK:
+            return [rows]
+        centred = sketch[rows] - sketch[rows].mean(axis=0)
+        along = centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        ranked = rows[np.argsort(along, kind="stable")]
+        cut = -(-rows.size // BLOCK) // 2 * BLOCK
+        return halve(ranked[:cut]) + halve(ranked[cut:])
+
+    return np.concatenate(halve(np.arange(len(vectors))))
+
+
 class Index:
-    """Examples as a block-max inverted index; bags hold (terms, counts) over the vocabulary."""
-
-    def __init__(self, vocabulary: list[bytes], ids: list[int], toxic: list[int], bags: list[tuple[np.ndarray, np.ndarray]]):
-        self.vocabulary = {w: k for k, w in enumerate(sorted(vocabulary))}
-        order = sorted(range(len(ids)), key=lambda k: (toxic[k], bags[k][0].tolist(), ids[k]))
-        self.ids = np.array([ids[k] for k in order], np.int64)
-        self.toxic = np.array([toxic[k] for k in order], np.int8)
-        self.bags = [bags[k] for k in order]
-        self.blocks = max(1, -(-len(ids) // BLOCK))
-        self.plain: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def vector(self, text: str | None, known: WordTerms) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of a text, of unit length; none for a text without words."""
-        bag = known.count(text)
-        terms = np.array(sorted(bag), np.int64)
-        return terms, self.weigh(terms, np.array([bag[t] for t in terms.tolist()], float)) if terms.size else np.zeros(0)
-
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weight = (1 + np.log(counts)) * self.idf[terms]
-        return weight / (np.sqrt((weight**2).sum()) or 1.0)
+    """Examples as a block-max inverted index; bags hold (words, counts) by place in the sorted vocabulary."""
+
+    def __init__(self, vocabulary: list[bytes], ids: list, toxic: list[int], bags: list[tuple[np.ndarray, np.ndarray]]):
+        self.vocabulary, self.ids, self.toxic, self.bags = vocabulary, ids, np.array(toxic, np.int8), bags
+        self.place = {i: k for k, i in enumerate(ids)}
+        size = len(vocabulary)
+        a, c = (sum((np.bincount(t, minlength=size) for (t, _), y in zip(bags, toxic) if y == kind), np.zeros(size, int)) for kind in (1, 0))
+        self.relevance = np.log2(2 + a / np.maximum(1, c))
+
+    def known(self) -> dict[bytes, int]:
+        return {w: k for k, w in enumerate(self.vocabulary)}
+
+    def vector(self, text: str | None, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of a text's words, of unit length; none for a text without words of the examples."""
+        bag = {k: n for w, n in Counter(words(text)).items() if (k := known.get(w)) is not None}
+        return self.weigh(np.fromiter(bag.keys(), np.int64, len(bag)), np.fromiter(bag.values(), float, len(bag)))
+
+    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(counts)) * self.worth[terms]
+        return terms, weight / (np.sqrt((weight**2).sum()) or 1.0)
 
     def build(self, documents: int, having: np.ndarray) -> None:
-        """Weigh the postings, given the number of documents and of those that have each term."""
-        self.idf = np.log((1 + documents) / (1 + having)) + 1
-        size, rows = len(self.vocabulary) + 1, []
-        self.vectors = []
-        for k, (terms, counts) in enumerate(self.bags):
-            weight = self.weigh(terms, counts) if terms.size else np.zeros(0)
-            self.vectors.append((terms, weight))
-            rows.append((terms * self.blocks + k // BLOCK, np.full(terms.size, k), weight))
-        slot, example, weight = (np.concatenate([r[c] for r in rows]) if rows else np.zeros(0, int) for c in range(3))
-        order = np.lexsort((example, slot))
-        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(float)
-        self.start = np.searchsorted(slot[order], np.arange(size * self.blocks + 1)).astype(np.int32)
-        self.most = np.zeros(size * self.blocks, np.float32)
-        np.maximum.at(self.most, slot.astype(int), weight.astype(np.float32) * np.float32(1.00001))
-        self.most = self.most.reshape(size, self.blocks)
+        """Weigh the postings, given the number of documents and of those that have each word."""
+        self.worth = (np.log((1 + documents) / (1 + having)) + 1) * self.relevance**2
+        self.vectors = [self.weigh(t, n.astype(float)) for t, n in self.bags]
+        size, order = len(self.vocabulary), similar_order(self.vectors, len(self.vocabulary))
+        self.blocks = max(1, -(-len(order) // BLOCK))
+        block = np.empty(len(order), np.int64)
+        block[order] = np.arange(len(order)) // BLOCK
+        sizes = [t.size for t, _ in self.vectors]
+        term, weight = (np.concatenate([v[c] for v in self.vectors] or [np.zeros(0)]) for c in (0, 1))
+        example = np.repeat(np.arange(len(order)), sizes)
+        key = term.astype(np.int64) * self.blocks + block[example]
+        sort = np.argsort(key, kind="stable")
+        slots, start = np.unique(key[sort], return_index=True)
+        self.example, self.weight = example[sort].astype(np.int32), weight[sort].astype(float)
+        self.slot_block = (slots % self.blocks).astype(np.int32)
+        self.slot_posts = np.r_[start, key.size].astype(np.int64)
+        self.slot_most = (np.maximum.reduceat(self.weight, start) if start.size else np.zeros(0)) * 1.000001
+        self.term_slots = np.searchsorted(slots, np.arange(size + 1) * self.blocks)
         self.bags = None
 
-    def _score(self, q: np.ndarray, b: np.ndarray, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, scores: np.ndarray) -> None:
-        """Add to scores (queries x examples) what the blocks b give for the queries q."""
-        n = at[q + 1] - at[q]
-        entry = np.repeat(at[q] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        slot = terms[entry] * self.blocks + np.repeat(b, n)
-        low, high = self.start[slot], self.start[slot + 1]
-        some = np.flatnonzero(high > low)
-        low, n2 = low[some].astype(np.int64), (high[some] - low[some]).astype(np.int64)
-        post = np.repeat(low - np.r_[0, np.cumsum(n2)[:-1]], n2) + np.arange(n2.sum())
-        row = np.repeat(np.repeat(q, n)[some], n2)
-        key = row * self.ids.size + self.example[post]
-        scores += np.bincount(key, self.weight[post] * np.repeat(weights[entry[some]], n2), scores.size).reshape(scores.shape)
+    def work(self, terms: np.ndarray) -> int:
+        """How many postings the words have."""
+        return int((self.slot_posts[self.term_slots[terms + 1]] - self.slot_posts[self.term_slots[terms]]).sum())
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and similarities of each vector's k nearest examples without the one of its own id (-1: none).
+        """Places and similarities of each vector's k nearest examples, without the one at its own place (-1: none).
 
-        Equal similarities go by the order of the index; rows without any similarity are filled with -1 and 0.
+        Equal similarities, to nine digits, go by place: clean examples first,
+        then by id.  What is left without any similarity is filled with -1 and 0.
         """
-        k = min(k, self.ids.size)
+        k = min(k, len(self.ids))
         best, value = np.full((len(vectors), k), -1), np.zeros((len(vectors), k))
-        if not k:
-            return best, value
-        other = len(self.vocabulary)
-        plain = [i for i, (t, _) in enumerate(vectors) if t.size == 1 and t[0] == other]
-        for i in plain:  # all alike, but for their ids
-            if k not in self.plain:
-                found = self._nearest([vectors[i]], np.array([-1]), min(k + 1, self.ids.size))
-                self.plain[k] = (found[0][0], found[1][0])
-            near, sims = self.plain[k]
-            kept = np.flatnonzero((near < 0) | (self.ids[near] != own[i]))[:k]
-            best[i, : kept.size], value[i, : kept.size] = near[kept], sims[kept]
-        filled = [i for i, (t, _) in enumerate(vectors) if t.size and not (t.size == 1 and t[0] == other)]
-        if filled:
-            best[filled], value[filled] = self._nearest([vectors[i] for i in filled], own[filled], k)
+        load = np.cumsum([0, *(self.work(t) for t, _ in vectors)])
+        at = 0
+        while at < len(vectors) and k:
+            to = max(at + 1, int(np.searchsorted(load, load[at] + WORK, "right")) - 1)
+            best[at:to], value[at:to] = self._nearest(vectors[at:to], own[at:to], k)
+            at = to
         return best, value
 
     def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.r_[0, np.cumsum([t.size for t, _ in vectors])]
+        many, size = len(vectors), len(self.ids)
         terms, weights = (np.concatenate([v[c] for v in vectors]) for c in (0, 1))
-        scores = np.zeros((len(vectors), self.ids.size))
-        bound = np.add.reduceat(self.most[terms] * weights[:, None].astype(np.float32), at[:-1], axis=0)
-        first = np.zeros_like(bound, bool)
-        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :2], True, axis=1)
-        first &= bound > 0
-        self._score(*np.nonzero(first), at, terms, weights, scores)
-        skip = own[:, None] == self.ids[None, :]
-        scores[skip] = 0
-        reached = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        rest = ~first & (bound > 0) & (bound * 1.00001 >= reached[:, None])
-        self._score(*np.nonzero(rest), at, terms, weights, scores)
-        scores[skip] = 0
+        query = np.repeat(np.arange(many), [t.size for t, _ in vectors])
+        low = self.term_slots[terms]
+        n = self.term_slots[terms + 1] - low
+        slot, query, weights = _expanded(low, n), np.repeat(query, n), np.repeat(weights, n)
+        cell = query * self.blocks + self.slot_block[slot]
+        bound = np.bincount(cell, weights * self.slot_most[slot], many * self.blocks).reshape(many, self.blocks)
+        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+        scores, seen = np.zeros((many, size)), np.zeros((many, self.blocks), bool)
+        owned = np.flatnonzero(own >= 0)
+        reached, upto = np.zeros(many), 0
+        for wave in (*WAVES, self.blocks):
+            upto += wave
+            now = ~seen & (rank < upto) & (bound > 0) & (bound >= reached[:, None])
+            if now.any():
+                seen |= now
+                some = np.flatnonzero(now.ravel()[cell])
+                first = self.slot_posts[slot[some]]
+                posts = self.slot_posts[slot[some] + 1] - first
+                post = _expanded(first, posts)
+                scores += np.bincount(np.repeat(query[some], posts) * size + self.example[post], self.weight[post] * np.repeat(weights[some], posts), many * size).reshape(many, size)
+                scores[owned, own[owned]] = 0
+                # a bound may exceed no score by less than the rounding below
+                reached = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - 2e-9
         scores = np.round(scores, 9)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(scores, best, axis=1)
-        best[value <= 0] = -1
+        edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        best, value = np.full((many, k), -1), np.zeros((many, k))
+        for q in range(many):
+            found = np.flatnonzero(scores[q] >= max(edge[q], 1e-9))
+            found = found[np.argsort(-scores[q, found], kind="stable")][:k]
+            best[q, : found.size], value[q, : found.size] = found, scores[q, found]
         return best, value
 
     def votes(self, best: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Share of the toxic among the neighbours, weighted by squared similarity; 0 where there are none."""
         weight = np.where(best >= 0, value, 0) ** 2
-        return (weight * self.toxic[best]).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-300)
+        return (weight * self.toxic[best]).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-300) if len(self.ids) else np.zeros(len(best))
 
     def calibrate(self, rate: float, k: int) -> None:
         """Fit the map from votes to probabilities on the examples, each without itself."""
-        if not self.ids.size:
+        if not self.ids:
             self.points = (np.zeros(1), np.zeros(1))
             return
-        votes = np.concatenate([self.votes(*self.nearest(self.vectors[i : i + 64], self.ids[i : i + 64], k)) for i in range(0, self.ids.size, 64)])
+        votes = self.votes(*self.nearest(self.vectors, np.arange(len(self.ids)), k))
         ones, zeros = max(1, int(self.toxic.sum())), max(1, int((self.toxic == 0).sum()))
         self.points = isotonic(votes, self.toxic.astype(float), np.where(self.toxic == 1, rate / ones, (1 - rate) / zeros))
         self.vectors = None
@@ -211,114 +199,105 @@ class Index:
         return np.interp(votes, *self.points)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, association: float = ASSOCIATION, seed: int = 1) -> Index:
-    """The calibrated index.  Term frequencies are counted over all documents; only the sample of examples is bounded."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(named.where("length(text) > 0").select("doc_id").distinct(), "doc_id", "left_semi")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, seed: int = 1) -> Index:
+    """The calibrated index.  Document frequencies are counted over all documents; only the sample of examples is bounded."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = type_of(docs, id_col)
+    marks = labels.select(F.col(label_id_col).cast(kind).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    sizes = named.where("length(text) > 0").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes"))
+    marks = materialize(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(sizes, "doc_id"), "marks")
     total = dict(marks.groupBy("toxic").count().collect())
-    chosen = marks.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))).where(F.col("r") <= examples)
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    # Spark keeps only so many rows of each partition before it shuffles them
+    first = marks.where(F.col("bytes") <= LONGEST_EXAMPLE).withColumn("r", F.row_number().over(order)).where(F.col("r") <= examples)
+    chosen = first.withColumn("upto", F.sum("bytes").over(order)).where(F.col("upto") <= EXAMPLE_BYTES).select("doc_id", "toxic")
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [Counter(words(t)) for t in texts_of(batch.column(2))]
-            of = [sorted({t for w in c for t in terms_of(w)}) for c in found]
-            arrays = [batch.column(0), batch.column(1), pa.array(of, pa.list_(pa.binary())), pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "terms", "words", "n"])
-
-    # chosen has 2 * examples rows at most
-    bags = materialize(named.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text").mapInArrow(bag, "doc_id long, toxic int, terms array<binary>, words array<binary>, n array<int>"), "examples")
-    n1, n0 = (bags.where(f"toxic = {c}").count() for c in (1, 0))
-    ones, zeros = F.count_if(F.expr("toxic = 1")).cast("double"), F.count_if(F.expr("toxic = 0")).cast("double")
-    rates = bags.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(ones.alias("a"), zeros.alias("b"))
-    share = F.expr(f"{n1 + n0}D * pow(a * ({n0} - b) - b * ({n1} - a), 2) / nullif({n1}D * {n0}D * (a + b) * ({n1 + n0} - a - b), 0)")
-    vocabulary = strongest({bytes(r["term"]): round(r["share"], 6) for r in rates.withColumn("share", share).where(F.col("share") >= association).select("term", "share").collect()})
-    place = {w: k for k, w in enumerate(vocabulary)}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([list(c) for c in found], pa.list_(pa.binary())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "n"])
 
-    def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordTerms(place)
-        for batch in batches:
-            pairs = []
-            for found, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                total = Counter()
-                for w, k in zip(found, n):
-                    for t in known[w]:
-                        total[t] += k
-                pairs.append(sorted(total.items()))
-            lists = [pa.array([[p[c] for p in row] for row in pairs], pa.list_(pa.int32())) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "toxic", "terms", "n"])
-
-    rows = bags.select("doc_id", "toxic", "words", "n").mapInArrow(restrict, "doc_id long, toxic int, terms array<int>, n array<int>").collect()
-    unique = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["terms"], r["n"]))}.values()
-    index = Index(vocabulary, [r["doc_id"] for r in unique], [r["toxic"] for r in unique], [(np.array(r["terms"], int), np.array(r["n"], float)) for r in unique])
-    shared = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
+    # 2 * examples rows at most; of several texts with one id, the least
+    one = named.where("length(text) > 0").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = one.mapInArrow(bag, f"doc_id {kind}, toxic int, words array<binary>, n array<int>").collect()
+    rows.sort(key=lambda r: (r["toxic"], r["doc_id"]))
+    vocabulary = sorted({bytes(w) for r in rows for w in r["words"]})
+    place = {w: k for k, w in enumerate(vocabulary)}
+    bags = [(np.array([place[bytes(w)] for w in r["words"]], np.int64), np.array(r["n"])) for r in rows]
+    index = Index(vocabulary, [r["doc_id"] for r in rows], [r["toxic"] for r in rows], bags)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the examples
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, documents = WordTerms(shared.value), 0
-        having = np.zeros(len(shared.value) + 2, np.int64)
+        known, documents = {w: k for k, w in enumerate(shared.value)}, 0
+        having = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 documents += 1
-                having[list({t for w in set(words(text)) for t in known[w]})] += 1
+                having[[k for w in set(words(text)) if (k := known.get(w)) is not None]] += 1
         having[-1] = documents
         some = np.flatnonzero(having)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(having[some])], ["term", "n"])
 
-    counts = named.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    having = np.zeros(len(index.vocabulary) + 2, np.int64)
+    counts = named.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    having = np.zeros(len(vocabulary) + 1, np.int64)
     having[counts["term"].to_numpy()] = counts["n"].to_numpy()
     index.build(int(having[-1]), having[:-1])
     index.calibrate(total.get(1, 0) / max(1, sum(total.values())), neighbours)
     return index
 
 
-def _judged(index: Index, known: WordTerms, ids: list, texts: list, neighbours: int):
-    """Neighbours, similarities and calibrated scores of some texts; 0 for a text without words."""
-    vectors = [index.vector(text, known) for text in texts]
-    own = np.array([-1 if i is None else i for i in ids], np.int64)
-    best, value = index.nearest(vectors, own, neighbours)
-    score = index.score(index.votes(best, value)) if index.ids.size else np.zeros(len(ids))
-    return best, value, np.where([t.size > 0 for t, _ in vectors], score, 0.0)
+def _judged(index: Index, known: dict[bytes, int], ids: list, texts: list, neighbours: int):
+    """Neighbours, similarities and calibrated scores of some texts; 0 for a text that shares no word with an example."""
+    best, value = index.nearest([index.vector(t, known) for t in texts], np.array([index.place.get(i, -1) for i in ids], np.int64), neighbours)
+    some = (best >= 0).any(axis=1)
+    return best, value, np.where(some, index.score(index.votes(best, value)), 0.0)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, association: float = ASSOCIATION, cutoff: float = CUTOFF, seed: int = 1) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, cutoff: float = CUTOFF, seed: int = 1) -> DataFrame:
     """One row for each row of ``docs``: (doc_id, score, toxic, evidence, similarity).
 
     score is the calibrated probability, toxic whether it reaches ``cutoff``,
     evidence the ids of the nearest examples and similarity their cosines, best
     first.  An example is never evidence for its own id.
 
-    Nulls: labels with a null id or label are ignored; a null or empty text, or
-    one without words, has score 0, no evidence, and isn't toxic; a null id is
-    kept.  Very long texts are read whole.  Ties in similarity go by
-    the order of the index.  Repeated rows are scored alike; contradictory labels
-    count as toxic.  Without labels every score is 0; an empty table gives no
-    rows.  Other columns are not read.
+    Ids can be of any type.  Nulls: labels with a null id or label are ignored;
+    a null or empty text, or one that shares no word with an example, has score
+    0, no evidence, and isn't toxic; a null id is kept.  Very long texts are
+    judged whole, but aren't examples beyond ``LONGEST_EXAMPLE`` bytes.  Ties in
+    similarity go to clean examples first, then by id.  Repeated rows are scored
+    alike; contradictory labels count as toxic; of several texts of a labelled
+    id, the least is the example.  Without labels every score is 0; an empty
+    table gives no rows.  Other columns are not read.
     """
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_id_col, label_col, examples, neighbours, association, seed))
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_id_col, label_col, examples, neighbours, seed))
+    kind = type_of(docs, id_col)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordTerms(index.value.vocabulary)
+        known = index.value.known()
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 best, value, score = _judged(index.value, known, part.column(0).to_pylist(), part.column(1).to_pylist(), neighbours)
-                ids = [index.value.ids[b[b >= 0]].tolist() for b in best]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(score), pa.array(score >= cutoff), pa.array(ids, pa.list_(pa.int64())), pa.array([v[b >= 0].tolist() for b, v in zip(best, value)], pa.list_(pa.float64()))],
-                    ["doc_id", "score", "toxic", "evidence", "similarity"],
-                )
+                ids = pa.array([[index.value.ids[k] for k in b if k >= 0] for b in best], pa.list_(part.schema.field(0).type))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(score >= cutoff), ids, pa.array([v[b >= 0].tolist() for b, v in zip(best, value)], pa.list_(pa.float64()))], ["doc_id", "score", "toxic", "evidence", "similarity"])
+
+    return named.mapInArrow(judge, f"doc_id {kind}, score double, toxic boolean, evidence array<{kind}>, similarity array<double>")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(judge, "doc_id long, score double, toxic boolean, evidence array<long>, similarity array<double>")
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, cutoff: float = CUTOFF, seed: int = 1) -> DataFrame:
+    """``docs`` without the rows that toxicity() calls toxic; each row is judged by its own text, all columns are kept.
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS, association: float = ASSOCIATION, cutoff: float = CUTOFF, seed: int = 1) -> DataFrame:
-    """``docs`` without the rows that toxicity() calls toxic; each row is judged by its own text, all columns are kept."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_id_col, label_col, examples, neighbours, association, seed))
+    Rows with a null or empty text, or without a word of the examples, stay, as
+    do all rows where there are no labels; a null id stays or goes by its text.
+    Very long texts are judged whole, ties as in toxicity(); of repeated rows
+    all stay or none.  An empty table stays empty.
+    """
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_id_col, label_col, examples, neighbours, seed))
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordTerms(index.value.vocabulary)
+        known = index.value.known()
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
