@@ -2,19 +2,23 @@
 
 Candidates are runs of 16 or more characters of the alphabets that keys are
 written in; "=" ends one, as between a name and its value, and belongs to it only
-as padding at the end.  Each is decoded by its inferred encoding to symbols, and tested for
-a uniform alphabet (chi-squared), for runs above and below the median, and for
-serial correlation; Fisher's method joins the three to one score of randomness.
+as padding at the end.  Each is decoded by its inferred encoding to symbols, and
+tested for a uniform alphabet (chi-squared; an alphabet is in the order of how
+frequent its letters are, so that natural text crowds into few bins), for runs
+above and below the median, and for serial correlation; Fisher's method joins the
+three to one score of randomness.
 
 How random natural text looks by the same battery depends on length and
-alphabet.  It is simulated from the letter pairs of the whole corpus, for each
-encoding and length.  A candidate's p-value is the share of such strings that
-look at least as random.  Below the lowest twentieth of them a power of Fisher's
-statistic, fitted to it, carries the share on, so that it can be as small as a
-corpus needs.  The same is fitted to the corpus's own candidates that don't look
-random, and the larger share of the two counts.  Benjamini-Hochberg within each stratum of encoding and
-length controls the share of false discoveries.  Short candidates of natural
-shape can't reach it.
+encoding.  It is simulated: letters from the letter pairs of the whole corpus,
+put together as identifiers are, from words with capitals, digits at their ends,
+and, by encoding, slashes, dashes or underscores between them, at rates that
+differ from string to string.  A candidate's p-value is the share of such strings
+that look at least as random.  Below the lowest hundredth of them a power of
+Fisher's statistic, fitted to it, carries the share on, so that it can be as
+small as a corpus needs.  The same is fitted to the corpus's own candidates that
+don't look random, and the larger share of the two counts.  Benjamini-Hochberg
+within each stratum of encoding and length controls the share of false
+discoveries.  Short candidates of natural shape can't reach it.
 """
 
 from __future__ import annotations
@@ -28,23 +32,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from meridian.llm.text import type_of
 from meridian.plans.materialize import materialize
 
 SHORTEST = 16
-LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128)
+LENGTHS = (16, 20, 24, 28, 32, 36, 40, 44, 48, 56, 64, 80, 96, 128)
 FALSE_DISCOVERIES = 0.01
-#: Simulated natural strings for each encoding and length.
-SIMULATED = 5_000
-#: Share of the strings that the tail is fitted to, and the steepest power that is carried on.
-TAIL, STEEPEST = 0.05, 30.0
+#: Simulated natural strings for each encoding and length, and how many are held at once.
+SIMULATED, HELD = 20_000, 5_000
+#: Shares of the simulated strings and of the corpus's that the tail is fitted to, and the steepest power that is carried on.
+TAIL, LEARNT, STEEPEST = 0.01, 0.05, 30.0
 #: Of Fisher's statistic of random strings (chi-squared, 6 degrees): the median, below which nothing is more of a secret, and what one in a thousand exceeds.
 MEDIAN, RARE = 5.3481, 22.4577
 #: Width of the corpus's histogram of the statistic, and levels of p-values for each factor of ten.
 WIDTH, LEVELS = 0.25, 200
 _RUN = re.compile(rb"[A-Za-z0-9+/_\-]{%d,}(?:=++(?![A-Za-z0-9+/_\-]))?" % SHORTEST)
-_HEX, _ALNUM = b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-ALPHABETS = {"decimal": b"0123456789", "hex": _HEX, "base32": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": b"abcdefghijklmnopqrstuvwxyz", "lower36": b"abcdefghijklmnopqrstuvwxyz0123456789", "alnum": _ALNUM, "base64": _ALNUM + b"+/", "base64url": _ALNUM + b"-_"}
+_DIGITS, _LETTERS = b"0123456789", b"etaoinshrdlcumwfgypbvkjxqz"
+_ALNUM = _LETTERS + _DIGITS + _LETTERS.upper()
+ALPHABETS = {"decimal": _DIGITS, "hex": _DIGITS + b"abcdef", "base32": _LETTERS.upper() + b"234567", "lower": _LETTERS, "lower36": _LETTERS + _DIGITS, "alnum": _ALNUM, "base64": _ALNUM + b"+/", "base64url": _ALNUM + b"-_"}
+#: Of the words in natural strings of an encoding, at most the share that has digits at its end, that has a capital or is all capitals; what stands between words.
+SHAPES = {"hex": (0, 0, 0, b""), "base32": (0.5, 0, 0, b""), "lower": (0, 0, 0, b""), "lower36": (0.6, 0, 0, b""), "alnum": (0.4, 1, 0.3, b""), "base64": (0.4, 1, 0.3, b"/////////+"), "base64url": (0.4, 1, 0.3, b"-_")}
 ENCODINGS = tuple(ALPHABETS)
 _PLACE = {name: np.array([a.find(bytes([c])) for c in range(256)], np.int16) for name, a in ALPHABETS.items()}
 
@@ -106,17 +115,46 @@ def stratum(length: int) -> int:
     return max((x for x in LENGTHS if x <= length), default=LENGTHS[0])
 
 
-def _natural(pairs: np.ndarray, allowed: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Strings of the allowed letters by the chain of letter pairs: SIMULATED rows of the greatest length."""
+def _letters(pairs: np.ndarray, allowed: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Strings of the allowed letters by the chain of letter pairs: HELD rows of the greatest length."""
     counts = pairs[np.ix_(allowed, allowed)] + 0.01
     start, step = np.cumsum(counts.sum(axis=1) / counts.sum()), np.cumsum(counts / counts.sum(axis=1, keepdims=True), axis=1)
-    last, letters = allowed.size - 1, np.empty((SIMULATED, LENGTHS[-1]), np.int64)
-    letters[:, 0] = np.minimum(np.searchsorted(start, rng.random(SIMULATED)), last)
+    last, letters = allowed.size - 1, np.empty((HELD, LENGTHS[-1]), np.int64)
+    letters[:, 0] = np.minimum(np.searchsorted(start, rng.random(HELD)), last)
     for k in range(1, LENGTHS[-1]):
-        letters[:, k] = np.minimum((step[letters[:, k - 1]] < rng.random(SIMULATED)[:, None]).sum(axis=1), last)
+        letters[:, k] = np.minimum((step[letters[:, k - 1]] < rng.random(HELD)[:, None]).sum(axis=1), last)
     return allowed[letters]
 
 
+def natural_strings(pairs: np.ndarray, name: str, rng: np.random.Generator) -> np.ndarray:
+    """Bytes (HELD x the greatest length) of strings as people write them in an encoding's alphabet."""
+    upper = name == "base32"
+    allowed = np.array([k for k in range(26) if bytes([(65 if upper else 97) + k]) in ALPHABETS[name]], np.int64)
+    out = _letters(pairs, allowed, rng) + (65 if upper else 97)
+    digits, capitals, shouted, marks = SHAPES[name]
+    n = LENGTHS[-1]
+    ends = np.cumsum(rng.integers(3, 11, (HELD, n // 3 + 1)), axis=1)  # words of 3 to 10 letters
+    rows = np.arange(HELD)[:, None]
+    starts = np.zeros((HELD, n + 16), np.int64)
+    np.put_along_axis(starts, np.minimum(ends, n + 15), 1, axis=1)
+    word = np.cumsum(starts, axis=1)[:, :n]
+    at = np.arange(n) - np.maximum.accumulate(np.where(starts[:, :n] == 1, np.arange(n), 0), axis=1)
+    chance = lambda most: rng.random((HELD, n + 1))[rows, word] < most * rng.random((HELD, 1))
+    left = np.concatenate([np.zeros((HELD, 1), np.int64), ends], axis=1)
+    left = left[rows, np.minimum(word + 1, left.shape[1] - 1)] - np.arange(n)  # to the word's end
+    if marks:
+        sign = rng.choice(np.frombuffer(marks, np.uint8), (HELD, 1)) if name == "base64url" else rng.choice(np.frombuffer(marks, np.uint8), (HELD, n))
+        marked = (at == 0) & (word > 0) & (rng.random((HELD, n + 1))[rows, word] < 0.2 + 0.8 * rng.random((HELD, 1)))
+    if capitals:
+        # a word's first letter stands behind the mark, if there is one
+        first = at == (np.maximum.accumulate(np.where(marked, np.arange(n), -1), axis=1) == np.arange(n) - at) if marks else at == 0
+        out = np.where((first & chance(capitals)) | chance(shouted), out - 32, out)
+    if digits:
+        low, many = (50, 6) if upper else (48, 10)
+        out = np.where(chance(digits) & (left <= rng.integers(1, 5, (HELD, n + 1))[rows, word]), rng.integers(low, low + many, (HELD, n)), out)
+    return np.where(marked, sign, out) if marks else out
+
+
 def fisher(uniform: np.ndarray, run: np.ndarray, serial: np.ndarray) -> np.ndarray:
     """Fisher's statistic of the three p-values; the smaller, the more random."""
     return -2 * sum(np.log(np.maximum(p, 1e-16)) for p in (uniform, run, serial))
@@ -148,7 +186,7 @@ class Shares:
         random = 2 * counts[: int(MEDIAN / WIDTH)].sum()
         rest = np.where(edges[:-1] > RARE, np.maximum(counts - 1.5 * random * (above[:-1] - above[1:]), 0), 0)
         total = rest.sum()
-        last = int(np.searchsorted(np.cumsum(rest), max(20, TAIL * total)))
+        last = int(np.searchsorted(np.cumsum(rest), max(20, LEARNT * total)))
         if total < 100 or last >= counts.size:
             return
         c, u, some = float(edges[int(RARE / WIDTH) + 1]), float(edges[last + 1]), rest[: last + 1]
@@ -168,19 +206,14 @@ class Shares:
 
 
 def simulate(pairs: np.ndarray, seed: int = 1) -> dict[str, dict[int, np.ndarray]]:
-    """Fisher's statistics of natural strings by encoding and length, from counts (26 x 26) of letter pairs.
-
-    The natural strings of an alphabet are those of the letters that it has.
-    """
-    rng, out = np.random.default_rng(seed), {}
-    for name, alphabet in ALPHABETS.items():
-        case = 65 if name == "base32" else 97
-        allowed = np.array([k for k in range(26) if bytes([case + k]) in alphabet], np.int64)
-        if allowed.size:
-            symbols = _PLACE[name][_natural(pairs, allowed, rng) + case]
-            out[name] = {n: fisher(*battery(symbols[:, :n], len(alphabet))[:3]) for n in LENGTHS}
-        else:
-            out[name] = {n: np.zeros(SIMULATED) for n in LENGTHS}
+    """Fisher's statistics of natural strings by encoding and length, from counts (26 x 26) of letter pairs."""
+    rng, out = np.random.default_rng(seed), {"decimal": {n: np.zeros(SIMULATED) for n in LENGTHS}}
+    for name in ENCODINGS[1:]:
+        parts = []
+        for _ in range(SIMULATED // HELD):
+            symbols = _PLACE[name][natural_strings(pairs, name, rng)]
+            parts.append({n: fisher(*battery(symbols[:, :n], len(ALPHABETS[name]))[:3]) for n in LENGTHS})
+        out[name] = {n: np.concatenate([p[n] for p in parts]) for n in LENGTHS}
     return out
 
 
@@ -221,14 +254,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_
     secret itself is not repeated).  uniform, runs, serial and joint are
     p-values under randomness, natural the p-value under natural text; secret
     tells whether it is rejected.  Runs of decimal digits are never secrets:
-    numbers can't be told from random ones.
+    numbers can't be told from random ones.  UUIDs and hex digests are random, so
+    they are called secrets; nothing tells them from keys.  Runs longer than the
+    longest simulated strings are compared with these, which look more random.
 
-    Nulls: a null or empty text has no candidates; a null id is kept.  Very long
-    texts, and runs, are tested whole.  Equal p-values are decided alike.
+    Ids can be of any type.  Nulls: a null or empty text has no candidates; a
+    null id is kept.  Very long texts, and runs, are tested whole.  Equal
+    p-values are decided alike.
     Repeated rows are reported each.  An empty table gives no rows.  Other
     columns are not read.
     """
-    empty = pa.nulls
+    empty, id_kind = pa.nulls, to_arrow_type(docs.schema[id_col].dataType)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = np.full(256, 26, np.int64)
@@ -236,7 +272,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_
         letters[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)] = np.arange(26)
         pairs = np.zeros(27 * 27, np.int64)
         names = ["doc_id", "start", "length", "encoding", "digest", "uniform", "runs", "serial", "joint", "stratum", "pair", "n"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int64()]
+        kinds = [id_kind, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int64()]
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -249,8 +285,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_
         some = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([*(empty(some.size, kind) for kind in kinds[:10]), pa.array(some, pa.int32()), pa.array(pairs[some])], names)
 
-    shape = "doc_id long, start long, length int, encoding string, digest string, uniform double, runs double, serial double, joint double, stratum int, pair int, n long"
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shape = f"doc_id {type_of(docs, id_col)}, start long, length int, encoding string, digest string, uniform double, runs double, serial double, joint double, stratum int, pair int, n long"
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     both = materialize(named.mapInArrow(find, shape), "candidates")
     pairs = np.zeros(27 * 27, np.int64)
     for r in both.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).collect():

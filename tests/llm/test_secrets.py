@@ -98,23 +98,132 @@ def test_control_equals_benjamini_hochberg(docs_of, rows):
         assert ((g.natural <= limit) == g.secret).all(), name
 
 
-def _runs(n, seed):
+def _runs(n, seed, length=64):
     g = random.Random(seed)
-    return ["".join(g.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(48)) for _ in range(n)]
-
-
-def _slugs(n):
-    return ["".join(prose(i, 12).split()).capitalize()[:48] for i in range(n)]
+    return ["".join(g.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(length)) for _ in range(n)]
+
+
+def identifiers(kind, n, longest=10**6):
+    """Names as programs have them: camelCase, snake and kebab case, paths, words with digits."""
+    out = []
+    for i in range(n):
+        g, found = random.Random(i * 31 + len(kind)), prose(i, random.Random(i).randint(4, 9)).split()
+        year = str(g.randrange(1990, 2030)) if g.random() < 0.3 else ""
+        out.append({
+            "camel": found[0] + "".join(w.capitalize() for w in found[1:]) + year,
+            "pascal": "".join(w.upper() if g.random() < 0.1 else w.capitalize() for w in found) + year,
+            "snake": g.choice("_-").join(w.capitalize() if g.random() < 0.2 else w for w in found) + "X" + year,
+            "path": "/".join(w.capitalize() if g.random() < 0.3 else w for w in found) + year,
+            "lower36": "".join(found) + str(g.randrange(10**3)),
+            "long": "".join(found).capitalize() + str(g.randrange(10)),
+        }[kind][:longest])
+    return [x for x in out if len(x) >= 16]
+
+
+@pytest.mark.parametrize("kind", ["camel", "pascal", "snake", "path", "lower36", "long"])
+def test_identifiers_are_left_and_a_key_among_them_is_found(docs_of, kind):
+    names = identifiers(kind, 1000)
+    lines = [prose(i, 30) + " " + " ".join(names[i : i + 10]) for i in range(0, len(names), 10)]
+    key = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=64)) if kind == "lower36" else _runs(1, 4)[0]
+    if kind in ("snake", "path"):
+        key = key[:30] + {"snake": "-", "path": "/"}[kind] + key[31:]
+    got = sc.scan(docs_of([*enumerate(lines), (5000, "a " + key + " b")])).toPandas()
+    assert len(got) >= 900 and got[got.doc_id < 5000].secret.sum() <= 0.02 * len(got)
+    assert got[got.doc_id == 5000].secret.all()
 
 
 def test_rare_secrets_are_found_however_many_natural_runs_there_are(docs_of):
-    natural, keys = _slugs(20_000), _runs(20, 3)
-    lines = [" ".join(natural[i : i + 20]) for i in range(0, 20_000, 20)]
+    """One key in ten thousand candidates of its stratum and encoding."""
+    natural, keys = [a + b[0].upper() + b[1:] for a, b in zip(identifiers("camel", 20_000), identifiers("camel", 40_000)[20_000:])], _runs(20, 3, 86)
+    natural = [x for x in natural if sc.stratum(len(x)) == 80]
+    natural = (natural * (200_000 // len(natural) + 1))[:200_000]
+    lines = [" ".join(natural[i : i + 500]) for i in range(0, len(natural), 500)]
     got = sc.scan(docs_of([*enumerate(lines), *((5000 + i, f"{k} end") for i, k in enumerate(keys))])).toPandas()
-    got = got[got.encoding == "alnum"]
-    assert len(got) > 19_000
+    got = got[(got.encoding == "alnum") & (got.length >= 80)]
+    assert len(got) > 150_000
     found = got[got.secret].doc_id
-    assert (found >= 5000).sum() >= 18 and (found < 5000).sum() <= 1
+    assert (found >= 5000).sum() >= 19 and (found < 5000).sum() <= 1
+
+
+def _upper_gamma(a, x):
+    """Regularised upper incomplete gamma function, by its series."""
+    import math
+
+    term = total = 1 / a
+    k = a
+    while term > total * 1e-15:
+        k += 1
+        term *= x / k
+        total += term
+    return 1 - total * math.exp(a * math.log(x) - x - math.lgamma(a)) if x > 0 else 1.0
+
+
+def _plain(symbols, size):
+    """The battery's three p-values by the textbook, one symbol at a time."""
+    import math
+
+    n = len(symbols)
+    bins = max(2, min(size, n // 4))
+    share = [0] * bins
+    for k in range(size):
+        share[k * bins // size] += n / size
+    seen = [0] * bins
+    for s in symbols:
+        seen[s * bins // size] += 1
+    uniform = _upper_gamma((bins - 1) / 2, sum((o - e) ** 2 / e for o, e in zip(seen, share)) / 2)
+    high = [s >= size / 2 for s in symbols]
+    above, runs = sum(high), 1 + sum(x != y for x, y in zip(high, high[1:]))
+    if above in (0, n):
+        run = 2.0 ** (1 - n)
+    else:
+        mean = 1 + 2 * above * (n - above) / n
+        run = math.erfc(abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9)) / math.sqrt(2))
+    centre = sum(symbols) / n
+    power = sum((s - centre) ** 2 for s in symbols)
+    r = sum((x - centre) * (y - centre) for x, y in zip(symbols, symbols[1:])) / power if power else 0
+    serial = math.erfc(abs(r + 1 / n) * math.sqrt(n) / math.sqrt(2)) if power else 0.0
+    return uniform, run, serial
+
+
+def test_all_p_values_and_verdicts_by_brute_force(docs_of, rows):
+    """Battery, share of simulated strings, fitted tail and control, recomputed a candidate at a time."""
+    import math
+
+    table = {}
+    for i, text in rows:
+        for start, run, name, body in sc.candidates(text):
+            table[i, start] = (name, len(body), [sc.ALPHABETS[name].index(c) for c in body])
+    pairs = np.zeros((26, 26), int)
+    for _, text in rows:
+        low = text.lower()
+        for a, b in zip(low, low[1:]):
+            if "a" <= a <= "z" and "a" <= b <= "z":
+                pairs[ord(a) - 97, ord(b) - 97] += 1
+    simulated = sc.simulate(pairs)
+    got = sc.scan(docs_of(rows)).toPandas()
+    assert len(got) == len(table)
+    want, learnt = {}, got.groupby(["encoding", got.doc_id * 0 + [sc.stratum(table[d, s][1]) for d, s in zip(got.doc_id, got.start)]]).size()
+    for r in got.itertuples():
+        name, n, symbols = table[r.doc_id, r.start]
+        for p, q in zip((r.uniform, r.runs, r.serial), _plain(symbols, len(sc.ALPHABETS[name]))):
+            assert abs(p - q) < 3e-3 or abs(math.log(max(p, 1e-12)) - math.log(max(q, 1e-12))) < 0.2
+        if learnt[name, sc.stratum(n)] >= 100 or name == "decimal":
+            continue
+        x = max(sc.MEDIAN, -2 * sum(math.log(max(p, 1e-16)) for p in (r.uniform, r.runs, r.serial)))
+        null = sorted(simulated[name][sc.stratum(n)])
+        k = int(sc.TAIL * len(null))
+        if x >= null[k - 1]:
+            p = (sum(v <= x for v in null) + 1) / (len(null) + 1)
+        else:  # the most likely power of a share (x / u) ** a
+            a = min(sc.STEEPEST, k / sum(math.log(null[k - 1] / max(v, 1e-9)) for v in null[:k]))
+            p = k / (len(null) + 1) * (x / null[k - 1]) ** a
+        assert abs(math.log10(r.natural) - max(-30, math.log10(p))) < 0.02, (name, n)
+        want.setdefault((name, sc.stratum(n)), []).append((r.natural, r.secret))
+    assert len(want) >= 3
+    for verdicts in want.values():
+        verdicts.sort()
+        limit = max([p for k, (p, _) in enumerate(verdicts) if p <= sc.FALSE_DISCOVERIES * (k + 1) / len(verdicts)], default=-1)
+        assert all(secret == (p <= limit) for p, secret in verdicts)
 
 
 def test_share_of_natural_strings_learns_from_the_corpus():
@@ -145,3 +254,10 @@ def test_awkward_rows(docs_of, awkward):
 
 def test_empty_table(docs_of):
     assert sc.scan(docs_of([(1, "a")]).where("false")).count() == 0
+
+
+def test_ids_of_any_type(docs_of):
+    from pyspark.sql import functions as F
+
+    df = docs_of([(1, PLANTED["hex"][0] + " x"), (2, "none")]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert [r["doc_id"] for r in sc.scan(df).collect()] == ["d1"]
