@@ -11,6 +11,9 @@ floor(e) copies, and one more if its hash lies below the rest.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +25,35 @@ SEED = 17
 BROADCAST_SOURCES = 100_000
 
 
-def source_epochs(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: dict[str | None, int] | None = None, max_epochs: int = MAX_EPOCHS, budget: int | None = None) -> DataFrame:
+def whole_weights(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in the same proportions, exactly as long as they have up to twelve digits, else to twelve digits."""
+    exact = {s: Fraction(str(w)) if isinstance(w, float) and math.isfinite(w) else Fraction(w) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("weights can't be negative")
+    common = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    whole = {s: int(w * common) for s, w in exact.items()}
+    shared = math.gcd(*whole.values()) or 1
+    most = max(whole.values(), default=0) // shared
+    if most < 10**12:
+        return {s: w // shared for s, w in whole.items()}
+    return {s: max(1, round(Fraction(w, shared) * 10**12 / most)) if w else 0 for s, w in whole.items()}
+
+
+def source_epochs(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: dict[str | None, float] | None = None, max_epochs: int = MAX_EPOCHS, budget: int | None = None) -> DataFrame:
     """(source, size, weight, epochs) for each source, a null one included.
 
-    size is in UTF-8 bytes.  weights are whole numbers, by default the square
-    root of the size (sources not named have weight 0 and epochs 0); budget is
-    in bytes, by default the size of all documents.  A source whose texts are
-    all null or empty costs nothing and has 1 epoch.  If all sources are clamped
-    the budget isn't reached.
+    size is in UTF-8 bytes.  weights are numbers in any unit, fractions too, of
+    which only the proportions count (ValueError if one is negative or not
+    finite); by default the square root of the size (sources not named have
+    weight 0 and epochs 0); budget is in bytes, by default the size of all
+    documents.  A source whose texts are all null or empty costs nothing and has
+    1 epoch.  If all sources are clamped the budget isn't reached.
     """
     sizes = docs.select(F.col(source_col).alias("source"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("b")).groupBy("source").agg(F.sum("b").alias("size"))
     if weights is None:
         weighed = sizes.withColumn("weight", F.floor(F.sqrt("size")))
     else:
-        given = docs.sparkSession.createDataFrame([(s, int(w)) for s, w in weights.items()], "s string, w long")
+        given = docs.sparkSession.createDataFrame(list(whole_weights(weights).items()), "s string, w long")
         weighed = sizes.join(given, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "size", F.coalesce("w", F.lit(0)).alias("weight"))
     weighed = materialize(weighed, "sources")
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -63,7 +81,7 @@ def _copies(docs: DataFrame, epochs: DataFrame, id_col: str, source_col: str, se
     return joined, (whole + F.when(chance < own["own_epochs"] - whole, 1).otherwise(0)).cast("int"), "own_epochs"
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, int] | None = None, max_epochs: int = MAX_EPOCHS, budget: int | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, max_epochs: int = MAX_EPOCHS, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """The sampled corpus as (doc_id, source, copy), copy counting from 0.
 
     Nulls: a null source is a source of its own; a null text has size 0; a null
@@ -78,12 +96,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return joined.select(named["doc_id"], named["source"], copies.alias("n")).where("n > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
 
 
-def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, int] | None = None, max_epochs: int = MAX_EPOCHS, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """``docs`` with each row as often as mix() has it; all columns are kept, whatever their names."""
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, max_epochs: int = MAX_EPOCHS, budget: int | None = None, seed: int = SEED) -> DataFrame:
+    """``docs`` with each row as often as mix() has it; all columns are kept, whatever their names.
+
+    Nulls, empty and very long texts, ties, repeated rows and the empty table:
+    as in mix().
+    """
     joined, copies, _ = _copies(docs, source_epochs(docs, source_col, text_col, weights, max_epochs, budget), id_col, source_col, seed)
     times = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))
-    own = [docs[f"`{c}`"] for c in docs.columns]
-    return joined.select(*own, times.alias("copy of a row")).drop("copy of a row")
+    own, copy = [docs[f"`{c}`"] for c in docs.columns], "_" + max(docs.columns, key=len)  # longer than any name
+    return joined.select(*own, times.alias(copy)).drop(copy)
 
 
 #: The default mix in DuckDB SQL, over whole tables.

@@ -52,6 +52,25 @@ def test_copies_follow_the_epochs(docs_of):
         assert sum(d == i for d, _ in one) == int(epochs[s]) + (u < epochs[s] % 1)
 
 
+def test_fractional_weights_are_exact_shares(docs_of):
+    df = docs_of([(i, "x" * 10, "web" if i < 700 else "code") for i in range(1000)])
+    shares = lambda w: {r["source"]: r["epochs"] for r in mx.source_epochs(df, weights=w).collect()}
+    assert shares({"web": 0.7, "code": 0.3}) == shares({"web": 7, "code": 3}) == shares({"web": 7e-9, "code": 3e-9}) == {"web": 1.0, "code": 1.0}
+    assert shares({"web": 0.5, "code": 0.5}) == pytest.approx({"web": 500 / 700, "code": 500 / 300})
+    assert mx.mix(df, weights={"web": 0.7, "code": 0.3}).count() == 1000
+    third = mx.whole_weights({"a": 1 / 3, "b": 0.25, None: 0})
+    assert third["a"] / third["b"] == pytest.approx(4 / 3, rel=1e-11) and third[None] == 0
+    assert mx.whole_weights({"a": 0.1, "b": 0.2, "c": 3}) == {"a": 1, "b": 2, "c": 30} and mx.whole_weights({}) == {} and mx.whole_weights({"a": 0.0}) == {"a": 0}
+    for bad in (-1, float("nan"), float("inf")):
+        with pytest.raises((ValueError, OverflowError)):
+            mx.whole_weights({"a": bad})
+
+
+def test_columns_of_any_name_stay(docs_of):
+    df = docs_of([(1, "a", "web")], **{"copy of a row": "1", "_source": "2", "Times": "3"})
+    assert mx.mix_rows(df).columns == df.columns and mx.mix_rows(df).first()["copy of a row"] == 1
+
+
 @pytest.mark.parametrize("limit", [mx.BROADCAST_SOURCES, 0])
 def test_awkward_rows(docs_of, awkward, monkeypatch, limit):
     monkeypatch.setattr(mx, "BROADCAST_SOURCES", limit)
