@@ -30,6 +30,12 @@ def test_escaping_is_undone(text):
     assert "<|start|>" not in ch.escape(text) and "<|end|>" not in ch.escape(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="<|\\>n\nend a", max_size=30))
+def test_escaping_of_roles_is_undone(role):
+    assert ch.unescape_role(ch.escape_role(role)) == role and "\n" not in ch.escape_role(role)
+
+
 def conversations(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
 
@@ -66,6 +72,23 @@ def test_awkward_conversations(spark):
     assert ch.format_chats(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [ch.BROADCAST_LONG, 0])
+def test_long_conversations_come_in_parts(spark, monkeypatch, limit):
+    """One conversation, and the null one, hold most rows; their parts in order are the whole."""
+    monkeypatch.setattr(ch, "PART", 4)
+    monkeypatch.setattr(ch, "BROADCAST_LONG", limit)
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 1, None, None, 2, 3]), rng.choice([None, 1, 2, 3, 4, 5, 6, 7, 8, 9]), rng.choice(["assistant", None, "a\nb", "x\\n"]), rng.choice(TRICKY)) for _ in range(120)] + [(4, 1, "user", "only")]
+    got = {}
+    for r in sorted(ch.format_chats(conversations(spark, rows)).collect(), key=lambda r: (str(r["conv_id"]), r["part"])):
+        assert r["n_turns"] <= 4 and len(r["ids"]) == len(r["mask"]) and r["part"] == len(got.setdefault(r["conv_id"], []))
+        got[r["conv_id"]].append(ch.decode_chat(r["ids"], VOCABULARY))
+    for c in {r[0] for r in rows}:
+        want = sorted({(t is not None, t or 0, r or "user", x) for cc, t, r, x in rows if cc == c})
+        assert [t for part in got[c] for t in part] == [x[2:] for x in want]
+        assert all(len(p) == 4 for p in got[c][:-1])
+
+
 def test_whole_table_of_conversations(spark, sf):
     df = spark.read.parquet(f"{sf}/conversations.parquet")
     got = {r["conv_id"]: ch.decode_chat(r["ids"], VOCABULARY) for r in ch.format_chats(df).collect()}
