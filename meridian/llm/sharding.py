@@ -1,13 +1,16 @@
 """Sharding by Karmarkar-Karp differencing over indivisible groups.
 
-A partial partition holds the bytes of each of the n shards.  The two partial
-partitions of the largest spread are combined, one in descending and one in
-ascending order, until one is left.  Groups of equal content are indivisible.
+A partial partition holds the bytes of those of the n shards that it uses, in
+descending order.  The two partial partitions of the largest spread are combined,
+one in descending and one in ascending order, until one is left.  Groups of equal
+content are indivisible.
 
 Groups are spread over nodes by hash and differenced within each node; the
 nodes' results are partial partitions again and are differenced with each
-other, ``FAN_IN`` at a time, until one is left.  So no worker holds more than a
-bounded number of groups, and the driver holds none.
+other, as many at a time as ``CELLS`` bytes of shards allow, until one is left.
+So no worker holds more than a bounded number of groups, and the driver holds
+none.  Slots that are combined become one by a pointer, so a node needs memory
+for its groups and one partial partition, not for groups times shards.
 """
 
 from __future__ import annotations
@@ -25,39 +28,49 @@ from meridian.plans.materialize import materialize
 SHARDS = 16
 #: Groups that one node differences.
 NODE_GROUPS = 20_000
-#: Partial partitions that one node of the upper levels combines.
-FAN_IN = 256
+#: Partial partitions that one node of the upper levels combines, at most, and the used shards that they may have together.
+FAN_IN, CELLS = 256, 2_000_000
 
 
-def difference(sums: np.ndarray) -> np.ndarray:
-    """Slots (m x n) that partial partitions (m x n bytes) take in their combination, by differencing."""
-    count, n = sums.shape
-    heap = [(-int(row.max() - row.min()), k) for k, row in enumerate(sums)]
+def difference(owner: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """The shard, of n, that each slot comes to, when the partial partitions are differenced.
+
+    owner tells to which partial partition a slot belongs, size its bytes; a
+    partial partition has n slots at most, and those it has not are empty.
+    """
+    order = np.lexsort((-size, owner))
+    starts = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0]) if order.size else np.zeros(0, int)
+    parts = {k: (size[i], i) for k, i in enumerate(np.split(order, starts[1:]))} if order.size else {}
+    spread = lambda v: int(v[0] - (v[-1] if v.size == n else 0))
+    heap = [(-spread(v), k) for k, (v, _) in parts.items()]
     heapq.heapify(heap)
-    total, children = list(sums), {}
+    into, fresh = np.arange(size.size), len(parts)
     while len(heap) > 1:
         (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        down = np.argsort(-total[a], kind="stable")
-        up = np.argsort(total[b], kind="stable")
-        joined = total[a][down] + total[b][up]
-        children[len(total)] = (a, down, b, up)
-        heapq.heappush(heap, (-int(joined.max() - joined.min()), len(total)))
-        total.append(joined)
-    slots = np.empty((len(total), n), np.int32)
-    if heap:
-        slots[heap[0][1]] = np.arange(n)
-    for node in range(len(total) - 1, count - 1, -1):
-        a, down, b, up = children[node]
-        slots[a][down] = slots[node]
-        slots[b][up] = slots[node]
-    return slots[:count]
+        (down, slots), (up, others) = parts.pop(a), parts.pop(b)
+        up, others = up[::-1], others[::-1]
+        both = max(0, down.size + up.size - n)  # the smallest of one meet the smallest of the other, in turn
+        alone = down.size - both
+        into[others[:both]] = slots[alone:]
+        sums = np.concatenate([down[:alone], down[alone:] + up[:both], up[both:]])
+        slots = np.concatenate([slots, others[both:]])
+        ranked = np.argsort(-sums, kind="stable")
+        parts[fresh] = (sums[ranked], slots[ranked])
+        heapq.heappush(heap, (-spread(sums[ranked]), fresh))
+        fresh += 1
+    while not np.array_equal(up := into[into], into):
+        into = up
+    shard = np.zeros(size.size, np.int32)
+    for _, slots in parts.values():
+        shard[slots] = np.arange(slots.size)
+    return shard[into]
 
 
 def _combine(n: int):
     def combine(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["child", "slot"])
-        sums = rows["bytes"].to_numpy(np.int64).reshape(-1, n)
-        return pd.DataFrame({"parent": rows["parent"], "child": rows["child"], "slot": rows["slot"], "to": difference(sums).ravel(), "bytes": rows["bytes"]})
+        to = difference(rows["child"].to_numpy(), rows["bytes"].to_numpy(np.int64), n)
+        return pd.DataFrame({"parent": rows["parent"], "child": rows["child"], "slot": rows["slot"], "to": to, "bytes": rows["bytes"]})
 
     return combine
 
@@ -65,31 +78,44 @@ def _combine(n: int):
 def _place(n: int):
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bytes", "content"], ascending=[False, True])
-        sums = np.zeros((len(rows), n), np.int64)
-        sums[:, 0] = rows["bytes"]
-        return pd.DataFrame({"node": rows["node"], "content": rows["content"], "slot": difference(sums)[:, 0], "bytes": rows["bytes"]})
+        return pd.DataFrame({"node": rows["node"], "content": rows["content"], "slot": difference(np.arange(len(rows)), rows["bytes"].to_numpy(np.int64), n), "bytes": rows["bytes"]})
 
     return place
 
 
 def content_shards(docs: DataFrame, text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """(content, shard) for each distinct content, a hash of the text."""
+    """(content, shard, rows) for each distinct content, a hash of the text, and how many rows have it."""
     if shards < 1:
         raise ValueError("shards must be positive")
-    groups = materialize(docs.select(F.xxhash64(text_col).alias("content"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("b")).groupBy("content").agg(F.sum("b").alias("bytes")), "contents")
+    sized = docs.select(F.xxhash64(text_col).alias("content"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("b"))
+    groups = materialize(sized.groupBy("content").agg(F.sum("b").alias("bytes"), F.count("*").alias("rows")), "contents")
     nodes = max(1, math.ceil(groups.count() / NODE_GROUPS))
     placed = groups.withColumn("node", F.pmod(F.xxhash64("content"), F.lit(nodes)).cast("int")).groupBy("node").applyInPandas(_place(shards), "node int, content long, slot int, bytes long")
     placed = materialize(placed, "placed")
-    sums = placed.groupBy("node", "slot").agg(F.sum("bytes").alias("bytes"))
-    grid = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("slot"))
-    sums = placed.select("node").distinct().crossJoin(grid).join(sums, ["node", "slot"], "left").select(F.col("node").alias("child"), "slot", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
-    way = placed.select("content", F.col("node").alias("at"), F.col("slot").alias("in_slot"))
+    sums = placed.groupBy(F.col("node").alias("child"), "slot").agg(F.sum("bytes").alias("bytes"))
+    way, fan = placed.select("content", F.col("node").alias("at"), F.col("slot").alias("in_slot")), max(2, min(FAN_IN, CELLS // shards))
     while nodes > 1:
-        step = materialize(sums.withColumn("parent", F.expr(f"child div {FAN_IN}").cast("int")).groupBy("parent").applyInPandas(_combine(shards), "parent int, child int, slot int, to int, bytes long"), "level")
+        step = materialize(sums.withColumn("parent", F.expr(f"child div {fan}").cast("int")).groupBy("parent").applyInPandas(_combine(shards), "parent int, child int, slot int, to int, bytes long"), "level")
         way = way.join(step, (F.col("at") == F.col("child")) & (F.col("in_slot") == F.col("slot"))).select("content", F.col("parent").alias("at"), F.col("to").alias("in_slot"))
         sums = step.groupBy(F.col("parent").alias("child"), F.col("to").alias("slot")).agg(F.sum("bytes").alias("bytes"))
-        nodes = math.ceil(nodes / FAN_IN)
-    return way.select("content", F.col("in_slot").alias("shard"))
+        nodes = math.ceil(nodes / fan)
+    return materialize(way.join(groups.select("content", "rows"), "content").select("content", F.col("in_slot").alias("shard"), "rows"), "shards")
+
+
+def _assigned(rows: DataFrame, content, shards: DataFrame, columns: list) -> DataFrame:
+    """``columns`` of the rows and the shard of their content; contents that more than a thousandth of all rows have are broadcast."""
+    many = shards.agg(F.sum("rows")).first()[0] or 0
+
+    def joined(left: DataFrame, some: DataFrame, hot: bool) -> DataFrame:
+        named = some.select(F.col("content").alias("of"), F.col("shard").alias("to"))
+        return left.join(F.broadcast(named) if hot else named, content == named["of"]).select(*columns, named["to"].alias("shard"))
+
+    hot = shards.where(F.col("rows") * 1000 > many)
+    rest = shards.where(F.col("rows") * 1000 <= many)
+    if not hot.take(1):
+        return joined(rows, rest, False)
+    keys = hot.select(F.col("content").alias("hot_content"))
+    return joined(rows, hot, True).union(joined(rows.join(F.broadcast(keys), content == keys["hot_content"], "left_anti"), rest, False))
 
 
 def shard_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -100,12 +126,15 @@ def shard_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     are whole.  Groups of equal size go by their hash.  Repeated rows share a
     shard.  An empty table gives no rows.  Other columns are not read.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("content"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
-    return named.join(content_shards(docs, text_col, shards), "content").select("doc_id", "shard", "bytes")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("own"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
+    return _assigned(named, named["own"], content_shards(docs, text_col, shards), [named["doc_id"], named["bytes"]]).select("doc_id", "shard", "bytes")
 
 
 def shard_rows(docs: DataFrame, text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """``docs`` with a column ``shard``; a column of that name is replaced, all others are kept."""
+    """``docs`` with a column ``shard``; a column of that name is replaced, all others are kept.
+
+    Nulls, empty and very long texts, ties, repeated rows and the empty table:
+    as in shard_ids().
+    """
     rest = docs.drop("shard")
-    assigned = content_shards(docs, text_col, shards)
-    return rest.join(assigned, F.xxhash64(rest[text_col]) == assigned["content"]).select(*[rest[f"`{c}`"] for c in rest.columns], assigned["shard"])
+    return _assigned(rest, F.xxhash64(rest[f"`{text_col}`"]), content_shards(docs, text_col, shards), [rest[f"`{c}`"] for c in rest.columns])
