@@ -7,9 +7,11 @@ versions' sketches subtract cell by cell, what they share cancels out, and
 peeling cells that hold a single digest recovers the differing ones.  If cells
 remain, the pair is tried again with four times as many.
 
-The versions compared are documents with the same first and last paragraph, in
-the order of their ids: each is compared with the one before it, and one without
-a predecessor with the empty document.
+A document's predecessor is found by its paragraphs: each names the last document
+before it, in the order of ids, that has this paragraph too, and the document
+named most often is the predecessor if at least half of the paragraphs name it.
+All postings of paragraphs are sorted over range partitions, so that a paragraph
+that very many share is spread over tasks.
 """
 
 from __future__ import annotations
@@ -20,14 +22,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.text import texts_of
+from meridian.llm.text import texts_of, type_of
 from meridian.plans.materialize import materialize
 
 CELLS = 24
 GROWTH = 4
+#: Share of a document's paragraphs that must name its predecessor.
+OVERLAP = 0.5
+#: Cells that a worker holds at once.
+HELD = 400_000
+#: Rows of one version that come from one task.
+REPEATED = 10_000
+#: Tasks over which they are spread.
+SPREAD = 200
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -104,24 +114,75 @@ def sketch_sets(sets: list[list[int]], m: int) -> Sketches:
     return out
 
 
-def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, first, last, digests): digests are distinct and sorted."""
+def _versions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, digests, n): the distinct documents, digests distinct and sorted, and how many rows each has."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [paragraphs(t) for t in texts_of(batch.column(2))]
-            ends = [pa.array([f[k] if f else None for f in found], pa.int64()) for k in (0, -1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *ends, pa.array([sorted(set(f)) for f in found], pa.list_(pa.int64()))], ["doc_id", "text_hash", "first", "last", "digests"])
-
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return named.mapInArrow(digest, "doc_id long, text_hash long, first long, last long, digests array<long>")
+            hashes, found = [], []
+            for text in texts_of(batch.column(1)):
+                hashes.append(int.from_bytes(hashlib.md5((text or "").encode("utf-8", "replace"), usedforsecurity=False).digest()[:8], "big") >> 4)
+                found.append(sorted(set(paragraphs(text))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "digests"])
+
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = named.mapInArrow(digest, f"doc_id {type_of(docs, id_col)}, text_hash long, digests array<long>")
+    return rows.groupBy("doc_id", "text_hash").agg(F.first("digests").alias("digests"), F.count("*").alias("n"))
+
+
+def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted postings, each with the one before it of the same digest; place 0 is a task's first posting, 1 a copy of its last."""
+    part, last, names = TaskContext.get().partitionId(), None, ["digest", "doc_id", "text_hash", "previous_id", "previous_hash", "part", "place"]
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        both = pa.Table.from_batches([b for b in (last, batch) if b is not None]).combine_chunks()
+        digest = both.column("digest").to_numpy()
+        k = both.num_rows - n
+        at = np.arange(k, k + n) - 1
+        same = (at >= 0) & (digest[np.maximum(at, 0)] == digest[k:])
+        older = [both.column(c).take(pa.array(np.maximum(at, 0), mask=~same)).combine_chunks() for c in ("doc_id", "text_hash")]
+        head = pa.array(np.zeros(n, np.int32), mask=(np.arange(n) > 0) | (last is not None))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *older, pa.array(np.full(n, part, np.int32)), head], names)
+        last = batch.slice(n - 1, 1)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([*last.columns, pa.nulls(1, last.schema.field("doc_id").type), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([1], pa.int32())], names)
+
+
+def _predecessors(versions: DataFrame, overlap: float) -> DataFrame:
+    """(doc_id, text_hash, previous_id, previous_hash) of the versions that have a predecessor."""
+    kind = type_of(versions, "doc_id")
+    posts = versions.select(F.explode("digests").alias("digest"), "doc_id", "text_hash")
+    order = [F.col("digest"), F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
+    shape = f"digest long, doc_id {kind}, text_hash long, previous_id {kind}, previous_hash long, part int, place int"
+    named = materialize(posts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_before, shape), "named")
+    # two rows of a partition: a first posting's predecessor is the last posting of the partition before
+    ends = named.where("place is not null").sort("part", "place").collect()
+    heads = [(b["digest"], b["doc_id"], b["text_hash"], a["doc_id"], a["text_hash"]) for a, b in zip(ends, ends[1:]) if b["place"] == 0 and a["digest"] == b["digest"]]
+    columns = ["doc_id", "text_hash", "previous_id", "previous_hash"]
+    others = named.where("coalesce(place, 0) = 0 and previous_hash is not null").select(*columns)
+    if heads:
+        others = others.unionByName(named.sparkSession.createDataFrame(heads, f"digest long, doc_id {kind}, text_hash long, previous_id {kind}, previous_hash long").select(*columns))
+    best = others.groupBy(*columns).count().groupBy("doc_id", "text_hash").agg(F.max(F.struct("count", "previous_id", "previous_hash")).alias("b"))
+    own = versions.select("doc_id", "text_hash", F.size("digests").alias("size"))
+    both = best.alias("a").join(own.alias("v"), _same("a", "v"))
+    return both.where(F.col("b.count") >= F.lit(overlap) * F.col("size")).select("a.doc_id", "a.text_hash", "b.previous_id", "b.previous_hash")
+
+
+def _same(a: str, b: str, i: str = "doc_id", h: str = "text_hash"):
+    """Whether two aliased tables mean one version."""
+    return F.col(f"{a}.{i}").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.{h}") == F.col(f"{b}.text_hash"))
 
 
 def _sketched(rows: DataFrame, m: int) -> DataFrame:
+    """The rows with sketches of m cells in place of their last column, the digests."""
+    step = max(1, HELD // m)
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sketch_sets(part.columns[-1].to_pylist(), m).to_rows(), pa.binary())], [*part.schema.names[:-1], "sketch"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -130,11 +191,12 @@ def _sketched(rows: DataFrame, m: int) -> DataFrame:
 
 def _peeled(pairs: DataFrame, m: int) -> DataFrame:
     """pairs: four columns of identity, sketch, previous sketch."""
+    step = max(1, HELD // m)
 
     def peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 own = Sketches.from_rows(part.column(4).to_pylist(), m)
                 own.subtract(Sketches.from_rows(part.column(5).to_pylist(), m))
                 rows, keys, signs, done = own.peel()
@@ -147,115 +209,79 @@ def _peeled(pairs: DataFrame, m: int) -> DataFrame:
                     sides.append(pa.array([sorted(s) for s in side], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(done), *sides], ["doc_id", "text_hash", "previous_id", "previous_hash", "done", "added", "removed"])
 
-    return pairs.mapInArrow(peel, "doc_id long, text_hash long, previous_id long, previous_hash long, done boolean, added array<long>, removed array<long>")
-
+    kind = type_of(pairs, "doc_id")
+    return pairs.mapInArrow(peel, f"doc_id {kind}, text_hash long, previous_id {kind}, previous_hash long, done boolean, added array<long>, removed array<long>")
 
-def _chained(table: DataFrame, m: int) -> DataFrame:
-    """Each row of ``table`` against the one before it in its chain: (identity, done, added, removed).
 
-    The rows are range-partitioned by chain and place, so that a chain of any
-    length is cut over tasks; each task sketches and compares its rows in order.
-    What it can't see is the predecessor of its first row: the ends of all
-    partitions, two small rows each, are compared apart.
-    """
-    order = [F.col("first"), F.col("last"), F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
-    names = ["doc_id", "text_hash", "previous_id", "previous_hash", "done", "added", "removed", "part", "place", "first", "last", "sketch"]
-    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    shape = "doc_id long, text_hash long, previous_id long, previous_hash long, done boolean, added array<long>, removed array<long>, part int, place int, first long, last long, sketch binary"
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), None
-        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                own = batch.slice(at, 1000)
-                ids, hashes, first, last, sets = (own.column(c).to_pylist() for c in ("doc_id", "text_hash", "first", "last", "digests"))
-                n, fresh = len(ids), sketch_sets(sets, m)
-                sketches = fresh.to_rows()
-                rows = list(zip(ids, hashes, first, last, sketches))
-                older = [before, *rows[:-1]]
-                fresh.subtract(Sketches.from_rows([p[4] if p and p[2:4] == r[2:4] else None for p, r in zip(older, rows)], m))
-                found, keys, signs, done = fresh.peel()
-                sides = [([], []) for _ in range(n)]
-                for r, k, sign in zip(found.tolist(), keys.tolist(), signs.tolist()):
-                    sides[r][sign < 0].append(k)
-                result = []
-                for k, (p, r) in enumerate(zip(older, rows)):
-                    if p is None:
-                        result.append((r[0], r[1], None, None, None, None, None, part, 0, r[2], r[3], r[4]))
-                    else:
-                        same = p[2:4] == r[2:4]
-                        result.append((r[0], r[1], p[0] if same else None, p[1] if same else None, bool(done[k]), sorted(sides[k][0]), sorted(sides[k][1]), None, None, None, None, None))
-                yield out(result)
-                before = rows[-1]
-        if before is not None:
-            yield out([(before[0], before[1], None, None, None, None, None, part, 1, *before[2:5])])
-
-    ranged = table.where("first is not null").repartitionByRange(*order).sortWithinPartitions(*order)
-    compared = materialize(ranged.mapInArrow(compare, shape), "compared")
-    ends = Window.orderBy("part", "place")  # two rows of a partition
-    same = (F.lag("first").over(ends) == F.col("first")) & (F.lag("last").over(ends) == F.col("last"))
-    older = [F.when(same, F.lag(c).over(ends)).alias(n) for c, n in (("doc_id", "previous_id"), ("text_hash", "previous_hash"), ("sketch", "previous"))]
-    heads = compared.where("place is not null").select("doc_id", "text_hash", *older[:2], "sketch", older[2], "place").where("place = 0").drop("place")
-    results = ["doc_id", "text_hash", "previous_id", "previous_hash", "done", "added", "removed"]
-    return compared.where("place is null").select(*results).unionByName(materialize(_peeled(heads, m), "heads"))
-
-
-def paragraph_changes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS) -> DataFrame:
+def paragraph_changes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = CELLS, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, previous_id, added, removed), one row for each row of ``docs``.
 
     added and removed are the digests of the paragraphs that only the document
-    or only its predecessor has, ascending, joined by commas.
-
-    Nulls: a null or empty text has no paragraphs and no predecessor; null ids
-    come first in their chain, and are kept.  Very long texts are digested
-    whole.  A paragraph repeated within a text counts once.  Rows with one id
-    are versions in the order of their text's hash; repeated rows differ in
-    nothing from the row before.  An empty table gives no rows.  Other columns
-    are not read.
+    or only its predecessor has, ascending, joined by commas; without a
+    predecessor all paragraphs are added.
+
+    Ids can be of any type with an order.  Nulls: a null or empty text has no
+    paragraphs and no predecessor; null ids come first in the order, and are
+    kept.  Very long texts are digested whole.  A paragraph repeated within a
+    text counts once.  Ties: of documents named equally often the one with the
+    highest id, then text hash, is the predecessor.  Rows with one id and
+    different texts are versions in the order of their text's hash; repeated
+    rows are one version, with a row each.  An empty table gives no rows.  Other
+    columns are not read.
     """
     if cells < 3 or cells % 3:
         raise ValueError("cells must be a multiple of 3")
-    table = materialize(_digests(docs, id_col, text_col), "digests")
+    versions = materialize(_versions(docs, id_col, text_col), "versions")
     identity = ["doc_id", "text_hash", "previous_id", "previous_hash"]
-    level, m, results = _chained(table, cells), cells, []
-    by_id = table.select("doc_id", "text_hash", "digests")
+    linked = materialize(_predecessors(versions, overlap), "linked")
+    some, m, results, table = linked, cells, [], versions.select("doc_id", "text_hash", "digests")
     while True:
-        results.append(level.where("done").select("doc_id", "previous_id", "added", "removed"))
-        failed = level.where("not done").select(*identity)
-        if not failed.take(1):
+        larger = materialize(_sketched(table, m), "sketches")
+        own = some.alias("n").join(larger.alias("s"), _same("n", "s")).select(*[f"n.{c}" for c in identity], "s.sketch")
+        pairs = own.alias("n").join(larger.alias("p"), _same("n", "p", "previous_id", "previous_hash")).select("n.*", F.col("p.sketch").alias("previous"))
+        level = materialize(_peeled(pairs, m), "peeled")
+        results.append(level.where("done").select(*identity[:3], "added", "removed"))
+        some = level.where("not done").select(*identity)
+        if not some.take(1):
             break
         m *= GROWTH
-        needed = materialize(failed, "failed")
-        ids = needed.select("doc_id", "text_hash").union(needed.where("previous_hash is not null").select("previous_id", "previous_hash")).distinct()
-        same = lambda a, b, i, h: F.col(f"{a}.{i}").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.{h}") == F.col(f"{b}.text_hash"))
-        own = by_id.alias("t").join(ids.alias("i"), same("i", "t", "doc_id", "text_hash"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-        larger = materialize(_sketched(own, m), "sketches")
-        own = needed.alias("n").join(larger.alias("s"), same("n", "s", "doc_id", "text_hash")).select(*[f"n.{c}" for c in identity], "s.sketch")
-        # rows without a predecessor stay out of the second join, where they would all have one key
-        first = own.where("previous_hash is null").withColumn("previous", F.lit(None).cast("binary"))
-        later = own.where("previous_hash is not null").alias("n").join(larger.alias("p"), same("n", "p", "previous_id", "previous_hash")).select("n.*", F.col("p.sketch").alias("previous"))
-        level = materialize(_peeled(first.unionByName(later), m), "peeled")
-    without = table.where("first is null").select("doc_id", F.lit(None).cast("long").alias("previous_id"), F.array().cast("array<long>").alias("added"), F.array().cast("array<long>").alias("removed"))
-    out = without
-    for result in results:
-        out = out.union(result)
-    return out.select("doc_id", "previous_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("added", "removed")])
+        needed = some.select("doc_id", "text_hash").union(some.select("previous_id", "previous_hash")).distinct()
+        table = versions.alias("t").join(needed.alias("i"), _same("t", "i"), "left_semi").select("doc_id", "text_hash", "digests")
+    found = results[0]
+    for result in results[1:]:
+        found = found.union(result)
+    whole = versions.alias("v").join(found.alias("f"), _same("v", "f"), "left")
+    rows = whole.select("v.doc_id", "f.previous_id", "n", F.coalesce("added", "digests").alias("added"), F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
+    rows = rows.select("doc_id", "previous_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("added", "removed")], "n")
+    # a version of very many rows is spread over tasks before it comes once for each
+    pieces = rows.where("n > 1").withColumn("n", F.explode(F.expr(f"transform(sequence(0L, (n - 1) div {REPEATED}), k -> least({REPEATED}L, n - k * {REPEATED}))")))
+    return rows.where("n = 1").drop("n").union(pieces.repartition(SPREAD).withColumn("n", F.explode(F.expr("sequence(1L, n)"))).drop("n"))
 
 
 #: The same by set difference, in DuckDB SQL.
-ORACLE_SQL = """
+ORACLE_SQL = f"""
 with lines as (
-  select doc_id, md5(text) as text_hash, list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: l <> ''),
-    lambda l: ('0x' || substr(md5(l), 1, 15))::bigint) as d from documents
-), ends as (
-  select doc_id, text_hash, d[1] as first, d[len(d)] as last, list_sort(list_distinct(d)) as d from lines
+  select doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::bigint as text_hash,
+    list_sort(list_distinct(list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: l <> ''), lambda l: ('0x' || substr(md5(l), 1, 15))::bigint))) as d
+  from documents
+), versions as (
+  select distinct on (doc_id, text_hash) doc_id, text_hash, d from lines
+), posts as (
+  select doc_id, text_hash, unnest(d) as digest from versions
+), named as (
+  select doc_id, text_hash, lag(doc_id) over w as previous_id, lag(text_hash) over w as previous_hash
+  from posts window w as (partition by digest order by doc_id nulls first, text_hash)
+), counted as (
+  select doc_id, text_hash, previous_id, previous_hash, count(*) as n from named where previous_hash is not null group by all
+), best as (
+  select * from counted qualify row_number() over (partition by doc_id, text_hash order by n desc, previous_id desc nulls last, previous_hash desc) = 1
 ), paired as (
-  select doc_id, first, d, case when first is not null then lag(doc_id) over w end as previous_id, case when first is not null then lag(d) over w end as p
-  from ends window w as (partition by first, last order by doc_id nulls first, text_hash)
+  select l.doc_id, l.d, p.doc_id as previous_id, coalesce(p.d, []) as p from lines l
+  left join best b on b.doc_id is not distinct from l.doc_id and b.text_hash = l.text_hash and b.n >= {OVERLAP} * len(l.d)
+  left join versions p on p.doc_id is not distinct from b.previous_id and p.text_hash = b.previous_hash
 )
 select doc_id, previous_id,
-  coalesce(array_to_string(list_filter(d, lambda x: not list_contains(coalesce(p, []), x)), ','), '') as added,
-  coalesce(array_to_string(list_filter(coalesce(p, []), lambda x: not list_contains(d, x)), ','), '') as removed
+  coalesce(array_to_string(list_filter(d, lambda x: not list_contains(p, x)), ','), '') as added,
+  coalesce(array_to_string(list_filter(p, lambda x: not list_contains(d, x)), ','), '') as removed
 from paired
 """
