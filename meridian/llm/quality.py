@@ -1,11 +1,15 @@
 """A quality classifier: random Fourier features, ridge regression and isotonic calibration.
 
-Each document gives 16 statistics of its whole text.  Standardised, they are
-mapped to cosines of random projections, which approximate a Gaussian kernel.
-Every partition sums its part of the normal equations over the labelled
-documents; the parts are added by row blocks on the executors, so the driver
-gets one matrix of fixed size.  Scores are calibrated by isotonic regression
-over all labelled documents, binned finely.
+Each document gives 16 statistics of its whole text.  Standardised, and held
+within six deviations, they are mapped to cosines of random projections, which
+approximate a Gaussian kernel.  Every partition sums its part of the normal
+equations over the labelled documents, by fold; the parts are added by row blocks
+on the executors, so the driver gets a few matrices of fixed size.
+
+Calibration is the isotonic regression of the labels on the documents' own
+scores, each by the fit that left its fold out.  Scores are range-partitioned;
+each partition pools its adjacent violators, and the driver pools the partitions'
+pools, which gives what pooling all rows at once gives.
 """
 
 from __future__ import annotations
@@ -18,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.text import texts_of, words
-from meridian.llm.toxicity import isotonic
+from meridian.llm.text import texts_of, type_of, words
 from meridian.plans.materialize import materialize
 
 FEATURES = 256
 WIDTH = 3.0
 RIDGE = 1e-3
-BINS = 4096
+FOLDS = 4
 CUTOFF = 0.5
 STATISTICS = (
     "log_words", "word_length", "long_words", "distinct_words", "top_word", "top_pair", "letters", "capitals", "digits", "spaces",
@@ -63,7 +66,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in texts_of(batch.column(1))], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(measure, "doc_id long, x array<double>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(measure, f"doc_id {type_of(docs, id_col)}, x array<double>")
 
 
 class Model:
@@ -84,6 +87,10 @@ class Model:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.lift(x) @ self.weights
 
+    def calibrate(self, pools: list[list[float]]) -> None:
+        """Take the breakpoints of the map from scores to probabilities."""
+        self.points = (np.array([e for p in pools for e in p[:2]]), np.array([p[2] for p in pools for _ in "ab"]))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(x), *self.points)
 
@@ -92,21 +99,35 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def pooled(low: np.ndarray, high: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[list[float]]:
+    """[low, high, mean, weight] of the pools of the non-decreasing least-squares fit, of distinct runs of scores in ascending order."""
+    pools: list[list[float]] = []
+    for a, b, value, w in zip(low.tolist(), high.tolist(), y.tolist(), weight.tolist()):
+        pools.append([a, b, value, w])
+        while len(pools) > 1 and pools[-2][2] >= pools[-1][2]:
+            _, b2, v2, w2 = pools.pop()
+            last = pools[-1]
+            last[1], last[2], last[3] = b2, (last[2] * last[3] + v2 * w2) / (last[3] + w2), last[3] + w2
+    return pools
+
+
 def fit(stats: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", label_col: str = "quality", seed: int = 1) -> Model:
     """Fit on every labelled row of ``stats`` (a table of features())."""
-    marks = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
-    known = materialize(stats.join(marks, "doc_id").select("x", "y"), "labelled")
+    marks = labels.select(F.col(label_id_col).cast(type_of(stats, "doc_id")).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
+    known = materialize(stats.join(marks, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
     size = len(STATISTICS)
     moments = known.agg(*[f(F.col("x")[k]).alias(f"{n}{k}") for k in range(size) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     model = Model(np.array([moments[f"m{k}"] or 0.0 for k in range(size)]), np.array([moments[f"s{k}"] or 0.0 for k in range(size)]), seed)
     width = FEATURES + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width + 1))
+        total = np.zeros((FOLDS, width, width + 1))
         for batch in batches:
-            z = model.lift(_matrix(batch.column(0)))
-            total += z.T @ np.c_[z, batch.column(1).to_numpy()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array([r.tobytes() for r in total], pa.binary())], ["i", "row"])
+            z, y, fold = model.lift(_matrix(batch.column(0))), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for k in range(FOLDS):
+                own = z[fold == k]
+                total[k] += own.T @ np.c_[own, y[fold == k]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FOLDS * width)), pa.array([r.tobytes() for r in total.reshape(-1, width + 1)], pa.binary())], ["i", "row"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, np.ndarray] = {}
@@ -119,19 +140,30 @@ def fit(stats: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", label
     rows = {r["i"]: np.frombuffer(r["row"]) for r in known.mapInArrow(partial, shape).repartition("i").mapInArrow(added, shape).collect()}
     if not rows:
         return model
-    total = np.stack([rows[i] for i in range(width)])
-    n = total[-1, -2]
-    if n:
-        model.weights = np.linalg.solve(total[:, :-1] + RIDGE * n * np.eye(width), total[:, -1])
+    folds = np.stack([rows[i] for i in range(FOLDS * width)]).reshape(FOLDS, width, width + 1)
+    total = folds.sum(axis=0)
+    if not total[-1, -2]:
+        return model
+    solve = lambda part: np.linalg.solve(part[:, :-1] + RIDGE * max(1.0, part[-1, -2]) * np.eye(width), part[:, -1])
+    model.weights = solve(total)
+    without = [solve(total - fold) for fold in folds]
 
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = np.clip(np.round((model.raw(_matrix(batch.column(0))) + 1) / 3 * BINS), 0, BINS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column(1)], ["bin", "y"])
+            z, fold = model.lift(_matrix(batch.column(0))), batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array((z * np.stack(without)[fold]).sum(axis=1)), batch.column(1)], ["score", "y"])
 
-    bins = known.mapInArrow(binned, "bin long, y int").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("bin").collect()
-    if bins:
-        model.points = isotonic(np.array([r["bin"] * 3 / BINS - 1 for r in bins]), np.array([r["y"] for r in bins]), np.array([r["n"] for r in bins], float))
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pools: list[list[float]] = []
+        for batch in batches:
+            x, y, n = (batch.column(c).to_numpy().astype(float) for c in range(3))
+            pools = pooled(*(np.r_[[p[k] for p in pools], new] for k, new in enumerate((x, x, y, n))))
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pools], pa.float64()) for k in range(4)], ["low", "high", "y", "n"])
+
+    # pools of adjacent violators are few: at most about n^(2/3) of n labels that are 0 or 1
+    levels = known.mapInArrow(scored, "score double, y int").groupBy("score").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+    pools = levels.repartitionByRange("score").sortWithinPartitions("score").mapInArrow(pool, "low double, high double, y double, n double").toArrow().sort_by("low")
+    model.calibrate(pooled(*(pools.column(c).to_numpy() for c in ("low", "high", "y", "n"))))
     return model
 
 
@@ -141,7 +173,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     score is the calibrated probability of good quality, keep whether it reaches
     ``cutoff``.
 
-    Nulls: a null text, as one without words, has score 0; a null id is kept;
+    Ids can be of any type.  Nulls: a null text, as one without words, has score 0; a null id is kept;
     labels with a null id or label are ignored.  Very long texts are measured
     whole.  Repeated rows are scored alike; contradictory labels count as bad;
     tied scores share a probability.  Without labels every score is 0; an empty
@@ -156,4 +188,4 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             score = np.where(x[:, 0] > 0, model.score(x), 0.0) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(score >= cutoff)], ["doc_id", "score", "keep"])
 
-    return stats.mapInArrow(judge, "doc_id long, score double, keep boolean")
+    return stats.mapInArrow(judge, f"doc_id {type_of(docs, id_col)}, score double, keep boolean")

@@ -30,6 +30,53 @@ def test_fit_equals_a_direct_solution(tables):
     assert (np.diff(model.points[1]) >= 0).all()
 
 
+def plain_isotonic(x, y):
+    """Fitted values by the max-min formula over exact scores."""
+    levels = sorted(set(x.tolist()))
+    mean = lambda low, high: y[(x >= low) & (x <= high)].mean()
+    return {v: max(min(mean(a, b) for b in levels if b >= v) for a in levels if a <= v) for v in levels}
+
+
+def test_scores_and_keeps_by_brute_force(spark, docs_of):
+    """Folds, cross-fitted scores, isotonic calibration and cut-off, recomputed directly; labels are noisy."""
+    rows = [(i, text(i, i % 3 != 0)) for i in range(140)]
+    marks = {i: int(i % 3 != 0) if i % 7 else int(i % 2) for i in range(120)}
+    df, labels = docs_of(rows), spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    fold = {r["doc_id"]: r["f"] for r in df.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {ql.FOLDS}) f").collect()}
+    x, y = np.array([ql.statistics(t) for _, t in rows]), np.array([marks[i] for i in range(120)], float)
+    model = ql.Model(x[:120].mean(axis=0), x[:120].std(axis=0), 1)
+    z, f = model.lift(x), np.array([fold[i] for i in range(120)])
+    solve = lambda a, b: np.linalg.solve(a.T @ a + ql.RIDGE * len(a) * np.eye(a.shape[1]), a.T @ b)
+    out = np.array([z[i] @ solve(z[:120][f != f[i]], y[f != f[i]]) for i in range(120)])
+    fitted = plain_isotonic(out, y)
+    points = sorted(fitted)
+    want = np.interp(z @ solve(z[:120], y), points, [fitted[p] for p in points])
+    got = {r["doc_id"]: r for r in ql.quality(df, labels).collect()}
+    assert np.allclose([got[i]["score"] for i in range(140)], want, atol=1e-4)
+    assert all(got[i]["keep"] == (got[i]["score"] >= ql.CUTOFF) for i in got) and 10 < sum(got[i]["keep"] for i in got) < 130
+
+
+def test_pools_of_parts_are_those_of_all():
+    g = np.random.default_rng(3)
+    x = np.sort(g.integers(0, 60, 400) / 7)
+    y = (g.random(400) < x / 9).astype(float)
+    level, at, n = np.unique(x, return_inverse=True, return_counts=True)
+    rows = (level, level, np.bincount(at, y) / n, n)
+    whole = ql.pooled(*rows)
+    cut = [p for low, high in ((0, 3), (3, 6), (6, 99)) for p in ql.pooled(*(v[(level >= low) & (level < high)] for v in rows))]
+    assert np.allclose(ql.pooled(*np.array(cut).T), whole)
+    want = plain_isotonic(x, y)
+    assert all(abs(np.interp(v, [e for p in whole for e in p[:2]], [p[2] for p in whole for _ in "ab"]) - w) < 1e-9 for v, w in want.items())
+
+
+def test_ids_of_any_type(docs_of, tables):
+    from pyspark.sql import functions as F
+
+    name = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = {r["doc_id"]: r["keep"] for r in ql.quality(name(tables[1]), name(tables[2])).collect()}
+    assert sum(got[f"d{i}"] == (i % 3 != 0) for i in range(150, 300)) >= 147
+
+
 def test_features_approximate_the_gaussian_kernel():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 16))
