@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from meridian.llm.text import WordHashes, shingles, texts_of, words
+from meridian.llm.text import WordHashes, shingles, texts_of, type_of, words
 from meridian.plans.materialize import materialize
 
 NGRAM = 3
@@ -63,7 +64,7 @@ def best_window(pos: np.ndarray, ids: np.ndarray, width: int, prefix: set[int] |
 class Items:
     """A benchmark's shingles as sorted arrays, for look-ups inside workers."""
 
-    def __init__(self, rows: list[tuple[int, str]], ngram: int, containment: float):
+    def __init__(self, rows: list[tuple], ngram: int, containment: float):
         known, items = WordHashes(), {}
         for item, text in rows:
             found = words(text)
@@ -116,7 +117,8 @@ class Items:
                 yield self.ids[k], most / own.size, start, self.words[k]
 
 
-_FOUND = "doc_id long, item_id long, containment double, first_word int, n_words int"
+def _found(docs: DataFrame, benchmark: DataFrame) -> str:
+    return f"doc_id {type_of(docs, 'doc_id')}, item_id {type_of(benchmark, 'item_id')}, containment double, first_word int, n_words int"
 
 
 def _count(docs: DataFrame, items) -> np.ndarray:
@@ -150,52 +152,57 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, ngram: int,
     return context.broadcast(items)
 
 
+def _key(text_col: str) -> list:
+    """128 bits of a text, as two numbers."""
+    return [F.xxhash64(text_col).alias("key"), F.xxhash64(F.lit(1), text_col).alias("key2")]
+
+
 def _joined(docs: DataFrame, benchmark: DataFrame, ngram: int, containment: float) -> DataFrame:
-    """The same result as shuffled joins: (key, doc_id, item_id, containment, first_word, n_words); docs: (key, doc_id, text)."""
+    """The same result as shuffled joins: (key, key2, doc_id, item_id, containment, first_word, n_words); docs: (key, key2, doc_id, text)."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
-                part, out = batch.slice(start, 64), []
-                for key, i, text in zip(*(c.to_pylist() for c in part.columns)):
+                part = batch.slice(start, 64)
+                for k, (key, key2, i, text) in enumerate(zip(*(c.to_pylist() for c in part.columns))):
                     found = words(text)
                     if len(found) >= ngram:
                         s = shingles(known.of(found), ngram)
-                        out.append((np.full(s.size, key), pa.array([i] * s.size, pa.int64()), s.view(np.int64), np.arange(s.size, dtype=np.int32), np.full(s.size, len(found), np.int32)))
-                for row in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in row], ["key", "id", "shingle", "pos", "n_words"])
+                        id_column = part.column(2).take(pa.array(np.full(s.size, k)))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, key)), pa.array(np.full(s.size, key2)), id_column, pa.array(s.view(np.int64)), pa.array(np.arange(s.size, dtype=np.int32)), pa.array(np.full(s.size, len(found), np.int32))], ["key", "key2", "id", "shingle", "pos", "n_words"])
 
-    shape = "key long, id long, shingle long, pos int, n_words int"
-    items = benchmark.where("item_id is not null").distinct().select(F.xxhash64("item_id", "text").alias("key"), F.col("item_id").alias("id"), "text").mapInArrow(explode, shape)
+    shape = "key long, key2 long, id {}, shingle long, pos int, n_words int"
+    items = benchmark.where("item_id is not null").distinct().select(F.xxhash64("item_id", "text").alias("key"), F.lit(0).cast("long").alias("key2"), F.col("item_id").alias("id"), "text").mapInArrow(explode, shape.format(type_of(benchmark, "item_id")))
     items = items.groupBy(F.col("key").alias("item"), F.col("id").alias("item_id"), "shingle").agg(F.max("n_words").alias("item_words"))
     items = materialize(items.withColumn("distinct", F.count("*").over(Window.partitionBy("item"))), "items")
-    occur = materialize(docs.mapInArrow(explode, shape).drop("n_words").join(items.select("shingle").distinct(), "shingle", "left_semi"), "occurrences")
-    counts = occur.groupBy("shingle").agg(F.count_distinct("key", F.coalesce("id", F.lit(-1))).alias("n"))
+    occur = materialize(docs.mapInArrow(explode, shape.format(type_of(docs, "doc_id"))).drop("n_words").join(items.select("shingle").distinct(), "shingle", "left_semi"), "occurrences")
+    counts = occur.groupBy("shingle").agg(F.count_distinct("key", "key2").alias("n"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "shingle"))
     need = F.greatest(F.lit(1), F.ceil(F.lit(containment) * F.col("distinct") - 1e-9))
     prefix = items.join(counts, "shingle", "left").withColumn("rank", rank).where(F.col("rank") <= F.col("distinct") - need + 1).select("item", "shingle")
-    candidates = occur.join(prefix, "shingle").select("key", "item").distinct()
-    least = materialize(occur.join(items, "shingle"), "hits").join(candidates, ["key", "item"], "left_semi")
-    grouped = least.groupBy("key", "id", "item", "item_id", "item_words", "distinct").agg(F.sort_array(F.collect_set(F.struct("pos", "shingle"))).alias("at"))
+    candidates = occur.join(prefix, "shingle").select("key", "key2", "item").distinct()
+    least = materialize(occur.join(items, "shingle"), "hits").join(candidates, ["key", "key2", "item"], "left_semi")
+    grouped = least.groupBy("key", "key2", "id", "item", "item_id", "item_words", "distinct").agg(F.sort_array(F.collect_set(F.struct("pos", "shingle"))).alias("at"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                pos, ids = (np.array([x[c] for x in r["at"]]) for c in ("pos", "shingle"))
-                most, start = best_window(pos, ids, r["item_words"] - ngram + 1)
-                if most >= needed(r["distinct"], containment):
-                    out.append((r["key"], r["id"], r["item_id"], most / r["distinct"], start, r["item_words"]))
-            names = ["key", "doc_id", "item_id", "containment", "first_word", "n_words"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], kind) for k, kind in enumerate(kinds)], names)
+            kept, out = [], []
+            for k, (words_of, distinct, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("item_words", "distinct", "at")))):
+                pos, ids = (np.array([x[c] for x in at]) for c in ("pos", "shingle"))
+                most, start = best_window(pos, ids, words_of - ngram + 1)
+                if most >= needed(distinct, containment):
+                    kept.append(k)
+                    out.append((most / distinct, start, words_of))
+            own = batch.take(pa.array(kept, pa.int64()))
+            numbers = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.float64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("key", "key2", "id", "item_id")), *numbers], ["key", "key2", "doc_id", "item_id", "containment", "first_word", "n_words"])
 
-    return grouped.mapInArrow(verify, "key long, " + _FOUND)
+    return grouped.mapInArrow(verify, "key long, key2 long, " + _found(docs, benchmark))
 
 
 def _benchmark(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    return benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    return benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, containment: float = CONTAINMENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
@@ -203,7 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     first_word and n_words give the best window, the first of equally good ones.
 
-    Nulls: a null or empty text, or one of fewer than ``ngram`` words, matches
+    Ids can be of any type.  Nulls: a null or empty text, or one of fewer than ``ngram`` words, matches
     nothing; nor does such an item, nor one with a null id.  A document with a
     null id is reported with a null doc_id.  Very long texts are searched whole.
     Repeated rows, and rows or items that share an id, are reported once for
@@ -211,20 +218,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Other columns are not read.
     """
     items = _benchmark(benchmark, item_col, item_text_col)
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = _prepared(docs, items, text_col, ngram, containment, broadcast_shingles)
     if own is None:
-        found = _joined(named.select(F.xxhash64("text").alias("key"), "doc_id", "text"), items, ngram, containment).drop("key")
+        found = _joined(named.select(*_key("text"), "doc_id", "text"), items, ngram, containment).drop("key", "key2")
     else:
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = WordHashes()
             for batch in batches:
                 rows = [(i, *m) for i, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))) for m in own.value.matches(text, known)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "containment", "first_word", "n_words"])
 
-        found = named.mapInArrow(search, _FOUND)
+        kinds = [to_arrow_type(f.dataType) for f in (named.schema["doc_id"], items.schema["item_id"])] + [pa.float64(), pa.int32(), pa.int32()]
+        found = named.mapInArrow(search, _found(named, items))
     best = F.max(F.struct("containment", (-F.col("first_word")).alias("f"), "n_words")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.containment", (-F.col("b.f")).alias("first_word"), "b.n_words")
 
@@ -233,14 +240,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` without its contaminated rows; each row is judged by its own text, whatever its id.
 
     All columns are kept, whatever their names.  Rows that contamination() can't
-    match (null, empty or short texts) stay.
+    match (null, empty or short texts) stay.  Very long texts are searched whole;
+    repeated rows all go or all stay; ties don't matter.  An empty table stays
+    empty, and without a benchmark all rows stay.
     """
     items = _benchmark(benchmark, item_col, item_text_col)
     own = _prepared(docs, items, text_col, ngram, containment, broadcast_shingles)
     if own is None:
-        keyed = docs.select(F.xxhash64(text_col).alias("key"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        gone = _joined(keyed, items, ngram, containment).select("key").distinct()
-        return docs.join(gone, F.xxhash64(docs[text_col]) == gone["key"], "left_anti")
+        keyed = docs.select(*_key(text_col), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        gone = _joined(keyed, items, ngram, containment).select("key", "key2").distinct()
+        text = docs[f"`{text_col}`"]
+        return docs.join(gone, (F.xxhash64(text) == gone["key"]) & (F.xxhash64(F.lit(1), text) == gone["key2"]), "left_anti")
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

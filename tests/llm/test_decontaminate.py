@@ -94,3 +94,13 @@ def test_empty_tables(spark, docs_of, limit):
     assert dc.contamination(d.where("false"), b, broadcast_shingles=limit).count() == 0
     assert dc.contamination(d, b.where("false"), broadcast_shingles=limit).count() == 0
     assert dc.decontaminate(d, b.where("false"), broadcast_shingles=limit).count() == 1
+
+
+@pytest.mark.parametrize("limit", [dc.BROADCAST_SHINGLES, 0])
+def test_ids_of_any_type(spark, docs_of, limit):
+    from pyspark.sql import functions as F
+
+    b = spark.createDataFrame([("q1", prose(1, 40)), ("q2", prose(2, 40))], "item_id string, text string")
+    d = docs_of([(1, prose(9, 20) + " " + prose(1, 40)), (2, prose(2, 40)), (3, prose(3, 40))]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert sorted(tuple(r)[:2] for r in dc.contamination(d, b, broadcast_shingles=limit).collect()) == [("d1", "q1"), ("d2", "q2")]
+    assert [r["doc_id"] for r in dc.decontaminate(d, b, broadcast_shingles=limit).collect()] == ["d3"]
