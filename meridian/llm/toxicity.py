@@ -7,13 +7,15 @@ relevance frequency of supervised term weighting, from the a toxic and c clean
 examples that have the word.  No word is left out; without rf, a long text's
 nearest examples are those that share its common words.
 
-Examples lie in blocks of similar ones, and postings by (word, block) with the
-highest weight of the word in the block.  For a query these give an upper bound
-for every block.  The blocks of the highest bounds are scored first, and of the
-others only those whose bound reaches the k-th best score so far, in a few
-waves.  The k nearest are therefore exact.  Their votes, weighted by squared
-similarity, pass through an isotonic map fitted on the examples (each judged by
-the others) at the labels' own toxic rate.
+Examples lie in blocks of similar ones.  The short lists of postings are read
+whole.  The long ones, of the words that many examples have, are cut by block,
+with the highest weight of the word in each: what a query has from its short lists
+and from these maxima is an upper bound for every block.  The blocks of the
+highest bounds are scored in full first, and of the others only those whose bound
+reaches the k-th best score so far; the rest of the long lists is skipped.  The
+k nearest are therefore exact.  Their votes, weighted by squared similarity, pass
+through an isotonic map fitted on the examples (each judged by the others) at the
+labels' own toxic rate.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +38,12 @@ EXAMPLES = 2048
 EXAMPLE_BYTES, LONGEST_EXAMPLE = 16 << 20, 1 << 20
 NEIGHBOURS = 9
 BLOCK = 32
-#: Blocks that are scored before the k-th best score is looked at again.
-WAVES = (2, 6, 24)
-#: Postings of the queries that are searched at once.
-WORK = 400_000
+#: Blocks that are scored in full before the k-th best score is looked at.
+FIRST = 2
+#: Lists cut by block: at most so many, of words that more than this share of the examples have.
+LONG_LISTS, LONG = 512, 1 / 16
+#: Queries that are searched at once, and postings of theirs.
+AT_ONCE, WORK = 64, 400_000
 CUTOFF = 0.5
 
 
@@ -64,11 +69,12 @@ def _expanded(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
 
-def similar_order(vectors: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+def similar_order(terms: np.ndarray, weights: np.ndarray, sizes: list[int]) -> np.ndarray:
     """An order in which similar vectors are near: halved again and again along the direction of their largest spread."""
-    rng = np.random.default_rng(1)
-    signs = rng.choice([-1.0, 1.0], (size, 64))
-    sketch = np.stack([w @ signs[t] if t.size else np.zeros(64) for t, w in vectors]) if vectors else np.zeros((0, 64))
+    signs = np.random.default_rng(1).choice(np.array([-1, 1], np.float32), (8191, 64))
+    sketch, ends = np.zeros((len(sizes), 64), np.float32), np.cumsum([0, *sizes])
+    for k, (low, high) in enumerate(zip(ends, ends[1:])):
+        sketch[k] = weights[low:high].astype(np.float32) @ signs[terms[low:high] % 8191]
 
     def halve(rows: np.ndarray) -> list[np.ndarray]:
         if rows.size <= BLOCK:
@@ -79,55 +85,62 @@ def similar_order(vectors: list[tuple[np.ndarray, np.ndarray]], size: int) -> np
         cut = -(-rows.size // BLOCK) // 2 * BLOCK
         return halve(ranked[:cut]) + halve(ranked[cut:])
 
-    return np.concatenate(halve(np.arange(len(vectors))))
+    return np.concatenate(halve(np.arange(len(sizes))))
 
 
 class Index:
-    """Examples as a block-max inverted index; bags hold (words, counts) by place in the sorted vocabulary."""
+    """Examples as a block-max inverted index; terms are places in the sorted vocabulary, those of one example after the other."""
 
-    def __init__(self, vocabulary: list[bytes], ids: list, toxic: list[int], bags: list[tuple[np.ndarray, np.ndarray]]):
-        self.vocabulary, self.ids, self.toxic, self.bags = vocabulary, ids, np.array(toxic, np.int8), bags
+    def __init__(self, vocabulary: pa.Array, ids: list, toxic: list[int], sizes: list[int], terms: np.ndarray, counts: np.ndarray):
+        self.vocabulary, self.ids, self.toxic = vocabulary, ids, np.array(toxic, np.int8)
         self.place = {i: k for k, i in enumerate(ids)}
-        size = len(vocabulary)
-        a, c = (sum((np.bincount(t, minlength=size) for (t, _), y in zip(bags, toxic) if y == kind), np.zeros(size, int)) for kind in (1, 0))
+        self.bags = (sizes, terms, counts)
+        bad = np.repeat(self.toxic == 1, sizes)
+        a, c = (np.bincount(terms[some], minlength=len(vocabulary)) for some in (bad, ~bad))
         self.relevance = np.log2(2 + a / np.maximum(1, c))
 
     def known(self) -> dict[bytes, int]:
-        return {w: k for k, w in enumerate(self.vocabulary)}
+        return {w: k for k, w in enumerate(self.vocabulary.to_pylist())}
 
     def vector(self, text: str | None, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         """Places and weights of a text's words, of unit length; none for a text without words of the examples."""
         bag = {k: n for w, n in Counter(words(text)).items() if (k := known.get(w)) is not None}
-        return self.weigh(np.fromiter(bag.keys(), np.int64, len(bag)), np.fromiter(bag.values(), float, len(bag)))
-
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weight = (1 + np.log(counts)) * self.worth[terms]
+        terms = np.fromiter(bag.keys(), np.int64, len(bag))
+        weight = (1 + np.log(np.fromiter(bag.values(), float, len(bag)))) * self.worth[terms]
         return terms, weight / (np.sqrt((weight**2).sum()) or 1.0)
 
     def build(self, documents: int, having: np.ndarray) -> None:
         """Weigh the postings, given the number of documents and of those that have each word."""
         self.worth = (np.log((1 + documents) / (1 + having)) + 1) * self.relevance**2
-        self.vectors = [self.weigh(t, n.astype(float)) for t, n in self.bags]
-        size, order = len(self.vocabulary), similar_order(self.vectors, len(self.vocabulary))
-        self.blocks = max(1, -(-len(order) // BLOCK))
-        block = np.empty(len(order), np.int64)
-        block[order] = np.arange(len(order)) // BLOCK
-        sizes = [t.size for t, _ in self.vectors]
-        term, weight = (np.concatenate([v[c] for v in self.vectors] or [np.zeros(0)]) for c in (0, 1))
-        example = np.repeat(np.arange(len(order)), sizes)
-        key = term.astype(np.int64) * self.blocks + block[example]
-        sort = np.argsort(key, kind="stable")
-        slots, start = np.unique(key[sort], return_index=True)
-        self.example, self.weight = example[sort].astype(np.int32), weight[sort].astype(float)
-        self.slot_block = (slots % self.blocks).astype(np.int32)
-        self.slot_posts = np.r_[start, key.size].astype(np.int64)
-        self.slot_most = (np.maximum.reduceat(self.weight, start) if start.size else np.zeros(0)) * 1.000001
-        self.term_slots = np.searchsorted(slots, np.arange(size + 1) * self.blocks)
-        self.bags = None
+        (sizes, term, counts), self.bags, self.relevance = self.bags, None, None
+        example = np.repeat(np.arange(len(sizes)), sizes)
+        weight = (1 + np.log(counts)) * self.worth[term]
+        weight /= np.sqrt(np.bincount(example, weight**2, len(sizes)))[example]
+        ends = np.cumsum(sizes)[:-1]
+        self.vectors = list(zip(np.split(term, ends), np.split(weight, ends)))
+        size, many = len(sizes), len(self.vocabulary)
+        self.order = similar_order(term, weight, sizes)  # column to place
+        self.column = np.empty(size, np.int64)
+        self.column[self.order] = np.arange(size)
+        self.blocks = max(1, -(-size // BLOCK))
+        lists = np.bincount(term, minlength=many)
+        long = np.argsort(-lists, kind="stable")[:LONG_LISTS]
+        long = long[lists[long] > LONG * size]
+        self.long = np.full(many, -1, np.int32)
+        self.long[long] = np.arange(long.size)
+        within = self.long[term] >= 0
+        whole = np.zeros((self.blocks * BLOCK, long.size))
+        whole[self.column[example[within]], self.long[term[within]]] = weight[within]
+        self.cut = whole.reshape(self.blocks, BLOCK, long.size).transpose(0, 2, 1).copy()  # a matrix for each block
+        self.most = self.cut.max(axis=2).T if self.cut.size else np.zeros((long.size, self.blocks))
+        term, weight, example = term[~within], weight[~within], example[~within]
+        sort = np.argsort(term, kind="stable")
+        self.example, self.weight = self.column[example[sort]].astype(np.int32), weight[sort]
+        self.start = np.searchsorted(term[sort], np.arange(many + 1)).astype(np.int32)
 
     def work(self, terms: np.ndarray) -> int:
-        """How many postings the words have."""
-        return int((self.slot_posts[self.term_slots[terms + 1]] - self.slot_posts[self.term_slots[terms]]).sum())
+        """How many postings the words' short lists have."""
+        return int((self.start[terms + 1] - self.start[terms]).sum())
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of each vector's k nearest examples, without the one at its own place (-1: none).
@@ -140,44 +153,51 @@ class Index:
         load = np.cumsum([0, *(self.work(t) for t, _ in vectors)])
         at = 0
         while at < len(vectors) and k:
-            to = max(at + 1, int(np.searchsorted(load, load[at] + WORK, "right")) - 1)
+            to = min(at + AT_ONCE, max(at + 1, int(np.searchsorted(load, load[at] + WORK, "right")) - 1))
             best[at:to], value[at:to] = self._nearest(vectors[at:to], own[at:to], k)
             at = to
         return best, value
 
     def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        many, size = len(vectors), len(self.ids)
+        many, width = len(vectors), self.blocks * BLOCK
         terms, weights = (np.concatenate([v[c] for v in vectors]) for c in (0, 1))
         query = np.repeat(np.arange(many), [t.size for t, _ in vectors])
-        low = self.term_slots[terms]
-        n = self.term_slots[terms + 1] - low
-        slot, query, weights = _expanded(low, n), np.repeat(query, n), np.repeat(weights, n)
-        cell = query * self.blocks + self.slot_block[slot]
-        bound = np.bincount(cell, weights * self.slot_most[slot], many * self.blocks).reshape(many, self.blocks)
-        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
-        scores, seen = np.zeros((many, size)), np.zeros((many, self.blocks), bool)
+        long = self.long[terms] >= 0
+        of_long = np.zeros((many, self.most.shape[0]))
+        of_long[query[long], self.long[terms[long]]] = weights[long]
+        terms, weights, query = terms[~long], weights[~long], query[~long]
+        first = self.start[terms]
+        n = self.start[terms + 1] - first
+        post = _expanded(first, n)
+        scores = np.bincount(np.repeat(query * width, n) + self.example[post], self.weight[post] * np.repeat(weights, n), many * width).astype(float).reshape(many, width)
         owned = np.flatnonzero(own >= 0)
-        reached, upto = np.zeros(many), 0
-        for wave in (*WAVES, self.blocks):
-            upto += wave
-            now = ~seen & (rank < upto) & (bound > 0) & (bound >= reached[:, None])
-            if now.any():
-                seen |= now
-                some = np.flatnonzero(now.ravel()[cell])
-                first = self.slot_posts[slot[some]]
-                posts = self.slot_posts[slot[some] + 1] - first
-                post = _expanded(first, posts)
-                scores += np.bincount(np.repeat(query[some], posts) * size + self.example[post], self.weight[post] * np.repeat(weights[some], posts), many * size).reshape(many, size)
-                scores[owned, own[owned]] = 0
-                # a bound may exceed no score by less than the rounding below
-                reached = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - 2e-9
+        mine = self.column[own[owned]]
+        scores[owned, mine] = 0
+        bound = (scores.reshape(many, self.blocks, BLOCK).max(axis=2) + of_long @ self.most) * (1 + 1e-9)
+        seen = np.zeros((many, self.blocks), bool)
+
+        def score(now: np.ndarray) -> None:
+            for b in np.flatnonzero(now.any(axis=0)):
+                some = np.flatnonzero(now[:, b])
+                scores[some, b * BLOCK : (b + 1) * BLOCK] += of_long[some] @ self.cut[b]
+            seen[now] = True
+            scores[owned, mine] = 0
+
+        begin = np.zeros_like(seen)
+        np.put_along_axis(begin, np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST], True, axis=1)
+        score(begin & (bound > 0))
+        # scores that lack the long lists are too low, so the k-th best is no less than this; what is rounded away below may count
+        reached = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - 2e-9
+        score(~seen & (bound > 0) & (bound >= reached[:, None]))
+        scores.reshape(many, self.blocks, BLOCK)[~seen] = 0
         scores = np.round(scores, 9)
-        edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        edge = np.maximum(-np.partition(-scores, k - 1, axis=1)[:, k - 1], 1e-9)
         best, value = np.full((many, k), -1), np.zeros((many, k))
         for q in range(many):
-            found = np.flatnonzero(scores[q] >= max(edge[q], 1e-9))
-            found = found[np.argsort(-scores[q, found], kind="stable")][:k]
-            best[q, : found.size], value[q, : found.size] = found, scores[q, found]
+            found = np.flatnonzero(scores[q] >= edge[q])
+            places = self.order[found]
+            found = np.lexsort((places, -scores[q, found]))[:k]
+            best[q, : found.size], value[q, : found.size] = places[found], scores[q][self.column[places[found]]]
         return best, value
 
     def votes(self, best: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -219,16 +239,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # 2 * examples rows at most; of several texts with one id, the least
     one = named.where("length(text) > 0").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = one.mapInArrow(bag, f"doc_id {kind}, toxic int, words array<binary>, n array<int>").collect()
-    rows.sort(key=lambda r: (r["toxic"], r["doc_id"]))
-    vocabulary = sorted({bytes(w) for r in rows for w in r["words"]})
-    place = {w: k for k, w in enumerate(vocabulary)}
-    bags = [(np.array([place[bytes(w)] for w in r["words"]], np.int64), np.array(r["n"])) for r in rows]
-    index = Index(vocabulary, [r["doc_id"] for r in rows], [r["toxic"] for r in rows], bags)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the examples
+    rows = one.mapInArrow(bag, f"doc_id {kind}, toxic int, words array<binary>, n array<int>").toArrow()
+    rows = rows.sort_by([("toxic", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    found, counts = (rows.column(c).combine_chunks() if rows.num_rows else pa.array([], kind) for c, kind in (("words", pa.list_(pa.binary())), ("n", pa.list_(pa.int32()))))
+    coded = found.flatten().dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    index = Index(coded.dictionary.take(order), rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist(), [len(x) for x in found], place[coded.indices.to_numpy()], counts.flatten().to_numpy().astype(float))
+    del rows, found, counts, coded
+    shared = docs.sparkSession.sparkContext.broadcast(index.vocabulary)  # bounded by the examples
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, documents = {w: k for k, w in enumerate(shared.value)}, 0
+        known, documents = {w: k for k, w in enumerate(shared.value.to_pylist())}, 0
         having = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             for text in texts_of(batch.column(0)):
@@ -239,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(having[some])], ["term", "n"])
 
     counts = named.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    having = np.zeros(len(vocabulary) + 1, np.int64)
+    having = np.zeros(len(index.vocabulary) + 1, np.int64)
     having[counts["term"].to_numpy()] = counts["n"].to_numpy()
     index.build(int(having[-1]), having[:-1])
     index.calibrate(total.get(1, 0) / max(1, sum(total.values())), neighbours)

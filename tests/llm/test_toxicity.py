@@ -88,16 +88,21 @@ def test_neighbours_equal_a_dense_product(tables, index):
     check(index, rows, dense(rows, [(i, int(i % 4 == 0)) for i in range(200)], [t for _, t in rows]))
 
 
-@pytest.mark.parametrize("block,waves", [(5, (1,)), (1, (1, 1, 1)), (1000, (2,))])
-def test_blocks_don_t_change_the_neighbours(tables, index, monkeypatch, block, waves):
+@pytest.mark.parametrize("block,first,long", [(5, 1, 0.0), (1, 3, 0.3), (1000, 2, 1.0), (7, 1, 0.1)])
+def test_blocks_don_t_change_the_neighbours(tables, index, monkeypatch, block, first, long):
     monkeypatch.setattr(tx, "BLOCK", block)
-    monkeypatch.setattr(tx, "WAVES", waves)
+    monkeypatch.setattr(tx, "FIRST", first)
+    monkeypatch.setattr(tx, "LONG", long)
     monkeypatch.setattr(tx, "WORK", 500)
     other, known = tx.fit(tables[1], tables[2]), index.known()
     queries, own = [index.vector(t, known) for _, t in tables[0]], np.array([index.place.get(i, -1) for i, _ in tables[0]])
     assert other.blocks == -(-200 // block)
-    for a, b in zip(index.nearest(queries, own, 9), other.nearest(queries, own, 9)):
-        assert (a == b).all()
+    monkeypatch.undo()
+    want = index.nearest(queries, own, 9)
+    monkeypatch.setattr(tx, "BLOCK", block)
+    monkeypatch.setattr(tx, "FIRST", first)
+    for a, b in zip(want, other.nearest(queries, own, 9)):
+        assert np.allclose(a, b, atol=2e-9)
 
 
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
