@@ -50,6 +50,24 @@ def test_run_gives_the_rows_of_the_last_stage(spark, sf, stages):
     assert key(corpus_pipeline.run(spark, sf), [*COLUMNS, "shard"]) == key(stages["sharding"], [*COLUMNS, "shard"])
 
 
+def test_run_leaves_only_the_tables_that_its_result_reads(spark, sf):
+    from meridian.plans import materialize as mt
+
+    before = {p for _, p in mt._written}
+    out = corpus_pipeline.run(spark, sf)
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, p in mt._written if p not in before]
+    assert left.count("mixing") == 1 and not {"toxicity", "near_dedup", "decontamination", "signatures", "edges", "classes"} & set(left)
+    assert out.count() > 0
+
+
+def test_an_empty_table_runs_through(spark, sf, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        (df.where("false") if name == "documents" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == [*COLUMNS, "shard"]
+
+
 def test_registration():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
