@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridian.llm.isotonic import pooled
 from meridian.llm.text import texts_of, type_of, words
 from meridian.plans.materialize import materialize
 
@@ -99,18 +100,6 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def pooled(low: np.ndarray, high: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[list[float]]:
-    """[low, high, mean, weight] of the pools of the non-decreasing least-squares fit, of distinct runs of scores in ascending order."""
-    pools: list[list[float]] = []
-    for a, b, value, w in zip(low.tolist(), high.tolist(), y.tolist(), weight.tolist()):
-        pools.append([a, b, value, w])
-        while len(pools) > 1 and pools[-2][2] >= pools[-1][2]:
-            _, b2, v2, w2 = pools.pop()
-            last = pools[-1]
-            last[1], last[2], last[3] = b2, (last[2] * last[3] + v2 * w2) / (last[3] + w2), last[3] + w2
-    return pools
-
-
 def fit(stats: DataFrame, labels: DataFrame, label_id_col: str = "doc_id", label_col: str = "quality", seed: int = 1) -> Model:
     """Fit on every labelled row of ``stats`` (a table of features())."""
     marks = labels.select(F.col(label_id_col).cast(type_of(stats, "doc_id")).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y"))

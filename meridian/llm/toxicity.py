@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridian.llm.isotonic import isotonic
 from meridian.llm.text import texts_of, type_of, words
 from meridian.plans.materialize import materialize
 
@@ -47,23 +48,6 @@ AT_ONCE, WORK = 64, 400_000
 CUTOFF = 0.5
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Breakpoints of the non-decreasing least-squares fit: pool adjacent violators."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []
-    for at, value, w in zip(x[order], y[order], weight[order]):
-        if pools and pools[-1][1] == at:
-            last = pools[-1]
-            last[2], last[3] = (last[2] * last[3] + value * w) / (last[3] + w), last[3] + w
-        else:
-            pools.append([at, at, value, w])
-        while len(pools) > 1 and pools[-2][2] >= pools[-1][2]:
-            _, high, v, w2 = pools.pop()
-            last = pools[-1]
-            last[1], last[2], last[3] = high, (last[2] * last[3] + v * w2) / (last[3] + w2), last[3] + w2
-    return np.array([p for low, high, _, _ in pools for p in (low, high)]), np.array([v for _, _, v, _ in pools for _ in "ab"])
-
-
 def _expanded(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each run of n, one run after the other."""
     return np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())

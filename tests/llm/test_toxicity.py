@@ -134,6 +134,21 @@ def test_isotonic_is_the_least_squares_fit():
     assert np.allclose(np.interp([1, 2, 3, 4], xs, ys), [0.75, 0.75, 0.75, 3])
 
 
+def test_a_tie_is_one_level_whatever_comes_first_in_it():
+    """A clean example among many toxic ones of the same vote doesn't pool them with the rest."""
+    x, y = np.r_[np.zeros(50), 0.5, np.ones(60)], np.r_[np.zeros(53), np.ones(58)]
+    xs, ys = tx.isotonic(x, y, np.ones(111))
+    assert np.interp(0.0, xs, ys) == 0 and np.interp(1.0, xs, ys) == pytest.approx(58 / 60)
+
+
+def test_planted_toxic_documents_of_the_check_tables(spark):
+    """On tables with groups of thousands of copies: fitted on half of the labels, judged on the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = tx.toxicity(some, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1").select("doc_id", labels["toxic"].alias("label")), "doc_id").toPandas()
+    assert got[got.label == 1].toxic.mean() >= 0.97 and got[got.label == 0].toxic.mean() <= 0.005
+
+
 def test_awkward_rows(spark, docs_of, awkward, tables):
     df = docs_of([*tables[0][:200], *[(None if i is None else 1000 + i, t) for i, t in awkward], (2000, text(4, True) * 300)], **CLASHING)
     labels = tables[2].union(spark.createDataFrame([(None, 1, 1), (7, None, None), (8, 0, 7), (9, 1, 1), (9, 1, 0), (99999, 1, 1)], "doc_id long, quality int, toxic int"))
