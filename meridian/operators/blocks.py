@@ -1,8 +1,9 @@
 """All pairs of two vector tables, a block of each at a time.
 
-The right side goes to every executor as one matrix only if it is within
-``BROADCAST_BYTES``; beyond it both sides are packed into blocks of rows and the
-pairs of blocks are the units of work, so neither side has to fit anywhere.
+The right side is packed into blocks of rows and written once.  It goes to every
+executor as one matrix only if what was written is within ``BROADCAST_BYTES``;
+beyond it the left side is packed too, and the pairs of blocks are the units of
+work, so neither side has to fit anywhere.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridian.plans.materialize import materialize
+
 #: Largest matrix that is sent to every executor.
 BROADCAST_BYTES = 64 << 20
 #: Rows of a packed block.
@@ -44,17 +47,38 @@ def _vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
 
 
-def all_pairs(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, left_cols: tuple[str, str] = ("id", "vec"), right_cols: tuple[str, str] = ("id", "vec"), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _packer(rows: Callable[[pa.Array], np.ndarray]):
+    """Blocks of ids and of what ``rows`` makes of the vectors."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([rows(part.column(1)).tobytes()], pa.binary())], ["ids", "m"])
+
+    return pack
+
+
+def unit_rows(column: pa.Array) -> np.ndarray:
+    return normalized(matrix(column))
+
+
+def all_pairs(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, left_cols: tuple[str, str] = ("id", "vec"), right_cols: tuple[str, str] = ("id", "vec"), broadcast_bytes: int = BROADCAST_BYTES, unit: bool = True) -> DataFrame:
     """Rows that ``kernel(left ids, left matrix, right ids, right matrix)`` gives for each pair of blocks.
 
-    The kernel returns one array for each column of ``schema``; matrices hold unit rows.
+    The kernel returns one array for each column of ``schema``; matrices hold unit
+    rows, or the vectors as they are if not ``unit``.
     """
     left, right = _vectors(left, *left_cols), _vectors(right, *right_cols)
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    size = right.agg(F.sum(F.size("v").cast("long") * 8)).first()[0] or 0
+    rows = unit_rows if unit else matrix
+    pack = _packer(rows)
+    blocks = materialize(right.mapInArrow(pack, "ids binary, m binary"), "blocks")
+    size = blocks.agg(F.sum(F.length("m"))).first()[0] or 0
     if size <= broadcast_bytes:
-        table = right.toArrow()
-        ids, vectors = table.column("id").to_numpy(), normalized(matrix(table.column("v").combine_chunks()))
+        parts = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["m"])) for r in blocks.collect()]
+        ids = np.concatenate([i for i, _ in parts] or [np.zeros(0, np.int64)])
+        vectors = np.concatenate([m.reshape(i.size, -1) for i, m in parts]) if parts else np.zeros((0, 0))
         sent = left.sparkSession.sparkContext.broadcast((ids, vectors))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,21 +86,15 @@ def all_pairs(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, le
             for batch in batches:
                 for at in range(0, batch.num_rows if ids.size else 0, BLOCK_ROWS):
                     part = batch.slice(at, BLOCK_ROWS)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in kernel(part.column(0).to_numpy(), normalized(matrix(part.column(1))), ids, vectors)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in kernel(part.column(0).to_numpy(), rows(part.column(1)), ids, vectors)], names)
 
         return left.mapInArrow(run, schema)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([normalized(matrix(part.column(1))).tobytes()], pa.binary())], ["ids", "m"])
-
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, m, b, w in zip(*(c.to_pylist() for c in batch.columns)):
                 i, j = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in kernel(i, np.frombuffer(m).reshape(i.size, -1), j, np.frombuffer(w).reshape(j.size, -1))], names)
 
-    packed = left.mapInArrow(pack, "ids binary, m binary").crossJoin(right.mapInArrow(pack, "ids binary, m binary").withColumnsRenamed({"ids": "ids2", "m": "m2"}))
+    packed = left.mapInArrow(pack, "ids binary, m binary").crossJoin(blocks.withColumnsRenamed({"ids": "ids2", "m": "m2"}))
     return packed.mapInArrow(cross, schema)

@@ -18,15 +18,18 @@ def seeded(id_col: str | Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")))
 
 
-def sample(df: DataFrame, k: int, seed: int = 0, id_col: str = "id") -> DataFrame:
-    """k rows without replacement; with replacement, through hashed positions and ``draw``, if there are fewer."""
+def sample(df: DataFrame, k: int, seed: int = 0, id_col: str = "id", replace: bool | None = None) -> DataFrame:
+    """k rows without replacement; if there are fewer, with replacement, through hashed positions and ``draw``.
+
+    replace False: never with replacement, so all rows if there are fewer than k.
+    """
     n = df.count()
     if not n:
         raise ValueError("nothing to sample from")
-    if k <= n:
+    if k <= n and not replace or replace is False:
         return df.orderBy(seeded(id_col, seed), id_col).limit(k)
     draws = df.sparkSession.range(k).select(F.col("id").alias("draw")).withColumn("position", F.pmod(F.conv(F.substring(seeded("draw", seed), 1, 8), 16, 10).cast("long"), F.lit(n)))
-    return draws.join(numbered(df, id_col), "position").drop("position")
+    return draws.join(numbered(df, id_col, rows=n), "position").drop("position")
 
 
 def rotated(df: DataFrame, k: int, seed: int = 0, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -41,7 +44,7 @@ def holdout(df: DataFrame, fraction: float = 0.1, seed: int = 0, id_col: str = "
     """``df`` with is_holdout: ceil(fraction * n) rows by hash."""
     n = df.count()
     test = -(-int(round(fraction * n * 1e9)) // 10**9)
-    return numbered(df, seeded(id_col, seed), id_col, name="place").withColumn("is_holdout", F.col("place") < test).drop("place")
+    return numbered(df, seeded(id_col, seed), id_col, name="place", rows=n).withColumn("is_holdout", F.col("place") < test).drop("place")
 
 
 def disjoint(df: DataFrame, used: DataFrame, id_col: str = "id") -> DataFrame:

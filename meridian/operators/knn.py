@@ -69,6 +69,27 @@ def similarities(queries: DataFrame, corpus: DataFrame, query_cols: tuple[str, s
     return all_pairs(queries, corpus, kernel, "q long, d long, sim double", query_cols, corpus_cols)
 
 
+def two_similarities(queries: DataFrame, corpus: DataFrame, query_cols: tuple[str, str], corpus_cols: tuple[str, str], id_col: str = "id", upper: bool = False) -> DataFrame:
+    """(q, d, sa, sb): cosines of all pairs, or of those with q < d, in two spaces at once; for a bounded number of queries.
+
+    The vectors of both spaces travel as one, whose first value is the size of the first space.
+    """
+    joined = lambda df, cols: df.select(F.col(id_col).alias("id"), F.concat(F.array(F.size(cols[0]).cast("double")), *[vec.l2_normalize(vec.doubles(c)) for c in cols]).alias("vec"))
+
+    def parts(m):
+        n = 1 + int(m[0, 0])
+        return m[:, 1:n], m[:, n:]
+
+    def kernel(i, a, j, b):
+        if not (i.size and j.size):
+            return [i[:0], j[:0], np.zeros(0), np.zeros(0)]
+        sa, sb = (np.round(x @ y.T, 9) for x, y in zip(parts(a), parts(b)))
+        rows, cols = np.nonzero(i[:, None] < j[None, :] if upper else np.ones_like(sa, bool))
+        return [i[rows], j[cols], sa[rows, cols], sb[rows, cols]]
+
+    return all_pairs(joined(queries, query_cols), joined(corpus, corpus_cols), kernel, "q long, d long, sa double, sb double", ("id", "vec"), ("id", "vec"), unit=False)
+
+
 def self_ranks(pairs: DataFrame, query_col: str, corpus_col: str, id_col: str = "id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, rank) of each row's own vector among all: one more than the number of better ones, so nothing is sorted."""
 

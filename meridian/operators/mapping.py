@@ -1,7 +1,8 @@
 """Maps between embedding spaces: fitting, applying, keeping.
 
-A fit reads the pairs once (automatic ridge twice): the Gram matrix of
-[x, 1, y] holds what every linear map needs, in both directions.
+A fit reads the pairs once, to check them and to sum the Gram matrix of
+[x, y, 1], which holds what every linear map needs in both directions.  An
+automatic ridge reads them once more for each direction.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from meridian.functions import vec
 from meridian.operators.blocks import matrix, normalized
-from meridian.operators.linalg import gram, least_squares, protocol_solve, truncated
+from meridian.operators.linalg import NotUsable, least_squares, pair_gram, protocol_solve, truncated
 from meridian.plans.materialize import materialize
 
 ALPHAS = np.logspace(-3, 3, 25)
@@ -134,8 +135,12 @@ class Blocks:
 
     @classmethod
     def of(cls, pairs: DataFrame, x: str, y: str, bias: bool) -> Blocks:
-        n, p, q = validate(pairs, x, y)
-        g, _ = gram(pairs, [x, y], bias=True)
+        try:
+            g, n, p, q = pair_gram(pairs, x, y)
+        except NotUsable as error:
+            raise MappingError(str(error)) from None
+        if n < 10 * min(p, q):
+            warnings.warn(f"{n} pairs are fewer than ten for each dimension", stacklevel=3)
         xs = [*range(p), p + q] if bias else list(range(p))
         ys = [*range(p, p + q), p + q] if bias else list(range(p, p + q))
         blocks = cls(g[np.ix_(xs, xs)], g[np.ix_(xs, range(p, p + q))], g[np.ix_(ys, ys)], n, p, q)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.functions import vec
-from meridian.operators.knn import self_ranks, similarities, topk
+from meridian.operators.knn import self_ranks, topk, two_similarities
 
 
 def cosine_stats(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -44,18 +44,20 @@ def spearman(df: DataFrame, a: Column, b: Column, by: list[str], tie: str) -> Da
     return ranked.groupBy(*by).agg(rho) if by else ranked.agg(rho)
 
 
-def rank_correlation(queries: DataFrame, corpus: DataFrame, space_a: tuple[str, str], space_b: tuple[str, str], id_col: str = "id") -> DataFrame:
-    """(q, rho): how alike a query's similarities to the corpus are ordered in two spaces of (query, corpus) columns."""
-    a = similarities(queries, corpus, (id_col, space_a[0]), (id_col, space_a[1])).withColumnRenamed("sim", "sa")
-    b = similarities(queries, corpus, (id_col, space_b[0]), (id_col, space_b[1])).withColumnRenamed("sim", "sb")
-    return spearman(a.join(b, ["q", "d"]), F.col("sa"), F.col("sb"), ["q"], "d")
+def rank_correlation(queries: DataFrame, corpus: DataFrame, space_a: tuple[str, str], space_b: tuple[str, str], id_col: str = "id", sample: int = 50, seed: int = 0) -> DataFrame:
+    """(q, rho): how alike a query's similarities to the corpus are ordered in two spaces of (query, corpus) columns.
+
+    ``sample`` queries are measured, chosen by hash; both spaces are compared in
+    one pass over the corpus, so rows shuffled are queries times corpus.
+    """
+    few = queries.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(sample)
+    both = two_similarities(few, corpus, (space_a[0], space_b[0]), (space_a[1], space_b[1]), id_col)
+    return spearman(both, F.col("sa"), F.col("sb"), ["q"], "d")
 
 
 def holdout_rank_correlation(pairs: DataFrame, mapped: str, target: str, id_col: str = "id") -> DataFrame:
     """(rho) over the upper triangles of both similarity matrices; for a bounded sample, 0 below three rows."""
-    a = similarities(pairs, pairs, (id_col, mapped), (id_col, mapped), upper=True).withColumnRenamed("sim", "sa")
-    b = similarities(pairs, pairs, (id_col, target), (id_col, target), upper=True).withColumnRenamed("sim", "sb")
-    both = a.join(b, ["q", "d"])
+    both = two_similarities(pairs, pairs, (mapped, target), (mapped, target), id_col, upper=True)
     return spearman(both, F.col("sa"), F.col("sb"), [], ["q", "d"])
 
 

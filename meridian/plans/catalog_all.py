@@ -1,6 +1,6 @@
-"""Both parts of the catalogue."""
+"""All parts of the catalogue."""
 
-from meridian.plans import catalog_ops  # noqa: F401
+from meridian.plans import catalog_fits, catalog_ops  # noqa: F401
 from meridian.plans.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

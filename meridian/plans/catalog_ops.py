@@ -330,12 +330,6 @@ def event_sessions(spark, sf):
     return pipelines.sessions(e, "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query()
-def circuit_breaker_states(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("seq"))
-    return pipelines.breaker_states(e)
-
-
 @query("select count(*) as n, count_if(event_type <> 'error') as n_primary, count_if(event_type = 'error') as n_fallback, " + _r("avg((event_type = 'error')::INT::DOUBLE) * 100") + " as fallback_pct from events")
 def degradation_stats(spark, sf):
     d = monitor.degradation(table(spark, sf, "events").withColumn("ok", F.col("event_type") != "error"))
@@ -400,13 +394,6 @@ def fallback_messages(spark, sf):
     return t.groupBy("method", "error").agg(F.count("*").alias("n"))
 
 
-@query()
-def protocol_calibrate(spark, sf):
-    p = calibration.holdout(pairs(spark, sf).select("id", "x", "y"), 0.2, 1)
-    models, _ = protocol.calibrate(spark, p.where("not is_holdout"), p.where("is_holdout"), "a", "b", 0.5)
-    return models.select("source", "target", "training", "quality", "worst", F.size("weights").alias("d_src"), F.size(F.col("weights")[0]).alias("d_tgt"), (F.col("valid_until") > F.col("created")).alias("valid"))
-
-
 @query("with s as (select unnest(['map', 'rank', 'query', 'vector']) as s), p as (select unnest(['', 're', 'un']) as p), x as (select unnest(['', 's', 'ed', 'ing']) as x), v as (select distinct p || s || x as text from s, p, x) select text from v order by md5(text), text limit 30")
 def vocabulary_expand(spark, sf):
     return protocol.vocabulary(spark, ["map", "rank", "query", "vector"], ["re", "un"], ["s", "ed", "ing"], 30)
@@ -446,11 +433,6 @@ def config_diff(spark, sf):
     return analysis.config_diff(a, b)
 
 
-@query()
-def lopo_errors(spark, sf):
-    return analysis.residual_summary(analysis.leave_one_out(_runs(spark), "adapter"))
-
-
 @query(f"with {_RUNS_SQL}, r as (select adapter as pair, retention - top1 as residual from runs), a as (select *, row_number() over (order by abs(residual)) - 1 as k, count(*) over () as n from r) select max(n) as n, {_r('avg(abs(residual))')} as mae, {_r('sqrt(avg(residual * residual))')} as rmse, {_r('max(case when k = floor(0.8 * n) then abs(residual) end)')} as half_width_80, {_r('avg(residual)')} as mean_residual, {_r('stddev_pop(residual)')} as std_residual from a")
 def residual_statistics(spark, sf):
     d = analysis.residual_summary(_runs(spark).select(F.col("adapter").alias("pair"), (F.col("retention") - F.col("top1")).alias("residual")))

@@ -32,8 +32,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries and corpus: every row is both."""
-    return df, df
+    """Queries and corpus: each row whose id is divisible by 100, against all rows."""
+    return df.where("id % 100 = 0"), df
 
 
 def fixed_map(spark: SparkSession) -> DataFrame:
@@ -58,4 +58,4 @@ def sims_sql(name: str, a: str, b: str, queries: str = "is not null", corpus: st
   select a.id as q, b.id as d, round(list_dot_product(a.{a}, b.{b}), 9) as sim from pair a, pair b where a.id {queries} and b.id {corpus}))"""
 
 
-QUERY, CORPUS = "is not null", "is not null"
+QUERY, CORPUS = "% 100 = 0", "is not null"

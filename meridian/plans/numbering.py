@@ -11,14 +11,14 @@ from meridian.plans.materialize import materialize
 SINGLE_TASK_ROWS = 100_000
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "position", single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def numbered(df: DataFrame, *order: Column | str, name: str = "position", single_task_rows: int = SINGLE_TASK_ROWS, rows: int | None = None) -> DataFrame:
     """``df`` with its rows' positions from 0 in an order that leaves no ties.
 
     A larger table is range-partitioned and written once; then each partition
     numbers its own rows from where those before it end.  What is broadcast is
-    one row for each partition.
+    one row for each partition.  rows: how many there are, if that is known.
     """
-    if df.limit(single_task_rows + 1).count() <= single_task_rows:
+    if (df.limit(single_task_rows + 1).count() if rows is None else rows) <= single_task_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
     part = "_part_" + max(df.columns, key=len)
     ranged = materialize(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
