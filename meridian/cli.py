@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.operators import calibration, gate, mapping, migrate, monitor, recalibration, reports
+from meridian.operators.knn import self_ranks
 from meridian.sources import models, stores
 
 VERSION = "0.1.0"
@@ -97,7 +98,12 @@ def gate_command(args) -> int:
         if mapping.validate(sample)[1:] != (fitted.d_src, fitted.d_tgt):
             raise mapping.MappingError(f"the map goes from {fitted.d_src} to {fitted.d_tgt} dimensions, the vectors don't")
         both = fitted.transform(sample, "x", "m").withColumn("t", F.col("y").cast("array<double>"))
-        row = gate.evaluate(both, "m", "t", holdout_top1=fitted.validation.get("top1_retention")).first()
+        report = gate.evaluate(both, "m", "t", holdout_top1=fitted.validation.get("top1_retention"), model=gate.GateModel.load(args.gate_model), thresholds=gate.load_thresholds(args.thresholds))
+        if args.bootstrap:
+            interval = gate.bootstrap(self_ranks(both, "m", "t"), args.bootstrap)
+            entry = F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high"))))
+            report = report.crossJoin(interval.agg(entry.alias("interval_80")))
+        row = report.first()
     except ValueError as error:
         print(error, file=sys.stderr)
         return 2
@@ -141,7 +147,7 @@ def parser() -> argparse.ArgumentParser:
     add("calibrate", calibrate, need("source-vectors"), need("target-vectors"), need("output"), may("kind", default="ridge", choices=sorted(mapping.FITTERS)), may("alpha", type=float), may("rank", type=int), may("holdout", type=float, default=0.1), may("seed", type=int, default=0), may("recalibrate", action="store_true"))
     add("transform", transform, need("source"), need("target"), need("mapping"), may("dry-run", action="store_true"))
     add("inspect", inspect, (("mapping",), {}))
-    add("gate", gate_command, need("mapping"), need("source-vectors"), need("target-vectors"), may("format", default="json", choices=["json", "markdown"]), may("html"))
+    add("gate", gate_command, need("mapping"), need("source-vectors"), need("target-vectors"), may("format", default="json", choices=["json", "markdown"]), may("html"), may("bootstrap", type=int, default=1000), may("gate-model"), may("thresholds"))
     add("doctor", doctor, (("store",), {}), may("model"))
     add("report", report, (("telemetry",), {}))
     return top

@@ -65,7 +65,7 @@ def md5_mod(text: Column, dims: int) -> Column:
     """v[i] = (MD5 of the text as a number + i) mod 1000 / 1000."""
     digest = F.md5(text)
     # 16^24, 16^16 and 16^8 mod 1000
-    parts = [(0, 976), (8, 616), (16, 296), (24, 1)]
+    parts = [(0, 336), (8, 616), (16, 296), (24, 1)]
     total = sum((F.conv(F.substring(digest, at + 1, 8), 16, 10).cast("long") % 1000 * weight for at, weight in parts), F.lit(0))
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (total + i) % 1000 / F.lit(1000.0))
 

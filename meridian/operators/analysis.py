@@ -10,6 +10,7 @@ from meridian.functions import vec
 from meridian.operators.linalg import gram
 from meridian.operators.mapping import ALPHAS, Blocks, Mapping
 from meridian.operators.recalibration import fit_isotonic
+from meridian.plans.materialize import materialize
 
 
 def residual_spectrum(pairs: DataFrame, mapping: Mapping, x: str = "x", y: str = "y", id_col: str = "id") -> DataFrame:
@@ -49,8 +50,8 @@ def run_groups(runs: DataFrame, by: list[str], value: str = "retention") -> Data
 
 def k_sweep(runs: DataFrame, value: str = "retention") -> DataFrame:
     """(adapter, k, n, mean, std): by adapter, and by adapter and k, in one pass of grouping sets."""
-    runs.createOrReplaceTempView("sweep_runs")
-    return runs.sparkSession.sql(f"select adapter, k, count(*) as n, avg({value}) as mean, stddev_pop({value}) as std from sweep_runs group by grouping sets ((adapter), (adapter, k))")
+    adapter, k = F.col("adapter"), F.col("k")
+    return runs.groupingSets([[adapter], [adapter, k]], adapter, k).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
 def config_diff(a: DataFrame, b: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
@@ -106,6 +107,21 @@ def tiered_cost(plans: DataFrame, high: float = 0.12, low: float = 0.02) -> Data
     return plans.select("*", (millions * high).alias("usd_always_high"), tiered.alias("usd_tiered"), (millions * high - tiered).alias("savings"))
 
 
+def trial_retention(pairs: DataFrame, samplers: dict, trials: int = 5, kind: str = "ridge", x: str = "x", y: str = "y", id_col: str = "id", **options) -> dict[str, list[float]]:
+    """Top-1 retention by strategy and trial: ``samplers`` give a calibration sample for (pairs, seed), on the rest of which its map is measured."""
+    from meridian.operators.mapping import fit
+    from meridian.operators.metrics import topk_retention
+
+    out: dict[str, list[float]] = {}
+    for name, sampler in samplers.items():
+        for seed in range(trials):
+            chosen = materialize(sampler(pairs, seed).select(id_col, x, y), "trial")
+            fitted = fit(kind, chosen, x=x, y=y, **options)
+            rest = fitted.transform(pairs.join(chosen.select(id_col), id_col, "left_anti").select(id_col, F.col(x).alias("v"), vec.l2_normalize(vec.doubles(y)).alias("t")), "v")
+            out.setdefault(name, []).append(topk_retention(rest, "v", "t", 1, id_col).first()["retention"])
+    return out
+
+
 def sampling_trials(trials: dict[str, list[float]], spark: SparkSession) -> DataFrame:
     """(strategy, mean, delta) of repeated trials against the first strategy."""
     rows = [(n, k, float(v)) for n, values in trials.items() for k, v in enumerate(values)]

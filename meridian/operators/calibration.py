@@ -51,14 +51,50 @@ def disjoint(df: DataFrame, used: DataFrame, id_col: str = "id") -> DataFrame:
     return df.join(used.select(id_col).distinct(), id_col, "left_anti")
 
 
-def corpus_checksum(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(checksum): SHA-256 over the texts in id order, each followed by NUL.
+#: Sentences of several registers for trials without a corpus of one's own.
+BUILTIN = (
+    "The ferry leaves the harbour at a quarter past six.", "Please restart the router before you call support.", "Interest on the loan is charged every month.", "A recursive function needs a case that ends it.",
+    "The patient was given two tablets after dinner.", "Glaciers carve valleys as they move downhill.", "Our returns desk is on the second floor.", "The court adjourned until Monday morning.",
+    "Boil the lentils for twenty minutes, then add salt.", "Voltage equals current times resistance.", "She scored twice in the last ten minutes.", "The museum keeps letters from three centuries.",
+    "Indexes make reads faster and writes slower.", "Rain is expected along the coast by evening.", "The committee approved the budget without changes.", "Bees tell each other where flowers are by dancing.",
+    "Your parcel was handed to a neighbour.", "The novel begins at the end of a long war.", "Steel expands when it is heated.", "Children under five travel free of charge.",
+)
+#: The frozen list: it never changes under its name.
+FROZEN_ID = "meridian-calibration-1"
+
+
+def builtin(spark) -> DataFrame:
+    """(id, text) of the built-in sentences."""
+    return spark.createDataFrame(list(enumerate(BUILTIN)), "id long, text string")
+
+
+def frozen(spark, path: str | None = None) -> DataFrame:
+    """(id, text) of the frozen list, or of a JSON file {"corpus_id", "texts"} with the same id."""
+    texts = BUILTIN
+    if path is not None:
+        import json
+
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        if content.get("corpus_id") != FROZEN_ID:
+            raise ValueError(f"{path} isn't {FROZEN_ID}")
+        texts = content["texts"]
+    return spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+
+
+def manifest(df: DataFrame, corpus_id: str = FROZEN_ID, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(corpus_id, k, checksum): what a calibration was made with; the checksum begins with the id and a line break."""
+    return corpus_checksum(df, id_col, text_col, corpus_id + "\n").crossJoin(df.agg(F.count("*").alias("k"))).select(F.lit(corpus_id).alias("corpus_id"), "k", "checksum")
+
+
+def corpus_checksum(df: DataFrame, id_col: str = "id", text_col: str = "text", prefix: str = "") -> DataFrame:
+    """(checksum): SHA-256 over a prefix and the texts in id order, each followed by NUL.
 
     It needs the texts in one place, so it is for calibration samples; for whole
     tables use table_checksum().
     """
     texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_col), F.col(text_col)))), lambda s: s[text_col])
-    return df.agg(F.sha2(F.concat(F.array_join(texts, "\0"), F.when(F.size(texts) > 0, "\0").otherwise("")), 256).alias("checksum"))
+    return df.agg(F.sha2(F.concat(F.lit(prefix), F.array_join(texts, "\0"), F.when(F.size(texts) > 0, "\0").otherwise("")), 256).alias("checksum"))
 
 
 def table_checksum(df: DataFrame, *columns: str) -> DataFrame:

@@ -338,8 +338,27 @@ def fitters_for(d_src: int, d_tgt: int) -> list[str]:
     return [n for n in FITTERS if d_src == d_tgt or not n.startswith("procrustes")]
 
 
-def fit(kind: str, pairs: DataFrame, **options) -> Mapping:
-    """Fit by registered name; lowrank has rank min(256, both dimensions) unless given."""
+def fit(kind: str, pairs: DataFrame, normalize_output: bool | None = None, **options) -> Mapping:
+    """Fit by registered name; lowrank has rank min(256, both dimensions) unless given; normalize_output overrides the map's own."""
+    fitted = _fit(kind, pairs, **options)
+    if normalize_output is not None:
+        fitted.normalize_output = normalize_output
+    return fitted
+
+
+def fit_with_holdout(kind: str, pairs: DataFrame, holdout_fraction: float = 0.1, seed: int = 0, x: str = "x", y: str = "y", id_col: str = "id", **options) -> Mapping:
+    """Fit on what a hash-chosen holdout leaves, with the holdout's retention report as validation."""
+    from meridian.operators.calibration import holdout
+    from meridian.operators.metrics import retention_report
+
+    split = materialize(holdout(pairs.select(id_col, x, y), holdout_fraction, seed, id_col), "split")
+    fitted = fit(kind, split.where("not is_holdout").drop("is_holdout"), x=x, y=y, **options)
+    rest = split.where("is_holdout").select(id_col, F.col(x).alias("v"), vec.l2_normalize(vec.doubles(y)).alias("t"))
+    fitted.validation = retention_report(fitted.transform(rest, "v"), "v", "t", id_col).first().asDict()
+    return fitted
+
+
+def _fit(kind: str, pairs: DataFrame, **options) -> Mapping:
     if kind not in FITTERS:
         raise MappingError(f"unknown map {kind}; known: {', '.join(sorted(FITTERS))}")
     if kind == "lowrank" and "rank" not in options:

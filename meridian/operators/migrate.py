@@ -68,13 +68,71 @@ def migrate(spark: SparkSession, source: DataFrame, target: str, mapping: Mappin
     return spark.createDataFrame([(before, total - before, total, verdict)], "n_before long, n_written long, n_total long, verdict string")
 
 
+def migrate_service(spark: SparkSession, source: dict, target: dict, mapping: Mapping, dry: bool = False, overwrite_tags: bool = False) -> DataFrame:
+    """Move a collection of a vector service into another, and return the report (n_read, n_written, dimension, errors).
+
+    source and target are options of sources.connectors.  What goes wrong is
+    collected in errors instead of being raised.  dry only counts.
+    """
+    from meridian.sources import connectors
+
+    n, written, dimension, errors = 0, 0, None, []
+    try:
+        rows = connectors.read(spark, **source)
+        counted = dry_run(rows).first()
+        n, dimension = counted["n"], counted["dimension"]
+    except Exception as error:  # whatever a service's client raises
+        errors.append(f"can't be read: {str(error).splitlines()[0]}")
+    if not errors and not n:
+        errors.append("no vectors in the source")
+    if not errors and not dry:
+        if migrated_before(rows) and not overwrite_tags:
+            errors.append("the source was migrated before")
+        else:
+            try:
+                connectors.write(transformed(rows, mapping, source.get("collection", "")), **target)
+                written, dimension = connectors.open_service(target).count(), mapping.d_tgt
+            except Exception as error:
+                errors.append(f"can't be written: {str(error).splitlines()[0]}")
+    return spark.createDataFrame([(n, written, dimension, errors)], "n_read long, n_written long, dimension int, errors array<string>")
+
+
 def shadow(spark: SparkSession, source: DataFrame, root: str, mapping: Mapping, name: str = "shadow") -> str:
-    """Write a new version beside the served one; a reader follows ``current`` after promote()."""
+    """Write a new version beside the served one; readers follow current() after promote()."""
     target = f"{root.rstrip('/')}/{name}"
     transformed(source, mapping, root).write.mode("errorifexists").parquet(target)
     return target
 
 
+_POINTER = "CURRENT"
+
+
+def promote(spark: SparkSession, root: str, name: str, report: DataFrame | None = None) -> None:
+    """Let readers follow ``name`` from now on, by one atomic rename; report: a gate report that must not FAIL."""
+    if report is not None and report.first()["verdict"] == "FAIL":
+        raise MigrationError("the gate failed: not promoted")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    target = fs.Path(f"{root.rstrip('/')}/{name}")
+    if not target.getFileSystem(conf).exists(target):
+        raise MigrationError(f"{name} isn't there")
+    fresh, pointer = fs.Path(f"{root.rstrip('/')}/{_POINTER}.new"), fs.Path(f"{root.rstrip('/')}/{_POINTER}")
+    out = fresh.getFileSystem(conf).create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    how = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+    options = spark.sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE
+    uri = pointer.getFileSystem(conf).makeQualified(pointer).toUri()
+    fs.FileContext.getFileContext(uri, conf).rename(fresh, pointer, options)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The version that was promoted last."""
+    rows = spark.read.text(f"{root.rstrip('/')}/{_POINTER}").collect()
+    return spark.read.parquet(f"{root.rstrip('/')}/{rows[0]['value']}")
+
+
 def integrity(df: DataFrame, size: int, id_col: str = "id") -> DataFrame:
     """(batch, n, hash): XOR of row hashes for each batch of ids in order; equal tables give equal hashes."""
     listed = numbered(df.select(id_col, "vec"), id_col).withColumn("batch", F.expr(f"position div {size}"))

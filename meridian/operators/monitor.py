@@ -43,8 +43,8 @@ def quality_band(mean: Column) -> Column:
 def pair_quality(events: DataFrame) -> DataFrame:
     """(agent, partner, n, mean, median, min, max, band); the median is the upper one."""
     scored = events.where("quality is not null and partner is not null")
-    values = F.sort_array(F.collect_list("quality"))
-    out = scored.groupBy("agent", "partner").agg(F.count("*").alias("n"), F.avg("quality").alias("mean"), F.element_at(values, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median"), F.min("quality").alias("min"), F.max("quality").alias("max"))
+    upper = F.expr("percentile_disc(0.5) within group (order by quality desc)")  # by counts of values, not by lists of rows
+    out = scored.groupBy("agent", "partner").agg(F.count("*").alias("n"), F.avg("quality").alias("mean"), upper.alias("median"), F.min("quality").alias("min"), F.max("quality").alias("max"))
     return out.withColumn("band", quality_band(F.col("mean")))
 
 
@@ -90,3 +90,60 @@ def duration_text(ms: Column) -> Column:
 def degradation(outcomes: DataFrame, ok_col: str = "ok") -> DataFrame:
     """(n, n_primary, n_fallback, fallback_pct)."""
     return outcomes.agg(F.count("*").alias("n"), F.count_if(F.col(ok_col)).alias("n_primary"), F.count_if(~F.col(ok_col)).alias("n_fallback"), F.coalesce(F.avg((~F.col(ok_col)).cast("double")) * 100, F.lit(0.0)).alias("fallback_pct"))
+
+
+LEVELS = {"off": 0, "minimal": 1, "standard": 2, "detailed": 3, "verbose": 4}
+
+
+def event_text(events: DataFrame, level: str = "standard") -> DataFrame:
+    """(line): events as lines of text; embeddings only from level detailed on."""
+    shown = events if LEVELS[level] >= LEVELS["detailed"] else events.where(~F.col("event_type").isin("embed", "embed_batch"))
+    part = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}="), value))
+    ms = F.date_format(F.col("ts").cast("timestamp"), "HH:mm:ss.SSS")
+    parts = [F.concat(F.lit("["), ms, F.lit("]")), F.upper("event_type"), part("agent", F.col("agent").cast("string")), part("partner", F.col("partner").cast("string")), part("time", F.format_string("%.1fms", F.col("duration_ms").cast("double"))), part("quality", F.format_string("%.4f", F.col("quality").cast("double"))), part("cost", F.format_string("$%.6f", F.col("cost").cast("double")))]
+    null = {2: "agent", 3: "partner", 4: "duration_ms", 5: "quality", 6: "cost"}
+    parts = [F.when(F.col(null[k]).isNotNull(), p) if k in null else p for k, p in enumerate(parts)]
+    return shown.select(F.concat_ws(" ", *parts).alias("line"))
+
+
+class Monitor:
+    """A session's events, kept as a table of JSON lines: switched on and off, reset, and exported."""
+
+    def __init__(self, spark, folder: str, level: str = "off"):
+        self.spark, self.root, self.level, self.run = spark, folder.rstrip("/"), level, 0
+
+    def enable(self, level: str = "standard") -> Monitor:
+        self.level = level if level in LEVELS else "standard"
+        return self
+
+    def disable(self) -> None:
+        self.level = "off"
+
+    def reset(self) -> None:
+        """Begin anew; what was recorded stays in its folder."""
+        self.run += 1
+
+    @property
+    def folder(self) -> str:
+        return f"{self.root}/run={self.run}"
+
+    def record(self, events: DataFrame) -> bool:
+        """Append events unless the monitor is off."""
+        if self.level == "off":
+            return False
+        events.write.mode("append").parquet(self.folder)
+        return True
+
+    def events(self) -> DataFrame:
+        return self.spark.read.parquet(self.folder)
+
+    def export(self, last: int = 100) -> DataFrame:
+        """(json): totals, agents, pairs and the last events in one document."""
+        e = self.events()
+        listed = lambda df: df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("j"))
+        parts = [("stats", totals(e).select(F.to_json(F.struct("*")).alias("j"))), ("agents", listed(agent_stats(e).orderBy("agent"))), ("pairs", listed(pair_quality(e).orderBy("agent", "partner"))), ("recent", listed(recent(e, [F.desc("ts")], last)))]
+        row = None
+        for name, df in parts:
+            one = df.withColumnRenamed("j", name)
+            row = one if row is None else row.crossJoin(one)
+        return row.select(F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), F.col(n)) for n, _ in parts]), F.lit("}")).alias("json"))

@@ -5,9 +5,9 @@ A store row is (id string, vec array<double>, text string, payload map<string,st
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,10 +16,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.functions.providers import Registry
+from meridian.plans.materialize import materialize
+from meridian.plans.numbering import numbered
 
 SCHEMA = "id string, vec array<double>, text string, payload map<string,string>"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own)
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -62,7 +70,7 @@ def read_npy_store(spark: SparkSession, folder: str) -> DataFrame:
     """A numpy folder (vectors.npy, meta.jsonl) as a store; metadata joins by position, a missing row's is empty."""
     vectors = read_npy(spark, f"{folder}/vectors.npy")
     meta_path = f"{folder}/meta.jsonl"
-    if not os.path.exists(meta_path.removeprefix("file://")):
+    if not exists(spark, meta_path):
         return vectors.select(F.col("position").cast("string").alias("id"), "vec", F.lit(None).cast("string").alias("text"), F.create_map().cast("map<string,string>").alias("payload"))
     lines = spark.read.text(meta_path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("position", "line"))
     meta = lines.select(F.col("position").cast("long"), F.from_json("line", "id string, text string, payload map<string,string>").alias("m"))
@@ -70,24 +78,43 @@ def read_npy_store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_npy_store(df: DataFrame, folder: str) -> int:
-    """Export a store to a numpy folder on this machine, a batch at a time; returns the number of rows.
+    """Export a store to a numpy folder, on any file system that Spark writes to; returns the number of rows.
 
-    For hand-over to single-machine tools; stores of a cluster stay Parquet.
+    For hand-over to single-machine tools, which take one matrix: its parts are
+    made on the executors, and put together one after the other by the driver,
+    which never holds more than one.  Stores of a cluster stay Parquet.
     """
-    os.makedirs(folder)
-    rows, dims = 0, df.select(F.max(F.size("vec"))).first()[0] or 0
-    count = df.count()
-    out = np.lib.format.open_memmap(f"{folder}/vectors.npy", "w+", np.float64, (count, dims))
-    last = None
-    with open(f"{folder}/meta.jsonl", "w", encoding="utf-8") as meta:
-        for r in df.select("id", "vec", "text", "payload").orderBy("id").toLocalIterator():
-            out[rows] = r["vec"]
-            meta.write(json.dumps({"id": r["id"], "text": r["text"], "payload": r["payload"] or {}}, ensure_ascii=False) + "\n")
-            rows, last = rows + 1, r["id"]
-    out.flush()
-    with open(f"{folder}/manifest.json", "w", encoding="utf-8") as manifest:
-        json.dump({"count": rows, "last_written_id": last}, manifest)
-    return rows
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    if fs.exists(root):
+        raise FileExistsError(folder)
+    listed = materialize(numbered(df.select("id", F.col("vec").cast("array<double>").alias("vec"), "text", "payload"), "id").repartitionByRange("position").sortWithinPartitions("position"), "export")
+    shape = listed.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"), F.max("id").alias("last")).first()
+    n, dims = shape["n"], shape["d"] or 0
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                cells = part.column("vec").flatten().to_numpy().astype("<f8").tobytes()
+                lines = [json.dumps({"id": i, "text": t, "payload": dict(p or {})}, ensure_ascii=False) + "\n" for i, t, p in zip(*(part.column(c).to_pylist() for c in ("id", "text", "payload")))]
+                yield pa.RecordBatch.from_arrays([part.column("position").slice(0, 1), pa.array([cells], pa.binary()), pa.array(["".join(lines)])], ["position", "cells", "lines"])
+
+    head = io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, {"descr": "<f8", "fortran_order": False, "shape": (n, dims)})
+    vectors, meta = (fs.create(jvm.org.apache.hadoop.fs.Path(root, name)) for name in ("vectors.npy", "meta.jsonl"))
+    vectors.write(head.getvalue())
+    for r in listed.select(F.col("position").cast("long").alias("position"), "id", "vec", "text", "payload").mapInArrow(pack, "position long, cells binary, lines string").orderBy("position").toLocalIterator():
+        vectors.write(bytes(r["cells"]))
+        meta.write(r["lines"].encode())
+    vectors.close()
+    meta.close()
+    manifest = fs.create(jvm.org.apache.hadoop.fs.Path(root, "manifest.json"))
+    manifest.write(json.dumps({"count": n, "last_written_id": shape["last"]}).encode())
+    manifest.close()
+    return n
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -130,6 +157,28 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in leaves(df.schema, "")])
 
 
+def benchmark_cache(root: str, source: str, target: str) -> str:
+    """Where the embeddings of a pair of models lie: a folder by hash of both names."""
+    return f"{root.rstrip('/')}/{hashlib.sha256(f'{source}|{target}'.encode()).hexdigest()[:10]}"
+
+
+def write_benchmark(spark: SparkSession, root: str, source: str, target: str, vectors: DataFrame, prefix_version: int = 1) -> None:
+    """Keep (kind, id, x, y) rows of a benchmark, kind document or query, with what they were made by."""
+    made = [F.lit(v).alias(n) for n, v in (("source", source), ("target", target), ("prefix_version", prefix_version))]
+    vectors.select("kind", "id", "x", "y", *made).write.mode("overwrite").partitionBy("kind").parquet(benchmark_cache(root, source, target))
+
+
+def read_benchmark(spark: SparkSession, root: str, source: str, target: str, counts: dict[str, int], prefix_version: int = 1) -> DataFrame | None:
+    """The kept rows, or None if there are none or they don't fit: other models, another prefix version, other counts."""
+    path = benchmark_cache(root, source, target)
+    if not exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    fits = (F.col("source") == source) & (F.col("target") == target) & (F.col("prefix_version") == prefix_version)
+    found = {r["kind"]: (r["n"], r["ok"]) for r in rows.groupBy("kind").agg(F.count("*").alias("n"), F.bool_and(fits).alias("ok")).collect()}
+    return rows if found == {k: (n, True) for k, n in counts.items()} else None
+
+
 def store_kind(name: Column) -> Column:
     """Which connector serves a store by its module or type name."""
     lower = F.lower(name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +28,19 @@ def telemetry_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema("ts double, event string, wrapper string").json(folder)
 
 
+def append_telemetry(events: DataFrame, folder: str, opt_in: str | None = None) -> bool:
+    """Append (ts, event, wrapper, extras) rows to a folder of JSON lines; only where it was opted in, by ``opt_in`` or MERIDIAN_TELEMETRY.
+
+    No texts are kept: a column called text or query is refused.
+    """
+    if (opt_in if opt_in is not None else os.environ.get("MERIDIAN_TELEMETRY", "")).lower() not in ("1", "true", "yes"):
+        return False
+    if {"text", "query"} & {c.lower() for c in events.columns}:
+        raise ValueError("telemetry doesn't keep texts")
+    events.write.mode("append").json(folder)
+    return True
+
+
 def windowed_counts(events: DataFrame, ts: str = "ts", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, value) by event-time window, with a watermark; works on tables too."""
     timed = events.withColumn("event_time", F.col(ts).cast("timestamp"))
@@ -71,8 +85,21 @@ def _walk(breaker: Breaker, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def breaker_states(calls: DataFrame) -> DataFrame:
-    """Each call (source, ts, ok, seq) with whether it is allowed, and the breaker's state after it: the batch form."""
-    return calls.groupBy("source").applyInPandas(lambda rows: _walk(Breaker(), rows.sort_values(["ts", "seq"])), _STATES)
+    """Each call (source, ts, ok, seq) with whether it is allowed, and the breaker's state after it: the batch form, which holds a batch of rows only."""
+
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, breaker = None, Breaker()
+        for batch in batches:
+            parts = []
+            for one, rows in batch.groupby((batch["source"] != batch["source"].shift()).cumsum(), sort=False):
+                if source is None or rows["source"].iloc[0] != source:
+                    source, breaker = rows["source"].iloc[0], Breaker()
+                parts.append(_walk(breaker, rows))
+            if parts:
+                yield pd.concat(parts)
+
+    return calls.repartition("source").sortWithinPartitions("source", "ts", "seq").mapInPandas(walk, _STATES)
 
 
 def breaker_stream(calls: DataFrame) -> DataFrame:
