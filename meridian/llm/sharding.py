@@ -6,11 +6,14 @@ one in descending and one in ascending order, until one is left.  Groups of equa
 content are indivisible.
 
 Groups are spread over nodes by hash and differenced within each node; the
-nodes' results are partial partitions again and are differenced with each
-other, as many at a time as ``CELLS`` bytes of shards allow, until one is left.
-So no worker holds more than a bounded number of groups, and the driver holds
-none.  Slots that are combined become one by a pointer, so a node needs memory
-for its groups and one partial partition, not for groups times shards.
+nodes' results are partial partitions again and are differenced with each other,
+as many at a time as ``CELLS`` bytes of shards allow.  Two kinds of groups are kept
+for the last step, where they meet the few partial partitions that are left: the
+largest, which would leave a node unbalanced, and a share of the small ones, which
+fill what differences remain.  So no worker holds more than a bounded number of
+groups, and the driver holds none.  Slots that are combined become one by a
+pointer, so a node needs memory for its groups and one partial partition, not for
+groups times shards.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from meridian.plans.materialize import materialize
 
 SHARDS = 16
-#: Groups that one node differences.
+#: Groups that one node differences; as many of the largest, and of the others, are kept for the last step.
 NODE_GROUPS = 20_000
 #: Partial partitions that one node of the upper levels combines, at most, and the used shards that they may have together.
 FAN_IN, CELLS = 256, 2_000_000
@@ -75,6 +78,17 @@ def _combine(n: int):
     return combine
 
 
+def _finish(n: int):
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        """Partial partitions (child, slot) and groups (content, without a child) together."""
+        rows = rows.sort_values(["child", "slot", "bytes", "content"], ascending=[True, True, False, True])
+        child = rows["child"].to_numpy()
+        owner = np.where(child >= 0, child, child.max(initial=0) + 1 + np.arange(len(rows)))
+        return rows.assign(to=difference(owner, rows["bytes"].to_numpy(np.int64), n))[["child", "slot", "content", "to"]]
+
+    return finish
+
+
 def _place(n: int):
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bytes", "content"], ascending=[False, True])
@@ -89,17 +103,36 @@ def content_shards(docs: DataFrame, text_col: str = "text", shards: int = SHARDS
         raise ValueError("shards must be positive")
     sized = docs.select(F.xxhash64(text_col).alias("content"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("b"))
     groups = materialize(sized.groupBy("content").agg(F.sum("b").alias("bytes"), F.count("*").alias("rows")), "contents")
-    nodes = max(1, math.ceil(groups.count() / NODE_GROUPS))
-    placed = groups.withColumn("node", F.pmod(F.xxhash64("content"), F.lit(nodes)).cast("int")).groupBy("node").applyInPandas(_place(shards), "node int, content long, slot int, bytes long")
-    placed = materialize(placed, "placed")
-    sums = placed.groupBy(F.col("node").alias("child"), "slot").agg(F.sum("bytes").alias("bytes"))
-    way, fan = placed.select("content", F.col("node").alias("at"), F.col("slot").alias("in_slot")), max(2, min(FAN_IN, CELLS // shards))
-    while nodes > 1:
-        step = materialize(sums.withColumn("parent", F.expr(f"child div {fan}").cast("int")).groupBy("parent").applyInPandas(_combine(shards), "parent int, child int, slot int, to int, bytes long"), "level")
-        way = way.join(step, (F.col("at") == F.col("child")) & (F.col("in_slot") == F.col("slot"))).select("content", F.col("parent").alias("at"), F.col("to").alias("in_slot"))
-        sums = step.groupBy(F.col("parent").alias("child"), F.col("to").alias("slot")).agg(F.sum("bytes").alias("bytes"))
-        nodes = math.ceil(nodes / fan)
-    return materialize(way.join(groups.select("content", "rows"), "content").select("content", F.col("in_slot").alias("shard"), "rows"), "shards")
+    level = F.floor(F.log2(F.col("bytes") + 1) * 8).cast("int")
+    sizes = sorted(((r["level"], r["n"]) for r in groups.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # a few hundred at most
+    total, large, least = sum(n for _, n in sizes), 0, 1 << 20
+    for at, n in sizes:
+        if large + n > NODE_GROUPS:
+            break
+        large, least = large + n, at
+    few = total <= 2 * NODE_GROUPS
+    share = 1_000_000 if few else -(-NODE_GROUPS * 1_000_000 // (total - large))
+    kept = (level >= least) | (F.pmod(F.xxhash64("content", F.lit(7)), F.lit(1_000_000)) < share)
+    nodes = 0 if few else max(1, math.ceil((total - large) / NODE_GROUPS))
+    last = groups.where(kept).select(F.lit(-1).alias("child"), F.lit(0).alias("slot"), "content", "bytes")
+    way, parts = None, last
+    if nodes:
+        spread = groups.where(~kept).withColumn("node", F.pmod(F.xxhash64("content"), F.lit(nodes)).cast("int"))
+        placed = materialize(spread.groupBy("node").applyInPandas(_place(shards), "node int, content long, slot int, bytes long"), "placed")
+        way = placed.select("content", F.col("node").alias("at"), F.col("slot").alias("in_slot"))
+        sums, fan = placed.groupBy(F.col("node").alias("child"), "slot").agg(F.sum("bytes").alias("bytes")), max(2, min(FAN_IN, CELLS // shards))
+        while nodes > fan:
+            step = materialize(sums.withColumn("parent", F.expr(f"child div {fan}").cast("int")).groupBy("parent").applyInPandas(_combine(shards), "parent int, child int, slot int, to int, bytes long"), "level")
+            way = way.join(step, (F.col("at") == F.col("child")) & (F.col("in_slot") == F.col("slot"))).select("content", F.col("parent").alias("at"), F.col("to").alias("in_slot"))
+            sums = step.groupBy(F.col("parent").alias("child"), F.col("to").alias("slot")).agg(F.sum("bytes").alias("bytes"))
+            nodes = math.ceil(nodes / fan)
+        parts = last.unionByName(sums.select("child", "slot", F.lit(0).cast("long").alias("content"), "bytes"))  # a null would make doubles of the hashes in pandas
+    done = materialize(parts.groupBy(F.lit(0).alias("all")).applyInPandas(_finish(shards), "child int, slot int, content long, to int"), "finished")
+    out = done.where("child < 0").select("content", F.col("to").alias("shard"))
+    if way is not None:
+        ends = done.where("child >= 0").select("child", "slot", "to")
+        out = out.unionByName(way.join(ends, (F.col("at") == F.col("child")) & (F.col("in_slot") == F.col("slot"))).select("content", F.col("to").alias("shard")))
+    return materialize(out.join(groups.select("content", "rows"), "content"), "shards")
 
 
 def _assigned(rows: DataFrame, content, shards: DataFrame, columns: list) -> DataFrame:

@@ -101,6 +101,19 @@ def test_shards_are_balanced_over_nodes_and_levels(docs_of, monkeypatch, node, f
         assert by_text.setdefault(text[r["doc_id"]], r["shard"]) == r["shard"] and r["bytes"] == len(text[r["doc_id"]])
 
 
+@pytest.mark.parametrize(("shards", "node"), [(4, 60), (32, 300)])
+def test_many_nodes_lose_little_balance(docs_of, monkeypatch, shards, node):
+    """Sizes with a long tail over dozens of nodes: within a hundredth of the mean, as by one node or greedily."""
+    monkeypatch.setattr(sh, "NODE_GROUPS", node)
+    monkeypatch.setattr(sh, "FAN_IN", 8)
+    rng = np.random.default_rng(4)
+    sizes = np.minimum(rng.lognormal(4, 1.2, 3000), 4000).astype(int) + 1
+    rows = [(i, f"{i:05}" + "x" * int(n)) for i, n in enumerate(sizes)]
+    got = sh.shard_ids(docs_of(rows), shards=shards).collect()
+    total = np.bincount([r["shard"] for r in got], [r["bytes"] for r in got], shards)
+    assert len(got) == 3000 and total.max() - total.min() <= 0.01 * total.mean()
+
+
 def test_awkward_rows(docs_of, awkward):
     df = docs_of(awkward, **CLASHING, shard="'old'")
     out = sh.shard_rows(df, shards=3)
