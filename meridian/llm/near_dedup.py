@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.llm.text import WordHashes, shingles, texts_of, type_of, words
@@ -41,8 +41,8 @@ THRESHOLD = 0.55
 NGRAM = 3
 #: Postings of a list that one unit of work compares with each other.
 CHUNK = 4096
-#: Elements whose counts are sent to every executor, at most; no other has more than 64 / HOT postings a representative.
-HOT = 100_000
+#: Elements whose counts are sent to every executor, at most: those of FREQUENT postings or more in one of SAMPLE parts of the representatives.
+HOT, SAMPLE, FREQUENT = 100_000, 64, 32
 
 
 def minhash(hashes: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
@@ -199,12 +199,15 @@ def representatives(sigs: DataFrame) -> DataFrame:
 
 def _units(reps: DataFrame, need: int) -> DataFrame:
     """The postings of all prefixes, sorted into the units that are compared."""
-    posts = reps.select("node", "sig").mapInArrow(_post, "node long, element long")
-    counts = materialize(posts.groupBy("element").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    # at most HOT elements can have more postings than this
-    many = reps.count() * COORDS // HOT
-    hot = F.broadcast(counts.where(F.col("n") > many))
-    counted = posts.join(hot, "element").unionByName(posts.join(counts.where(F.col("n") <= many), "element"))
+    post = lambda some: some.select("node", "sig").mapInArrow(_post, "node long, element long")
+    posts = post(reps)
+    # what is frequent in a sample is counted apart, so that no task counts a hot element; a count never depends on the sample
+    sampled = post(reps.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)).groupBy("element").count().where(F.col("count") >= FREQUENT)
+    listed = materialize(sampled.orderBy(F.desc("count"), "element").limit(HOT).select("element"), "frequent")
+    hot = materialize(posts.join(F.broadcast(listed), "element").groupBy("element").agg(F.count("*").alias("n")), "hot")
+    often = posts.join(F.broadcast(hot), "element").select("node", "element", "n")
+    others = posts.join(F.broadcast(listed), "element", "left_anti").select("node", "element", F.count("*").over(Window.partitionBy("element")).alias("n"))
+    counted = often.union(others).where("n > 1")
     prefixes = (
         counted.groupBy("node")
         .agg(F.sort_array(F.collect_set(F.struct("n", "element"))).alias("e"))

@@ -78,11 +78,12 @@ def test_pairs_of_classes_are_all_pairs(docs_of):
     assert {(r["doc_id_a"], r["doc_id_b"]): r["matches"] for r in nd.near_pairs(docs_of(rows)).collect()} == want
 
 
-@pytest.mark.parametrize("hot", [1, nd.HOT])
-def test_one_hot_list_is_cut_into_chunks(docs_of, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "sample", "frequent"), [(nd.HOT, nd.SAMPLE, nd.FREQUENT), (nd.HOT, 1, 2), (5, 2, 3)])
+def test_one_hot_list_is_cut_into_chunks(docs_of, monkeypatch, hot, sample, frequent):
     """Counts are right whether or not an element's count is broadcast."""
     monkeypatch.setattr(nd, "CHUNK", 4)
-    monkeypatch.setattr(nd, "HOT", hot)
+    for name, value in (("HOT", hot), ("SAMPLE", sample), ("FREQUENT", frequent)):
+        monkeypatch.setattr(nd, name, value)
     rows = [(i, edited(prose(1, 80), i, 1)) for i in range(40)] + [(50 + i, prose(1, 80)) for i in range(3)]
     got = classes(docs_of(rows))
     assert got == brute_classes(rows) and str((40 - 1, 0, 42)) in got
