@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.llm.text import WordHashes, shingles, texts_of, type_of, words
-from meridian.plans.materialize import materialize
+from meridian.plans.materialize import materialize, settled
 
 COORDS = 64
 THRESHOLD = 0.55
@@ -321,7 +321,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays, any; of rows with one id and near texts, the one with the least text
     hash.  An empty table stays empty.
     """
-    judged = materialize(_judged(docs, id_col, text_col, threshold, ngram, seed).where("key1 is not null and doc_id is not null").select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "first"), "judged")
+    worded = lambda: _judged(docs, id_col, text_col, threshold, ngram, seed).where("key1 is not null and doc_id is not null")
+    # signatures and all else are deleted before the documents are joined
+    judged, _ = settled(lambda: worded().select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "first"), "judged")
     same = F.struct("own_id", "own_hash") == F.struct("first.doc_id", "first.text_hash")
     gone = judged.where(~same).select("own_id", "own_hash").distinct()
     repeated = materialize(judged.where(same).groupBy("own_id", "own_hash").count().where("count > 1").select("own_id", "own_hash"), "repeated")
