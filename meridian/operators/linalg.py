@@ -113,12 +113,14 @@ def pair_gram(pairs: DataFrame, x: str, y: str) -> tuple[np.ndarray, int, int, i
     return np.stack([by[i] for i in range(len(by))]), rows[0]["n"], rows[0]["p"], rows[0]["q"]
 
 
-def gram_sql(df: DataFrame, column: str, dims: int) -> DataFrame:
-    """(i, j, value) of the first dims columns by declarative aggregation: for few dimensions, and as a check."""
-    v = F.col(column).cast("array<double>")
-    sums = [F.sum(v[i] * v[j]).alias(f"g{i}_{j}") for i in range(dims) for j in range(dims)]
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"g{i}_{j}").alias("value")) for i in range(dims) for j in range(dims)])).alias("c")
-    return df.agg(*sums).select(cells).select("c.*")
+def gram_sql(df: DataFrame, column: str) -> DataFrame:
+    """(i, j, value) over all dimensions by declarative aggregation: squares of the dimension in rows, so a check of ``gram`` and not its rival.
+
+    Products are summed before the shuffle; a null vector adds nothing, an empty table has no cells.
+    """
+    v = df.select(F.col(column).cast("array<double>").alias("v"))
+    cells = v.select("v", F.posexplode("v").alias("i", "a")).select("i", "a", F.posexplode("v").alias("j", "b"))
+    return cells.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("value"))
 
 
 def truncated(w: np.ndarray, rank: int | None) -> np.ndarray:

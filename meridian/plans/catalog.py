@@ -320,13 +320,8 @@ def score_distribution(spark, sf):
 _DRAW = "(('0x' || substr(md5('0:{0}:' || r::VARCHAR), 1, 8))::BIGINT % (select count(*) from pair))"
 
 
-@query(f"with {PAIR}, num as (select *, row_number() over (order by id) - 1 as k from pair), dr as (select {_DRAW.format('a')} as ka, {_DRAW.format('b')} as kb from range(2000) t(r)), c as (select list_dot_product(a.t, b.t) as c from dr join num a on a.k = ka join num b on b.k = kb), v as (select var_pop(list_dot_product(m, t)) as v from pair) select {_r('max(v.v) / var_pop(c.c)')} as compression from c, v")
+@query(f"with {PAIR}, num as (select *, row_number() over (order by id) - 1 as k from pair), dr as (select {_DRAW.format('a')} as ka, {_DRAW.format('b')} as kb from (select unnest(range(count(*))) as r from pair)), c as (select list_dot_product(a.t, b.t) as c from dr join num a on a.k = ka join num b on b.k = kb), v as (select var_pop(list_dot_product(m, t)) as v from pair) select {_r('max(v.v) / var_pop(c.c)')} as compression from c, v")
 def margin_compression(spark, sf):
-    return gate.margin_compression(pairs(spark, sf), "m", "t", 2000).select(r6("compression"))
-
-
-@query()
-def margin_compression_full(spark, sf):
     return gate.margin_compression(pairs(spark, sf), "m", "t").select(r6("compression"))
 
 
@@ -422,10 +417,10 @@ def cross_gram(spark, sf):
     return _cells(spark, gram(pairs(spark, sf), ["x", "y"])[0][:DIMS, DIMS:])
 
 
-@query(_gram_sql("x", "x", 4))
+@query(_gram_sql("x", "x", DIMS))
 def gram_declared(spark, sf):
-    """The Gram matrix of four dimensions by sums of products alone."""
-    return gram_sql(pairs(spark, sf), "x", 4).select("i", "j", r6("value"))
+    """The Gram matrix by sums of products alone."""
+    return gram_sql(pairs(spark, sf), "x").select("i", "j", r6("value"))
 
 
 @query(f"with {EMB}, c as (select unnest(range({DIMS})) as j, unnest(x) as v from emb) select j::INT as j, {_r('avg(v)')} as mean, {_r('stddev_pop(v)')} as spread from c group by j")
@@ -439,12 +434,6 @@ def whiten_center(spark, sf):
     return w.select("id", F.posexplode("vec").alias("j", "v")).select("id", "j", r6("v", "value"))
 
 
-@query(f"with {PAIR}, g as (select sum(x[1] * x[1]) + 0.5 as a, sum(x[1] * x[2]) as b, sum(x[2] * x[2]) + 0.5 as d, sum(x[1] * y[1]) as p, sum(x[2] * y[1]) as q, sum(x[1] * y[2]) as r, sum(x[2] * y[2]) as s from pair) select {_r('(d * p - b * q) / (a * d - b * b)')} as w00, {_r('(d * r - b * s) / (a * d - b * b)')} as w01, {_r('(a * q - b * p) / (a * d - b * b)')} as w10, {_r('(a * s - b * r) / (a * d - b * b)')} as w11 from g")
-def ridge_fit_2d(spark, sf):
-    m = mapping.fit_ridge(pairs(spark, sf).select("id", F.slice("x", 1, 2).alias("x"), F.slice("y", 1, 2).alias("y")), alpha=0.5, bias=False)
-    return spark.createDataFrame([tuple(float(v) for v in m.weights.ravel())], "w00 double, w01 double, w10 double, w11 double").select(*[r6(c) for c in ("w00", "w01", "w10", "w11")])
-
-
 # --- recalibration and gate ---------------------------------------------------
 
 _POINTS = ([0.0, 0.25, 0.5, 0.5, 0.8, 1.0], [0.1, 0.1, 0.3, 0.4, 0.9, 0.95])
@@ -491,8 +480,8 @@ def gate_verdict_grid(spark, sf):
     return _predicted(spark).select("i", "k", gate.verdict(F.col("lo"), F.col("hi")).alias("verdict"))
 
 
-def _scores(spark, sf, n_random: int | None = None) -> DataFrame:
-    return materialize(recalibration.score_pairs(pairs(spark, sf), "m", "t", n_random), "scores")
+def _scores(spark, sf) -> DataFrame:
+    return materialize(recalibration.score_pairs(pairs(spark, sf), "m", "t"), "scores")
 
 
 def _score_means(scores: DataFrame) -> DataFrame:
@@ -504,51 +493,30 @@ def _agreement(scores: DataFrame) -> DataFrame:
 
 
 _SCORES = f"""with {PAIR}, num as (select *, row_number() over (order by id) - 1 as k from pair), {sims_sql('near', 'm', 't')},
-draw as (select {_DRAW.format('q')} as kq, {_DRAW.format('d')} as kd from range(2000) t(r)),
+draw as (select {_DRAW.format('q')} as kq, {_DRAW.format('d')} as kd from (select unnest(range(least(50000, count(*) * count(*)))) as r from pair)),
 chosen as (select a.id as q, b.id as d from draw join num a on a.k = kq join num b on b.k = kd union all select q, d from near where rank <= 20),
 scores as (select c.q, c.d, list_dot_product(a.m, b.t) as mapped, list_dot_product(a.t, b.t) as ceiling from chosen c join pair a on a.id = c.q join pair b on b.id = c.d)"""
 
 
 @query(_SCORES + f" select count(*) as n, {_r('avg(mapped)')} as mean_mapped, {_r('avg(ceiling)')} as mean_ceiling, {_r('corr(mapped, ceiling)')} as correlation from scores")
 def score_pairs(spark, sf):
-    return _score_means(_scores(spark, sf, 2000))
-
-
-@query()
-def score_pairs_full(spark, sf):
     return _score_means(_scores(spark, sf))
 
 
 @query(_SCORES + f", tau as (select unnest([0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) as threshold) select threshold, {_r('avg(((round(mapped, 9) >= threshold) = (round(ceiling, 9) >= threshold))::INT::DOUBLE)')} as agreement from scores, tau group by threshold")
 def threshold_agreement(spark, sf):
-    return _agreement(_scores(spark, sf, 2000))
-
-
-@query()
-def threshold_agreement_full(spark, sf):
     return _agreement(_scores(spark, sf))
 
 
 @query(_SCORES + f", top as (select mapped as s from scores order by mapped desc limit 20), d as (select s, s - lag(s) over (order by s) as gap from top) select {_r('avg(gap)')} as gap from d")
 def top20_margin(spark, sf):
-    return recalibration.top_gap(_scores(spark, sf, 2000), F.col("mapped")).select(r6("gap"))
-
-
-@query()
-def top20_margin_full(spark, sf):
     return recalibration.top_gap(_scores(spark, sf), F.col("mapped")).select(r6("gap"))
 
 
 _CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
 
 
-@query(_MT + f", r as (select q as id, rank from mt where q = d), dr as (select b, rank, ('0x' || substr(md5('0:' || b::VARCHAR || ':' || id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE as u from r, range(1, 51) t(b)), w as (select b, rank, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in _CUTS)} as w from dr), p as (select b, sum((rank <= 1)::INT * w) / sum(w)::DOUBLE as recall_1, sum((rank <= 5)::INT * w) / sum(w)::DOUBLE as recall_5, sum((rank <= 10)::INT * w) / sum(w)::DOUBLE as recall_10, sum(w / rank::DOUBLE) / sum(w) as mrr from w group by b), l as (unpivot p on recall_1, recall_5, recall_10, mrr into name metric value v) select metric, {_r('quantile_cont(v, 0.1)')} as low, {_r('quantile_cont(v, 0.9)')} as high from l group by metric")
+@query(_MT + f", r as (select q as id, rank from mt where q = d), dr as (select b, rank, ('0x' || substr(md5('0:' || b::VARCHAR || ':' || id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE as u from r, range(1, 1001) t(b)), w as (select b, rank, {' + '.join(f'(u >= {c!r}::DOUBLE)::INT' for c in _CUTS)} as w from dr), p as (select b, sum((rank <= 1)::INT * w) / sum(w)::DOUBLE as recall_1, sum((rank <= 5)::INT * w) / sum(w)::DOUBLE as recall_5, sum((rank <= 10)::INT * w) / sum(w)::DOUBLE as recall_10, sum(w / rank::DOUBLE) / sum(w) as mrr from w group by b), l as (unpivot p on recall_1, recall_5, recall_10, mrr into name metric value v) select metric, {_r('quantile_cont(v, 0.1)')} as low, {_r('quantile_cont(v, 0.9)')} as high from l group by metric")
 def bootstrap_ci(spark, sf):
-    ranks = knn.self_ranks(pairs(spark, sf), "m", "t")
-    return gate.bootstrap(ranks, 50).select("metric", r6("low"), r6("high"))
-
-
-@query()
-def bootstrap_ci_full(spark, sf):
     ranks = knn.self_ranks(pairs(spark, sf), "m", "t")
     return gate.bootstrap(ranks).select("metric", r6("low"), r6("high"))

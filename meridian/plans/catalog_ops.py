@@ -233,21 +233,11 @@ def store_dispatch(spark, sf):
     return names.select("kind", stores.store_kind(F.col("kind")).alias("store"))
 
 
-@query("select doc_id as id, md5(trim(lang || ' ' || text)) as text_md5 from documents order by doc_id limit 150")
+@query("select doc_id as id, md5(trim(lang || ' ' || text)) as text_md5 from documents")
 def retrieval_corpus(spark, sf):
-    return _corpus(spark, sf, 150)
-
-
-@query()
-def retrieval_corpus_full(spark, sf):
-    """All documents."""
-    return _corpus(spark, sf, None)
-
-
-def _corpus(spark, sf, max_docs: int | None):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), "text")
     qrels = docs.select(F.col("id").alias("query_id"), F.col("id").alias("doc_id"), F.lit(1).alias("relevance"))
-    return stores.read_retrieval(docs, docs.select("id", "text"), qrels, max_docs)[0].select("id", F.md5("text").alias("text_md5"))
+    return stores.read_retrieval(docs, docs.select("id", "text"), qrels)[0].select("id", F.md5("text").alias("text_md5"))
 
 
 # --- monitoring --------------------------------------------------------------

@@ -145,5 +145,5 @@ def test_interpolation_equals_numpy(spark, x):
 def test_retrieval_corpus_over_all_documents(spark, sf):
     from meridian.plans.catalog_all import QUERIES
 
-    ids = {r["id"] for r in QUERIES["retrieval_corpus_full"](spark, sf).collect()}
+    ids = {r["id"] for r in QUERIES["retrieval_corpus"](spark, sf).collect()}
     assert ids == {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()} and len(ids) > 150
