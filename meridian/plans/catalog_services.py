@@ -183,14 +183,14 @@ def gate_training(spark, sf):
 
 @query()
 def sampling_strategies(spark, sf):
-    """Five trials each of two ways to draw a calibration sample."""
+    """Five trials each of random rows and of those nearest to the centres of k-means over all rows, as calibration samples of 150."""
     p = materialize(pairs(spark, sf), "pairs")
-    first = lambda df, seed: df.orderBy("id").limit(150)
-    trials = analysis.trial_retention(p, {"random": lambda df, seed: calibration.sample(df, 150, seed), "first": first}, 5, alpha=0.5)
+    diverse = lambda df, seed: df.join(calibration.diverse_sample(df, 150, "x", seed=seed).select("id"), "id", "left_semi")
+    trials = analysis.trial_retention(p, {"random": lambda df, seed: calibration.sample(df, 150, seed), "diverse": diverse}, 5, alpha=0.5)
     return analysis.sampling_trials(trials, spark)
 
 
-@query("select run, count(*) as n from (select unnest([0, 1]) as run), events where run = 0 or event_id % 2 = 0 group by run")
+@query("select run, count(*) as n from (select unnest([0, 1]) as run), events group by run")
 def monitor_session(spark, sf):
     """Recorded while on, not while off, and begun anew by a reset."""
     own = monitor.Monitor(spark, _folder(spark, "monitor"))
@@ -200,7 +200,7 @@ def monitor_session(spark, sf):
     own.record(e)
     first = own.events()
     own.reset()
-    own.record(e.where("event_id % 2 = 0"))
+    own.record(e)
     own.disable()
     own.record(e)
     return first.agg(F.count("*").alias("n")).select(F.lit(0).alias("run"), "n").union(own.events().agg(F.count("*").alias("n")).select(F.lit(1).alias("run"), "n"))
