@@ -147,3 +147,43 @@ def test_retrieval_corpus_over_all_documents(spark, sf):
 
     ids = {r["id"] for r in QUERIES["retrieval_corpus"](spark, sf).collect()}
     assert ids == {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()} and len(ids) > 150
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_a_task_holds_one_block_with_another(spark, limit):
+    from meridian.operators.blocks import BLOCK_ROWS, Fold, all_pairs
+
+    class Sizes(Fold):
+        def add(self, j, b):
+            return [np.array([self.i.size]), np.array([j.size])]
+
+    df = spark.range(5000).selectExpr("id", "array(1.0D, double(id)) as vec")
+    rows = all_pairs(df, df, Sizes, "a long, b long", broadcast_bytes=limit).collect()
+    assert max(max(r["a"], r["b"]) for r in rows) <= BLOCK_ROWS and sum(r["a"] * r["b"] for r in rows) == 5000 * 5000
+
+
+def test_the_best_of_many_blocks_with_ties():
+    rng = np.random.default_rng(9)
+    q, c = rng.integers(-1, 2, (40, 3)).astype(float), rng.integers(-1, 2, (900, 3)).astype(float)
+    q, c, order = normalized(q), normalized(c), rng.permutation(900)
+    fold = knn.Best(np.arange(40), q, 25)
+    for at in range(0, 900, 70):
+        fold.add(order[at : at + 70], c[order[at : at + 70]])
+    i, j, s = fold.rows()
+    for row, expected in enumerate(brute(q, c, 25)):
+        assert list(zip(j[i == row].tolist(), s[i == row].tolist())) == expected
+
+
+def test_many_queries_give_one_list_each(spark, monkeypatch):
+    monkeypatch.setattr(knn, "FEW_QUERIES", 10)
+    rng = np.random.default_rng(4)
+    q, c = rng.normal(size=(30, 4)), rng.normal(size=(80, 4))
+    rows = knn.topk(table(spark, q), table(spark, c), 6).orderBy("query_id", "rank").collect()
+    assert [r["id"] for r in rows] == [j for expected in brute(q, c, 6) for j, _ in expected]
+    assert [r["id"] for r in knn.csls(table(spark, q), table(spark, c), 5, 4).orderBy("query_id", "rank").collect()] == csls_brute(q, c, 5, 4)
+
+
+def csls_brute(q, c, k, top):
+    sims = np.round(normalized(q) @ normalized(c).T, 9)
+    scores = np.round(2 * sims - np.sort(sims, axis=0)[::-1][:k].mean(axis=0)[None, :], 9)
+    return [int(j) for s in scores for j in np.lexsort((np.arange(s.size), -s))[:top]]
