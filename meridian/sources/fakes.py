@@ -1,63 +1,112 @@
 """Stand-ins for vector services, kept in a folder that all workers share; for tests and trials without a network.
 
-They have the calls of the services' clients that the connectors use.  A vector
-is a file, so that concurrent upserts of different ids don't meet.
+They have the calls of the services' clients that the connectors use.  A
+collection is a SQLite file indexed by key, so that a page is read from where it
+begins, a count reads no vectors, and concurrent upserts wait for each other.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
-import tempfile
+import sqlite3
+from collections.abc import Iterable
+from contextlib import closing
 from types import SimpleNamespace
 
 
-class _Folder:
+class _Collection:
+    """Rows (key, value) in the order of their keys as text."""
+
     def __init__(self, path: str):
-        self.path = path
+        self.path = f"{path}/rows.sqlite"
+
+    def _open(self) -> sqlite3.Connection:
+        own = sqlite3.connect(self.path, timeout=600, isolation_level=None)
+        own.execute("pragma synchronous = off")
+        return own
+
+    def create(self) -> None:
+        """Made under its name by a rename, as workers may do it at once: the first one stays."""
+        folder = os.path.dirname(self.path)
+        os.makedirs(folder, exist_ok=True)
+        if os.path.exists(self.path):
+            return
+        fresh = f"{self.path}.{os.getpid()}.new"
+        with closing(sqlite3.connect(fresh)) as own:
+            own.execute("create table if not exists rows (name text primary key, key text not null, value text not null)")
+            own.commit()
+        try:
+            os.link(fresh, self.path)
+        except FileExistsError:
+            pass
+        os.remove(fresh)
+
+    def exists(self) -> bool:
+        return os.path.exists(self.path)
+
+    def put(self, rows: Iterable[tuple]) -> None:
+        self.create()
+        cells = [(str(key), json.dumps(key), json.dumps(value)) for key, value in rows]
+        with closing(self._open()) as own:
+            own.execute("begin immediate")
+            own.executemany("insert or replace into rows values (?, ?, ?)", cells)
+            own.execute("commit")
+
+    def _rows(self, sql: str, values: Iterable = ()) -> list[tuple]:
+        if not self.exists():
+            return []
+        with closing(self._open()) as own:
+            return own.execute(sql, tuple(values)).fetchall()
 
-    def put(self, key, value: dict) -> None:
-        os.makedirs(self.path, exist_ok=True)
-        handle, name = tempfile.mkstemp(dir=self.path)
-        with os.fdopen(handle, "w", encoding="utf-8") as file:
-            json.dump({"key": key, **value}, file)
-        os.replace(name, f"{self.path}/{hashlib.md5(str(key).encode()).hexdigest()}.json")
+    def count(self) -> int:
+        return self._rows("select count(*) from rows")[0][0] if self.exists() else 0
 
-    def rows(self) -> list[dict]:
-        if not os.path.isdir(self.path):
-            return []
+    def names(self, at: str | None, limit: int) -> list[str]:
+        """Keys from ``at`` on, as text."""
+        return [r[0] for r in self._rows("select name from rows where name >= ? order by name limit ?", ("" if at is None else at, limit))]
+
+    def page(self, at: str | None, limit: int) -> list[tuple]:
+        """(key, value) from the key ``at`` on."""
+        return [(json.loads(k), json.loads(v)) for k, v in self._rows("select key, value from rows where name >= ? order by name limit ?", ("" if at is None else at, limit))]
+
+    def page_at(self, offset: int, limit: int) -> list[tuple]:
+        """(key, value) from a row's number on: keys alone are passed over to find it."""
+        first = self._rows("select name from rows order by name limit 1 offset ?", (offset,))
+        return self.page(first[0][0], limit) if first else []
+
+    def of(self, keys: list) -> list[tuple]:
         out = []
-        for name in os.listdir(self.path):
-            if name.endswith(".json"):
-                with open(f"{self.path}/{name}", encoding="utf-8") as file:
-                    out.append(json.load(file))
-        return sorted(out, key=lambda r: str(r["key"]))
+        for at in range(0, len(keys), 500):
+            some = [str(k) for k in keys[at : at + 500]]
+            out += self._rows(f"select key, value from rows where name in ({','.join('?' * len(some))}) order by name", some)
+        return [(json.loads(k), json.loads(v)) for k, v in out]
 
 
 class FakeQdrant:
     def __init__(self, root: str):
         self.root = root
 
-    def _of(self, name: str) -> _Folder:
-        return _Folder(f"{self.root}/{name}")
+    def _of(self, name: str) -> _Collection:
+        return _Collection(f"{self.root}/{name}")
 
     def get_collection(self, name: str):
-        if not os.path.isdir(f"{self.root}/{name}"):
+        if not self._of(name).exists():
             raise LookupError(name)
-        return SimpleNamespace(points_count=len(self._of(name).rows()))
+        return SimpleNamespace(points_count=self._of(name).count())
 
     def create_collection(self, collection_name: str, vectors_config) -> None:
-        os.makedirs(f"{self.root}/{collection_name}", exist_ok=True)
+        self._of(collection_name).create()
 
     def scroll(self, collection_name: str, limit: int, offset, with_payload: bool, with_vectors: bool):
-        rows = [r for r in self._of(collection_name).rows() if offset is None or str(r["key"]) >= str(offset)]
-        points = [SimpleNamespace(id=r["key"], vector=r["vector"] if with_vectors else None, payload=r["payload"] if with_payload else None) for r in rows[:limit]]
-        return points, rows[limit]["key"] if len(rows) > limit else None
+        own, at = self._of(collection_name), None if offset is None else str(offset)
+        names = own.names(at, limit + 1)
+        rows = own.page(at, limit) if with_payload or with_vectors else [(n, {}) for n in names[:limit]]
+        points = [SimpleNamespace(id=k, vector=v["vector"] if with_vectors else None, payload=v["payload"] if with_payload else None) for k, v in rows]
+        return points, names[limit] if len(names) > limit else None
 
     def upsert(self, collection_name: str, points: list[dict]) -> None:
-        for p in points:
-            self._of(collection_name).put(p["id"], {"vector": p["vector"], "payload": p["payload"]})
+        self._of(collection_name).put((p["id"], {"vector": p["vector"], "payload": p["payload"]}) for p in points)
 
 
 class FakeChroma:
@@ -65,53 +114,51 @@ class FakeChroma:
         self.root = root
 
     def get_collection(self, name: str):
-        if not os.path.isdir(f"{self.root}/{name}"):
+        own = _Collection(f"{self.root}/{name}")
+        if not own.exists():
             raise LookupError(name)
-        return FakeChromaCollection(_Folder(f"{self.root}/{name}"))
+        return FakeChromaCollection(own)
 
     def get_or_create_collection(self, name: str, metadata: dict | None = None):
-        os.makedirs(f"{self.root}/{name}", exist_ok=True)
+        _Collection(f"{self.root}/{name}").create()
         return self.get_collection(name)
 
 
 class FakeChromaCollection:
-    def __init__(self, folder: _Folder):
-        self.folder = folder
+    def __init__(self, own: _Collection):
+        self.own = own
 
     def count(self) -> int:
-        return len(self.folder.rows())
+        return self.own.count()
 
     def get(self, limit: int, offset: int, include: list[str]) -> dict:
-        rows = self.folder.rows()[offset : offset + limit]
-        return {"ids": [r["key"] for r in rows], "embeddings": [r["embedding"] for r in rows], "metadatas": [r["metadata"] for r in rows], "documents": [r["document"] for r in rows]}
+        rows = self.own.page_at(offset, limit)
+        return {"ids": [k for k, _ in rows], "embeddings": [v["embedding"] for _, v in rows], "metadatas": [v["metadata"] for _, v in rows], "documents": [v["document"] for _, v in rows]}
 
     def upsert(self, ids: list, embeddings: list, metadatas: list, documents: list) -> None:
-        for i, e, m, d in zip(ids, embeddings, metadatas, documents):
-            self.folder.put(i, {"embedding": e, "metadata": m, "document": d})
+        self.own.put((i, {"embedding": e, "metadata": m, "document": d}) for i, e, m, d in zip(ids, embeddings, metadatas, documents))
 
 
 class FakePinecone:
     def __init__(self, root: str):
         self.root = root
 
-    def _rows(self, namespace: str) -> list[dict]:
-        return _Folder(f"{self.root}/{namespace or 'default'}").rows()
+    def _of(self, namespace: str) -> _Collection:
+        return _Collection(f"{self.root}/{namespace or 'default'}")
 
     def describe_index_stats(self) -> dict:
         names = os.listdir(self.root) if os.path.isdir(self.root) else []
-        return {"namespaces": {n: {"vector_count": len(self._rows(n))} for n in names}}
+        return {"namespaces": {n: {"vector_count": self._of(n).count()} for n in names}}
 
     def list_paginated(self, namespace: str, limit: int, pagination_token=None) -> dict:
-        at, ids = int(pagination_token or 0), [r["key"] for r in self._rows(namespace)]
-        return {"ids": ids[at : at + limit], "next": str(at + limit) if len(ids) > at + limit else None}
+        ids = self._of(namespace).names(pagination_token, limit + 1)
+        return {"ids": ids[:limit], "next": ids[limit] if len(ids) > limit else None}
 
     def fetch(self, ids: list, namespace: str) -> dict:
-        wanted = set(ids)
-        return {"vectors": {r["key"]: {"values": r["values"], "metadata": r["metadata"]} for r in self._rows(namespace) if r["key"] in wanted}}
+        return {"vectors": {k: {"values": v["values"], "metadata": v["metadata"]} for k, v in self._of(namespace).of(ids)}}
 
     def upsert(self, vectors: list[dict], namespace: str) -> None:
-        for v in vectors:
-            _Folder(f"{self.root}/{namespace or 'default'}").put(v["id"], {"values": v["values"], "metadata": v["metadata"]})
+        self._of(namespace).put((v["id"], {"values": v["values"], "metadata": v["metadata"]}) for v in vectors)
 
 
 def qdrant(options: dict) -> FakeQdrant:

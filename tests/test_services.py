@@ -342,3 +342,18 @@ def test_store_metadata_on_another_path(spark, tmp_path, rows):
     assert got["7"] == ("text 7", {"n": "7"}) and len(got) == 60
     with pytest.raises(FileExistsError):
         stores.write_npy_store(rows, f"file://{tmp_path}/n")
+
+
+@pytest.mark.parametrize("kind", sorted(connectors.SERVICES))
+def test_a_page_of_a_stand_in_reads_no_other_rows(tmp_path, kind, monkeypatch):
+    from meridian.sources import fakes
+
+    own = connectors.open_service(service(kind, tmp_path))
+    own.ensure(1, "cosine")
+    own.upsert([{"id": f"a{k:04}", "vec": [float(k)], "text": "t", "payload": {}} for k in range(500)])
+    decoded = []
+    real = fakes.json.loads
+    monkeypatch.setattr(fakes.json, "loads", lambda s: decoded.append(s) or real(s))
+    starts = list(own.starts(50))
+    assert own.count() == 500 and len(starts) == 10 and not decoded
+    assert [r[1] for r in own.page(starts[3], 50)] == [[float(k)] for k in range(150, 200)] and len(decoded) <= 100
