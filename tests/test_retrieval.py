@@ -187,3 +187,14 @@ def csls_brute(q, c, k, top):
     sims = np.round(normalized(q) @ normalized(c).T, 9)
     scores = np.round(2 * sims - np.sort(sims, axis=0)[::-1][:k].mean(axis=0)[None, :], 9)
     return [int(j) for s in scores for j in np.lexsort((np.arange(s.size), -s))[:top]]
+
+
+def test_judgements_by_label_are_counted_not_listed(spark):
+    rng = np.random.default_rng(8)
+    m, labels = rng.normal(size=(60, 4)), [None if k % 11 == 3 else k % 3 for k in range(60)]
+    t = spark.createDataFrame([(i, labels[i], r.tolist()) for i, r in enumerate(m)], "id long, label int, vec array<double>")
+    q = t.where("id % 4 = 0").unionAll(spark.createDataFrame([(99, 7, [1.0, 0.0, 0.0, 0.0])], t.schema))
+    ranking = knn.topk(q, t, 20)
+    listed = q.select(q["id"].alias("query_id"), "label").join(t.select(t["id"].alias("doc_id"), "label"), "label").select("query_id", "doc_id")
+    want, got = metrics.evaluate(ranking, listed).first(), metrics.evaluate_by_label(ranking, q, t).first()
+    assert np.allclose(got, want) and got["n_eval"] == want["n_eval"]
