@@ -41,11 +41,11 @@ def quality_band(mean: Column) -> Column:
 
 
 def pair_quality(events: DataFrame) -> DataFrame:
-    """(agent, partner, n, mean, median, min, max, band); the median is the upper one."""
+    """(agent, partner, n, mean, median, min, max, band); the median is the upper one, and a mean that is a bound but for the order of its sum counts as the bound."""
     scored = events.where("quality is not null and partner is not null")
     upper = F.expr("percentile_disc(0.5) within group (order by quality desc)")  # by counts of values, not by lists of rows
     out = scored.groupBy("agent", "partner").agg(F.count("*").alias("n"), F.avg("quality").alias("mean"), upper.alias("median"), F.min("quality").alias("min"), F.max("quality").alias("max"))
-    return out.withColumn("band", quality_band(F.col("mean")))
+    return out.withColumn("band", quality_band(F.round("mean", 12)))
 
 
 def running_quality(events: DataFrame, order: list[str]) -> DataFrame:
