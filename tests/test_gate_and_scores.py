@@ -142,3 +142,31 @@ def test_reports(spark):
     assert reports.between_markers("a [x] old [y] b", "[x]", "[y]", "new") == "a [x]\nnew\n[y] b"
     with pytest.raises(ValueError):
         reports.between_markers("a", "[x]", "[y]", "new")
+
+
+def test_many_breakpoints_are_searched(spark):
+    from meridian.functions import vec
+
+    rng = np.random.default_rng(2)
+    xs = sorted([float(v) for v in rng.integers(0, 40, 90) / 40.0])
+    ys = sorted([float(v) for v in rng.random(90)])
+    points = [None, -1.0, 0.0, 2.0, float("nan"), *xs, *[float(v) for v in rng.random(200)]]
+    df = spark.createDataFrame([(v,) for v in points], "v double")
+    few = vec.MOST_CASES
+    try:
+        vec.MOST_CASES = 1000
+        want = [r[0] for r in df.select(vec.interpolate(df.v, xs, ys)).collect()]
+    finally:
+        vec.MOST_CASES = few
+    searched = vec.interpolate(df.v, xs, ys)
+    assert "CASE WHEN (v <" not in str(searched)
+    assert [r[0] for r in df.select(searched).collect()] == want
+    assert np.isclose(df.agg(F.sum(searched)).first()[0], sum(v for v in want if v is not None))
+
+
+def test_a_band_does_not_depend_on_the_order_of_a_sum(spark):
+    from meridian.operators import monitor
+
+    assert sum([0.7] * 3) / 3 < 0.7
+    df = spark.createDataFrame([(1, 2, 0.7)] * 3, "agent long, partner long, quality double").coalesce(1)
+    assert monitor.pair_quality(df).first()["band"] == "acceptable"
