@@ -170,3 +170,15 @@ def test_a_band_does_not_depend_on_the_order_of_a_sum(spark):
     assert sum([0.7] * 3) / 3 < 0.7
     df = spark.createDataFrame([(1, 2, 0.7)] * 3, "agent long, partner long, quality double").coalesce(1)
     assert monitor.pair_quality(df).first()["band"] == "acceptable"
+
+
+def test_a_value_used_in_a_lambda_is_computed_once(spark):
+    from meridian.functions import vec
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    twice = vec.l2_normalize(vec.l2_normalize(vec.l2_normalize(df.v)))
+    rows = df.select(twice.alias("v"), vec.cosine(twice, df.v).alias("c")).collect()
+    assert np.allclose(rows[0]["v"], [0.6, 0.8]) and rows[0]["c"] == pytest.approx(1.0)
+    assert rows[1]["v"] == [0.0, 0.0] and rows[1]["c"] == 0.0 and rows[2]["v"] is None and rows[2]["c"] is None
+    plan = df.select(twice.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sqrt") + plan.count("SQRT") == 3  # one norm for each time
