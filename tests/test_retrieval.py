@@ -198,3 +198,36 @@ def test_judgements_by_label_are_counted_not_listed(spark):
     listed = q.select(q["id"].alias("query_id"), "label").join(t.select(t["id"].alias("doc_id"), "label"), "label").select("query_id", "doc_id")
     want, got = metrics.evaluate(ranking, listed).first(), metrics.evaluate_by_label(ranking, q, t).first()
     assert np.allclose(got, want) and got["n_eval"] == want["n_eval"]
+
+
+def test_values_that_single_precision_cannot_tell(spark):
+    rng = np.random.default_rng(3)
+    base = normalized(rng.normal(size=(1, 16)))
+    c = normalized(base + 1e-5 * rng.normal(size=(300, 16)))
+    q = normalized(base + 1e-3 * rng.normal(size=(7, 16)))
+    assert len(np.unique((q @ c.T).astype(np.float32))) < len(np.unique(np.round(q @ c.T, 9))) / 2
+    fold = knn.Best(np.arange(7), q, 9)
+    for at in range(0, 300, 64):
+        fold.add(np.arange(at, min(300, at + 64)), c[at : at + 64])
+    i, j, s = fold.rows()
+    for row, expected in enumerate(brute(q, c, 9)):
+        assert list(zip(j[i == row].tolist(), s[i == row].tolist())) == expected
+    own = knn._Better(np.arange(7), np.c_[q, np.round((q * c[:7]).sum(axis=1), 9)])
+    own.add(np.arange(300), c)
+    sims = np.round(q @ c.T, 9)
+    assert own.better.tolist() == [sum((v > sims[r, r]) or (v == sims[r, r] and k < r) for k, v in enumerate(sims[r]) if k != r) for r in range(7)]
+
+
+def test_a_tile_is_scored_in_single_precision():
+    own = knn._Better(np.arange(3), np.c_[np.eye(3), np.ones(3)])
+    assert own.single.dtype == knn.Best(np.arange(3), np.eye(3), 2).scores(np.eye(3)).dtype == np.float32
+
+
+def test_blocks_travel_in_packs(spark):
+    from meridian.operators import blocks
+
+    df = spark.range(0, 20_000, 1, 1).selectExpr("id", "array(1.0D, double(id)) as vec")
+    made = blocks.packed(df)
+    packs = blocks.packs(made.coalesce(1)).collect()
+    assert made.count() > len(packs) == 1
+    assert sorted(np.frombuffer(packs[0]["ids"], np.int64)) == list(range(20_000)) and len(packs[0]["m"]) == 20_000 * 16
