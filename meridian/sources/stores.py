@@ -8,15 +8,16 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridian.functions.providers import Registry
-from meridian.plans.materialize import materialize
+from meridian.plans.materialize import discard, materialize, shared_dir
 from meridian.plans.numbering import numbered
 
 SCHEMA = "id string, vec array<double>, text string, payload map<string,string>"
@@ -51,38 +52,85 @@ def upsert(target: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
     return target.join(rows.select(id_col), id_col, "left_anti").unionByName(rows)
 
 
+def _array(content: pa.Buffer) -> np.ndarray:
+    """The array of an .npy file's bytes, without a copy of them."""
+    head = io.BytesIO(content.slice(0, min(content.size, 1 << 16)).to_pybytes())
+    version = np.lib.format.read_magic(head)
+    if version not in ((1, 0), (2, 0)):
+        return np.load(io.BytesIO(content.to_pybytes()))
+    shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    if kind.hasobject:
+        raise ValueError("an .npy file of objects isn't read")
+    return np.frombuffer(content, kind, int(np.prod(shape)), head.tell()).reshape(shape, order="F" if fortran else "C")
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(id, vec) of .npy matrices, decoded on the executors: id is the row's position, files in path order."""
+    """(file, position, vec) of .npy matrices, decoded on the executors; a file is one value there, so it is within 2 GB."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
-                m = np.load(io.BytesIO(content)).astype(float)
+            for name, content in zip(*batch.columns):
+                m = _array(content.as_buffer())
                 for at in range(0, len(m), 4096):
-                    part = m[at : at + 4096]
+                    part = m[at : at + 4096].astype(float)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), lists], ["file", "position", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(part)), pa.array(np.arange(at, at + len(part))), lists], ["file", "position", "vec"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, "file string, position long, vec array<double>")
 
 
 def read_npy_store(spark: SparkSession, folder: str) -> DataFrame:
-    """A numpy folder (vectors.npy, meta.jsonl) as a store; metadata joins by position, a missing row's is empty."""
+    """A numpy folder (vectors.npy, meta.jsonl) as a store; metadata joins by position, a missing row's is empty.
+
+    A line's position is its place in its split of the file, whose rows have
+    consecutive ids, after the lines of the splits before.
+    """
     vectors = read_npy(spark, f"{folder}/vectors.npy")
     meta_path = f"{folder}/meta.jsonl"
     if not exists(spark, meta_path):
         return vectors.select(F.col("position").cast("string").alias("id"), "vec", F.lit(None).cast("string").alias("text"), F.create_map().cast("map<string,string>").alias("payload"))
-    lines = spark.read.text(meta_path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("position", "line"))
-    meta = lines.select(F.col("position").cast("long"), F.from_json("line", "id string, text string, payload map<string,string>").alias("m"))
+    lines = spark.read.option("lineSep", "\n").text(meta_path).select("value", F.col("_metadata.file_block_start").alias("start")).where(F.trim("value") != "")
+    found = materialize(lines.select("start", F.monotonically_increasing_id().alias("at"), F.from_json("value", "id string, text string, payload map<string,string>").alias("m")), "lines")
+    splits = found.groupBy("start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = splits.select("start", "first", F.coalesce(F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    meta = found.join(F.broadcast(before), "start").select((F.col("at") - F.col("first") + F.col("before")).alias("position"), "m")
     return vectors.join(meta, "position", "left").select(F.coalesce("m.id", F.col("position").cast("string")).alias("id"), "vec", "m.text", F.coalesce("m.payload", F.create_map().cast("map<string,string>")).alias("payload"))
 
 
+#: Rows of an export that are one value.
+EXPORT_ROWS = 1024
+
+
+def _append(spark: SparkSession, chunks: DataFrame, column: str, out, size: int | None = None) -> None:
+    """Append a column, in the order of chunks, to an open file: executors write it as text, whose files are copied from stream to stream.
+
+    size: bytes of all values but the last, which then come without line breaks.
+    """
+    jvm = spark.sparkContext._jvm
+    path = f"{shared_dir(spark)}/{column}-{uuid.uuid4().hex}"
+    chunks.select("chunk", F.col(column).cast("string").alias("value")).repartitionByRange("chunk").sortWithinPartitions("chunk").select("value").write.option("compression", "none").option("lineSep", "\n").text(path)
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in sorted((x for x in fs.listStatus(root) if x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName()):
+        left, source = status.getLen(), fs.open(status.getPath())
+        while left:
+            take = left if size is None else min(size, left - 1)
+            jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, take)
+            left -= take
+            if size is not None:
+                source.read()
+                left -= 1
+        source.close()
+    discard(spark, [path])
+
+
 def write_npy_store(df: DataFrame, folder: str) -> int:
     """Export a store to a numpy folder, on any file system that Spark writes to; returns the number of rows.
 
     For hand-over to single-machine tools, which take one matrix: its parts are
-    made on the executors, and put together one after the other by the driver,
-    which never holds more than one.  Stores of a cluster stay Parquet.
+    written by the executors, and one process copies them into one file by
+    streams, so that no rows are sent to the driver.  Stores of a cluster stay
+    Parquet.
     """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -90,25 +138,25 @@ def write_npy_store(df: DataFrame, folder: str) -> int:
     fs = root.getFileSystem(conf)
     if fs.exists(root):
         raise FileExistsError(folder)
-    listed = materialize(numbered(df.select("id", F.col("vec").cast("array<double>").alias("vec"), "text", "payload"), "id").repartitionByRange("position").sortWithinPartitions("position"), "export")
-    shape = listed.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"), F.max("id").alias("last")).first()
+    listed = materialize(numbered(df.select("id", F.col("vec").cast("array<double>").alias("vec"), "text", "payload"), "id"), "export")
+    shape = listed.agg(F.count("*").alias("n"), F.count("vec").alias("given"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("d"), F.max("id").alias("last")).first()
     n, dims = shape["n"], shape["d"] or 0
+    if shape["given"] != n or shape["least"] != shape["d"]:
+        raise ValueError("vectors differ in their dimension, or are null")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                cells = part.column("vec").flatten().to_numpy().astype("<f8").tobytes()
-                lines = [json.dumps({"id": i, "text": t, "payload": dict(p or {})}, ensure_ascii=False) + "\n" for i, t, p in zip(*(part.column(c).to_pylist() for c in ("id", "text", "payload")))]
-                yield pa.RecordBatch.from_arrays([part.column("position").slice(0, 1), pa.array([cells], pa.binary()), pa.array(["".join(lines)])], ["position", "cells", "lines"])
+    def pack(table: pa.Table) -> pa.Table:
+        part = table.sort_by("position").combine_chunks()
+        cells = np.concatenate([c.flatten().to_numpy() for c in part.column("vec").chunks]).astype("<f8").tobytes()
+        lines = [json.dumps({"id": i, "text": t, "payload": dict(p or {})}, ensure_ascii=False) for i, t, p in zip(*(part.column(c).to_pylist() for c in ("id", "text", "payload")))]
+        return pa.table({"chunk": part.column("chunk").slice(0, 1), "cells": pa.array([cells], pa.binary()), "lines": pa.array(["\n".join(lines)])})
 
+    chunks = materialize(listed.select(F.expr(f"cast(position div {EXPORT_ROWS} as long)").alias("chunk"), F.col("position").cast("long").alias("position"), "id", "vec", "text", "payload").groupBy("chunk").applyInArrow(pack, "chunk long, cells binary, lines string"), "chunks")
     head = io.BytesIO()
     np.lib.format.write_array_header_1_0(head, {"descr": "<f8", "fortran_order": False, "shape": (n, dims)})
     vectors, meta = (fs.create(jvm.org.apache.hadoop.fs.Path(root, name)) for name in ("vectors.npy", "meta.jsonl"))
     vectors.write(head.getvalue())
-    for r in listed.select(F.col("position").cast("long").alias("position"), "id", "vec", "text", "payload").mapInArrow(pack, "position long, cells binary, lines string").orderBy("position").toLocalIterator():
-        vectors.write(bytes(r["cells"]))
-        meta.write(r["lines"].encode())
+    _append(spark, chunks, "cells", vectors, EXPORT_ROWS * dims * 8)
+    _append(spark, chunks, "lines", meta)
     vectors.close()
     meta.close()
     manifest = fs.create(jvm.org.apache.hadoop.fs.Path(root, "manifest.json"))

@@ -241,3 +241,31 @@ def test_retry_backs_off():
 def test_durations(spark):
     df = spark.createDataFrame([(5_000,), (125_000,), (7_320_000,)], "ms long")
     assert [r["t"] for r in df.select(monitor.duration_text(F.col("ms")).alias("t")).collect()] == ["5s", "2m 5s", "2h 2m"]
+
+
+def test_numpy_export_sends_no_rows_to_the_driver(spark, tmp_path, monkeypatch):
+    """Bytes of all values, line breaks among them, come back in order over several chunks and splits; nothing is iterated on the driver."""
+    from pyspark.sql import DataFrame
+
+    def refused(*_, **__):
+        raise AssertionError("rows sent to the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    monkeypatch.setattr(stores, "EXPORT_ROWS", 7)
+    rows = [(f"{k:03d}", [float.fromhex("0x1.0a0a0a0a0a0a0p+3"), -k / 3, 2.0**-k], f"a\nb\r{k} ", {"k": str(k)}) for k in range(100)]
+    store = spark.createDataFrame(rows, stores.SCHEMA).repartition(5)
+    assert stores.write_npy_store(store, f"{tmp_path}/n") == 100
+    assert np.load(f"{tmp_path}/n/vectors.npy").tolist() == [r[1] for r in rows]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = stores.read_npy_store(spark, f"{tmp_path}/n").orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["id"], r["vec"], r["text"], r["payload"]) for r in got] == rows
+
+
+def test_numpy_files_of_either_order(spark, tmp_path):
+    m = np.arange(12, dtype=np.float32).reshape(4, 3)
+    np.save(tmp_path / "f.npy", np.asfortranarray(m))
+    assert [r["vec"] for r in stores.read_npy(spark, f"{tmp_path}/f.npy").orderBy("position").collect()] == m.tolist()
