@@ -162,6 +162,58 @@ def test_a_task_holds_one_block_with_another(spark, limit):
     assert max(max(r["a"], r["b"]) for r in rows) <= BLOCK_ROWS and sum(r["a"] * r["b"] for r in rows) == 5000 * 5000
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+@pytest.mark.parametrize("ranked", [True, False])
+def test_a_task_holds_few_similarities_at_once(spark, limit, ranked):
+    from meridian.operators.blocks import BLOCK_ROWS, Fold, all_pairs
+
+    class Cells(Fold):
+        most = 0
+
+        def add(self, j, b):
+            self.most = max(self.most, self.i.size * j.size)
+
+        def rows(self):
+            return [np.array([self.i[0]]), np.array([0]), np.array([float(self.most)])]
+
+    df = spark.range(5000).selectExpr("id", "array(1.0D, double(id)) as vec")
+    if ranked:
+        rows = knn.ranked_best(df, df, Cells, 1, "cells", ("id", "vec"), ("id", "vec"), limit)
+    else:
+        rows = all_pairs(df, df, Cells, "id long, zero long, cells double", broadcast_bytes=limit)
+    assert 0 < max(r["cells"] for r in rows.collect()) <= BLOCK_ROWS * BLOCK_ROWS // 4
+
+
+def test_ties_of_all_pairs_take_little_memory(spark):
+    import tracemalloc
+
+    from pyspark.sql import functions as F
+
+    class Peak(knn.Best):
+        def add(self, j, b):
+            tracemalloc.start()
+            super().add(j, b)
+            self.peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+
+        def rows(self):
+            return [self.i[:1], self.ids[:1, 0], np.array([float(self.peak)])]
+
+    df = spark.range(2048).select("id", F.array(F.lit(0.0), F.lit(0.0)).alias("vec")).coalesce(1)
+    rows = knn.ranked_best(df, df, lambda i, a: Peak(i, a, 100), 100, "bytes", ("id", "vec"), ("id", "vec")).collect()
+    assert 0 < max(r["bytes"] for r in rows) < 128 << 20
+
+
+def test_a_search_of_few_queries_writes_no_table(spark):
+    from meridian.plans import materialize
+
+    rng = np.random.default_rng(5)
+    q, c, before = rng.normal(size=(20, 4)), rng.normal(size=(90, 4)), len(materialize._written)
+    rows = knn.topk(table(spark, q), table(spark, c), 3).orderBy("query_id", "rank").collect()
+    assert [r["id"] for r in rows] == [j for expected in brute(q, c, 3) for j, _ in expected]
+    assert len(materialize._written) == before
+
+
 def test_the_best_of_many_blocks_with_ties():
     rng = np.random.default_rng(9)
     q, c = rng.integers(-1, 2, (40, 3)).astype(float), rng.integers(-1, 2, (900, 3)).astype(float)
